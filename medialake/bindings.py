@@ -272,16 +272,14 @@ class Lake:
 
     @staticmethod
     def _photo_id() -> Column:
-        """A stable id with evenly spread leading characters, like a UUID."""
-        return F.md5(
-            F.concat_ws(
-                "-",
-                F.col("l_orderkey").cast("string"),
-                F.col("l_linenumber").cast("string"),
-                F.col("l_partkey").cast("string"),
-                F.col("l_suppkey").cast("string"),
-                F.col("l_shipdate").cast("date").cast("string"),
-            )
+        """The columns that together identify a photo, as one text."""
+        return F.concat_ws(
+            "-",
+            F.col("l_orderkey").cast("string"),
+            F.col("l_linenumber").cast("string"),
+            F.col("l_partkey").cast("string"),
+            F.col("l_suppkey").cast("string"),
+            F.col("l_shipdate").cast("date").cast("string"),
         )
 
     @staticmethod

@@ -18,6 +18,7 @@ def output_names(
     rule: str | Column,
     start: Column | int = 1,
     threshold: int | None = None,
+    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """File name of each photo: the counter runs per project in order of creation.
 
@@ -26,13 +27,17 @@ def output_names(
     """
     first = F.lit(start) if isinstance(start, int) else start
     about = projects.select("project_id", F.col("name").alias("_project"), first.alias("_start"))
-    columns = [c for c in ("photo_id", "project_id", "created_at", "tags", "original") if c in photos.columns]
+    # Only the first tag travels through the shuffle.
+    tag = F.get("tags", F.lit(0)) if "tags" in photos.columns else F.lit(None).cast("string")
+    original = F.col("original") if "original" in photos.columns else F.lit(None).cast("string")
     numbered = sequenced(
-        photos.select(*columns),
+        photos.select(
+            "photo_id", "project_id", "created_at", tag.alias("_tag"), original.alias("_original")
+        ),
         ["project_id"],
         ["created_at", "photo_id"],
         threshold=threshold,
-        key_source=photos.select("project_id"),
+        key_source=photos.select("project_id") if key_source is None else key_source,
     )
     return numbered.join(about, "project_id").select(
         "photo_id",
@@ -40,10 +45,10 @@ def output_names(
         render_name(
             rule,
             project=F.col("_project"),
-            date=F.date_format("created_at", "yyyy-MM-dd"),
+            date=F.col("created_at").cast("date").cast("string"),
             counter=F.col("seq") + F.col("_start") - 1,
-            tag=F.get("tags", F.lit(0)) if "tags" in columns else None,
-            original=F.col("original") if "original" in columns else None,
+            tag=F.col("_tag"),
+            original=F.col("_original"),
         ).alias("output_name"),
     )
 

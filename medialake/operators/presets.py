@@ -15,60 +15,89 @@ from medialake.plans.ordering import sequenced
 def _place(*words: str) -> Column:
     test = F.lit(False)
     for word in words:
-        test = test | contains_ci("location", word)
+        test = test | F.contains("_place", F.lit(word))
     return test
 
 
 def rule_conditions() -> dict[str, Column]:
-    """Condition of each rule over location, iso, hour, shutter (seconds), aperture and camera.
-    A missing measurement fails the test it takes part in."""
+    """Condition of each rule over ``_place`` and ``_camera`` (location and camera in lower case),
+    iso, hour, shutter (seconds) and aperture. A missing measurement fails its test."""
     hour, iso = F.col("hour"), F.col("iso")
-    tests = {
+    return {
         "Track Day": _place("pit", "track", "race") & ((iso > 800) | hour.between(6, 18)),
         "Night Shooter": ((hour < 6) | (hour > 20))
         & ((F.col("shutter") < F.lit(1.0 / 60.0)) | (iso > 1600)),
         "Portrait Pro": _place("studio", "portrait", "headshot") & (F.col("aperture") < F.lit(2.8)),
         "Landscape Master": _place("mountain", "forest", "beach", "park") & hour.between(6, 18),
         "Urban Edge": _place("city", "urban", "street", "building") & hour.between(8, 20),
-        "Vintage Film": (iso <= 400) | contains_ci("camera", "film") | contains_ci("camera", "analog"),
+        "Vintage Film": (iso <= 400)
+        | F.contains("_camera", F.lit("film"))
+        | F.contains("_camera", F.lit("analog")),
         "Sunset Glow": (hour.between(16, 19) | hour.between(5, 8))
         & _place("beach", "mountain", "park"),
         "Aston Mono": _place("street", "architecture", "portrait") & hour.between(10, 16),
     }
-    return {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}
 
 
-def matching_rules() -> Column:
-    """Rules a photo meets, highest priority first, as an array of (priority, name)."""
-    tests = rule_conditions()
-    all_rules = F.array(
-        *[
-            F.struct(
-                F.lit(priority).alias("priority"), F.lit(name).alias("name"), tests[name].alias("met")
-            )
-            for priority, name, _ in C.PRESET_RULES
-        ]
+def _bits(tests: dict[str, Column]) -> Column:
+    """The rules that hold as one number: bit p is set for the rule of priority p."""
+    mask = F.lit(0)
+    for priority, name, _ in C.PRESET_RULES:
+        bit = F.when(tests[name], 1 << priority).otherwise(0)
+        mask = mask.bitwiseOR(bit)
+    return mask
+
+
+def _top_priority(mask: Column) -> Column:
+    """Priority of the highest rule in the mask, null when it is empty."""
+    out = None
+    for priority, _, _ in C.PRESET_RULES:
+        hit = mask >= (1 << priority)
+        out = F.when(hit, priority) if out is None else out.when(hit, priority)
+    return out
+
+
+def with_met_rules(assets: DataFrame) -> DataFrame:
+    """Add ``met``, the mask of the rules each photo meets."""
+    return (
+        assets.withColumns(
+            {
+                "_place": F.lower(F.coalesce("location", F.lit(""))),
+                "_camera": F.lower(F.coalesce("camera", F.lit(""))),
+            }
+        )
+        .withColumn("met", _bits(rule_conditions()))
+        .drop("_place", "_camera")
     )
-    return F.filter(all_rules, lambda r: r["met"])
 
 
-def _serves(name: str, description: str) -> Column:
-    return contains_ci("name", name) | contains_ci("description", description)
+def with_served_rules(presets: DataFrame) -> DataFrame:
+    """Add ``served``, the mask of the rules each preset serves by its name or description."""
+    tests = {
+        name: contains_ci("name", name) | contains_ci("description", words)
+        for _, name, words in C.PRESET_RULES
+    }
+    return presets.withColumn("served", _bits(tests))
 
 
 def rule_presets(presets: DataFrame, seq: str = "preset_id") -> DataFrame:
-    """First preset serving each rule, by name or description.
+    """First preset serving each rule.
 
-    The rules are tested inside each preset's row, so no pairs of rule and preset are formed; the
+    Every preset tests all rules in its own row, so no pairs of rule and preset are formed; the
     result has at most one row per rule.
     """
-    served = F.filter(
-        F.array(*[F.when(_serves(n, d), F.lit(n)) for _, n, d in C.PRESET_RULES]),
-        lambda n: n.isNotNull(),
+    rules = F.array(
+        *[
+            F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("rule"))
+            for priority, name, _ in C.PRESET_RULES
+        ]
     )
     return (
-        presets.select(F.col("preset_id"), F.col(seq).alias("_seq"), F.explode(served).alias("rule"))
-        .groupBy("rule")
+        with_served_rules(presets)
+        .filter("served <> 0")
+        .select("preset_id", F.col(seq).alias("_seq"), "served", F.inline(rules))
+        .filter(F.expr("(served & shiftleft(1, priority)) <> 0"))
+        .groupBy("rule", "priority")
         .agg(F.min_by("preset_id", "_seq").alias("preset_id"))
     )
 
@@ -76,40 +105,40 @@ def rule_presets(presets: DataFrame, seq: str = "preset_id") -> DataFrame:
 def preset_match(assets: DataFrame, presets: DataFrame) -> DataFrame:
     """Best preset of every photo: the highest rule it meets that some preset serves.
 
-    The rule-to-preset map has at most eight entries and is read once as a scalar, so photos are
-    matched in their own row: no join, no shuffle. Confidence is the rule's priority in percent of
-    ten.
+    The presets are first reduced to one row: a mask of served rules and a map of at most eight
+    entries, read as a scalar. Photos are then matched in their own row, without join or shuffle.
+    Confidence is the rule's priority in percent of ten.
     """
-    pairs = rule_presets(presets)
     # At most one entry per rule, so the collected list is bounded by the rule list.
-    served = pairs.agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "preset_id"))).alias("m")
-    ).scalar()
-    usable = F.filter(matching_rules(), lambda r: F.map_contains_key(F.col("_served"), r["name"]))
-    best = F.get("_usable", F.lit(0))
-    return (
-        assets.withColumn("_served", served)
-        .withColumn("_usable", usable)
-        .select(
-            "photo_id",
-            F.size(matching_rules()).alias("rules_met"),
-            best["name"].alias("rule"),
-            F.try_element_at("_served", best["name"]).alias("matched_preset_id"),
-            (F.coalesce(best["priority"], F.lit(0)) * 10).alias("confidence"),
-        )
+    found = rule_presets(presets).agg(
+        F.struct(
+            F.coalesce(F.bit_or(F.expr("shiftleft(1, priority)")), F.lit(0)).alias("mask"),
+            F.map_from_entries(F.collect_list(F.struct("priority", "preset_id"))).alias("ids"),
+        ).alias("found")
+    )
+    names = F.create_map(*[F.lit(x) for p, n, _ in C.PRESET_RULES for x in (p, n)])
+    matched = (
+        with_met_rules(assets)
+        .select("photo_id", "met", found.scalar().alias("_found"))
+        .withColumn("_top", _top_priority(F.col("met").bitwiseAND(F.col("_found.mask"))))
+    )
+    return matched.select(
+        "photo_id",
+        F.bit_count("met").alias("rules_met"),
+        F.try_element_at(names, F.col("_top")).alias("rule"),
+        F.try_element_at("_found.ids", F.col("_top")).alias("matched_preset_id"),
+        (F.coalesce("_top", F.lit(0)) * 10).alias("confidence"),
     )
 
 
 def applied_confidence(assets: DataFrame, presets: DataFrame) -> DataFrame:
     """Confidence in the preset each photo already uses: the highest rule that the photo meets and
-    that this preset serves, in percent of ten; zero without one."""
-    met = rule_conditions()
-    hit = F.array(
-        *[F.when(met[n] & _serves(n, d), F.lit(p)) for p, n, d in C.PRESET_RULES]
-    )
-    looks = presets.select("preset_id", "name", "description")
-    return assets.join(looks, "preset_id").select(
-        "photo_id", "preset_id", (F.coalesce(F.array_max(hit), F.lit(0)) * 10).alias("confidence")
+    that this preset serves, in percent of ten; zero without one. Only the two masks are joined."""
+    photos = with_met_rules(assets).select("photo_id", "preset_id", "met")
+    looks = with_served_rules(presets).select("preset_id", "served")
+    top = _top_priority(F.col("met").bitwiseAND(F.col("served")))
+    return photos.join(looks, "preset_id").select(
+        "photo_id", "preset_id", (F.coalesce(top, F.lit(0)) * 10).alias("confidence")
     )
 
 

@@ -81,19 +81,19 @@ def autocomplete(assets: DataFrame, query: str, k: int = 5) -> DataFrame:
     empty = assets.select(F.lit("").alias("value"), F.lit(0).alias("rank")).limit(0)
     if len(query) < 2:
         return empty
-    at = F.struct("created_at", "photo_id")
-    offered = F.concat(
-        F.transform("tags", lambda t, i: F.struct(t.alias("value"), F.lit(1).alias("kind"), i.alias("pos"))),
-        F.array(
-            F.struct(F.col("camera").alias("value"), F.lit(2).alias("kind"), F.lit(0).alias("pos")),
-            F.struct(F.col("location").alias("value"), F.lit(3).alias("kind"), F.lit(0).alias("pos")),
-        ),
+    n = F.coalesce(F.size("tags"), F.lit(0))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    offered = assets.select(
+        "created_at",
+        "photo_id",
+        n.alias("n"),
+        F.posexplode(F.concat(tags, F.array("camera", "location"))).alias("pos", "value"),
+    ).filter(contains_ci("value", query))
+    kind = (
+        F.when(F.col("pos") < F.col("n"), 1).when(F.col("pos") == F.col("n"), 2).otherwise(3)
     )
-    seen = (
-        assets.select(at.alias("at"), F.inline(offered))
-        .filter(contains_ci("value", query))
-        .groupBy("value")
-        .agg(F.min(F.struct("kind", "at", "pos")).alias("first"))
+    seen = offered.groupBy("value").agg(
+        F.min(F.struct(kind.alias("kind"), "created_at", "photo_id", "pos")).alias("first")
     )
     return seen.orderBy("first", "value").limit(k).select("value", F.col("first.kind").alias("rank"))
 

@@ -14,39 +14,46 @@ def _or0(name: str) -> Column:
     return F.coalesce(name, F.lit(0)).alias(name)
 
 
-def status_counts(first: Column | None = None) -> list[Column]:
-    """The four nested counts; ``first`` marks one row per photo when photos are exploded."""
-    ok = F.lit(True) if first is None else first
+def status_counts() -> list[Column]:
+    """The four nested photo counts."""
     status = F.col("status")
     return [
-        F.count_if(ok).alias("total_photos"),
-        F.count_if(ok & F.coalesce(status != "raw", F.lit(True))).alias("processed_photos"),
-        F.count_if(ok & status.isin("exported", "published")).alias("exported_photos"),
-        F.count_if(ok & (status == "published")).alias("published_photos"),
+        F.count(F.lit(1)).alias("total_photos"),
+        F.count_if(F.coalesce(status != "raw", F.lit(True))).alias("processed_photos"),
+        F.count_if(status.isin("exported", "published")).alias("exported_photos"),
+        F.count_if(status == "published").alias("published_photos"),
     ]
 
 
-def project_stats(projects: DataFrame, photos: DataFrame, as_of: str) -> DataFrame:
+def project_stats(
+    projects: DataFrame, photos: DataFrame, as_of: str, tagged: DataFrame | None = None
+) -> DataFrame:
     """Photo counts by status, distinct tags and last activity, with zeros for empty projects.
 
-    One pass over the photos: tags are exploded with their position, and the counts look only at
-    the first position. The distinct tags are first reduced per (project, tag), so a project with a
-    large share of the photos is spread over tasks.
+    The counts and the tags are aggregated apart and meet with one row per project. The counts then
+    shuffle one narrow partial row per project and task, and only (project, tag) pairs are exploded.
+    Distinct tags are first reduced per pair, so a project with a large share of the photos is
+    spread over tasks. ``tagged`` may give (project_id, tags) when these are stored apart.
     """
-    rows = photos.select(
-        "project_id", "status", "updated_at", F.posexplode_outer("tags").alias("pos", "tag")
+    counts = photos.groupBy("project_id").agg(
+        *status_counts(), F.max("updated_at").alias("last_activity")
     )
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    stats = rows.groupBy("project_id").agg(
-        *status_counts(first),
-        F.count_distinct("tag").alias("total_tags"),
-        F.max("updated_at").alias("last_activity"),
+    tags = (
+        (photos if tagged is None else tagged)
+        .select("project_id", F.explode("tags").alias("tag"))
+        .groupBy("project_id")
+        .agg(F.count_distinct("tag").alias("total_tags"))
     )
-    counts = ["total_photos", "processed_photos", "exported_photos", "published_photos", "total_tags"]
-    return projects.select("project_id").join(stats, "project_id", "left").select(
-        "project_id",
-        *[_or0(c) for c in counts],
-        F.coalesce("last_activity", as_moment(as_of)).alias("last_activity"),
+    names = ["total_photos", "processed_photos", "exported_photos", "published_photos", "total_tags"]
+    return (
+        projects.select("project_id")
+        .join(counts, "project_id", "left")
+        .join(tags, "project_id", "left")
+        .select(
+            "project_id",
+            *[_or0(c) for c in names],
+            F.coalesce("last_activity", as_moment(as_of)).alias("last_activity"),
+        )
     )
 
 

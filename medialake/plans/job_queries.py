@@ -61,11 +61,14 @@ RULES = """
 
 @query(
     "rule_presets",
-    RULES + "SELECT rule, min(preset_id) AS preset_id FROM served GROUP BY 1",
+    RULES
+    + """
+    SELECT rule, min(preset_id) AS preset_id FROM served GROUP BY 1
+    """,
     "exif presets",
 )
 def rule_presets(lake):
-    return P.rule_presets(lake.presets())
+    return P.rule_presets(lake.presets()).select("rule", "preset_id")
 
 
 @query(
@@ -198,6 +201,7 @@ def output_names(lake):
         lake.projects(),
         "{project}_{date}_{tag}_{counter}_{original}",
         start=F.lit(1) + F.col("project_id") % 20000,
+        key_source=lake.photos().select("project_id"),
     )
 
 

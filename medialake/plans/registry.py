@@ -42,9 +42,9 @@ FRAMES = {
     "tenant_projects": """
         SELECT p.*, c_nationkey AS org_id FROM projects p JOIN customer ON c_custkey = p.user_id""",
     "photos": """
-        SELECT md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+        SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                    CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
-                   strftime(l_shipdate, '%Y-%m-%d'))) AS photo_id,
+                   strftime(l_shipdate, '%Y-%m-%d')) AS photo_id,
                l_orderkey AS project_id, l_orderkey * 10 + l_linenumber AS slot,
                l_suppkey AS camera_id, l_partkey AS preset_id,
                CASE WHEN l_returnflag = 'A' THEN 'published' WHEN l_returnflag = 'R' THEN 'exported'
@@ -68,9 +68,9 @@ FRAMES = {
                     'City street', 'Beach', 'Warehouse'][camera_id % 6 + 1] END AS location
         FROM photos JOIN part ON p_partkey = preset_id""",
     "exif": """
-        SELECT md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+        SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                    CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
-                   strftime(l_shipdate, '%Y-%m-%d'))) AS photo_id,
+                   strftime(l_shipdate, '%Y-%m-%d')) AS photo_id,
                l_orderkey AS project_id, l_partkey AS preset_id,
                CAST(100 + l_quantity * 100 AS INTEGER) AS iso, l_partkey % 24 AS hour,
                ['Race track', 'Portrait studio', 'Mountain park', 'City street', 'Beach',

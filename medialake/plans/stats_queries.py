@@ -30,7 +30,9 @@ from medialake.plans.registry import query
     "projects tagged_photos",
 )
 def project_stats(lake):
-    return stats.project_stats(lake.projects(), lake.tagged_photos(), ORDERS_AS_OF)
+    return stats.project_stats(
+        lake.projects(), lake.photos(), ORDERS_AS_OF, tagged=lake.tagged_photos()
+    )
 
 
 @query(
