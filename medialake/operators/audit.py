@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake import catalogs as C
+from medialake.plans.skew import join_lookup
 
 
 def daily_metrics(audit: DataFrame) -> DataFrame:
@@ -22,13 +23,14 @@ def daily_metrics(audit: DataFrame) -> DataFrame:
     )
 
 
-def key_lifetimes(audit: DataFrame) -> DataFrame:
+def key_lifetimes(audit: DataFrame, threshold: int | None = None) -> DataFrame:
     """Per key: first issue, first revocation after it and the seconds between."""
-    issued = audit.groupBy("key").agg(F.min(F.when(F.col("op") == "STORE", F.col("ts"))).alias("issued_at"))
+    issued = audit.groupBy("key").agg(
+        F.min(F.when(F.col("op") == "STORE", F.col("ts"))).alias("issued_at")
+    )
+    revoked = audit.filter(F.col("op") == "DELETE").select("key", "ts")
     after = (
-        audit.filter(F.col("op") == "DELETE")
-        .select("key", "ts")
-        .join(issued, "key")
+        join_lookup(revoked, issued, ["key"], "inner", threshold)
         .filter(F.col("ts") >= F.col("issued_at"))
         .groupBy("key")
         .agg(F.min("ts").alias("revoked_at"))

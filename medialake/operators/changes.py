@@ -97,7 +97,7 @@ def camera_status(cameras: DataFrame, updates: DataFrame, as_of: str) -> DataFra
 
 def cascade_delete(children: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """Children whose parent was not removed."""
-    return children.join(removed.select(key).distinct(), key, "left_anti")
+    return children.join(removed.select(key), key, "left_anti")
 
 
 def batch_action(

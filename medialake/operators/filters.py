@@ -108,9 +108,8 @@ def _section() -> Column:
 
 def apply_set(items: DataFrame, selected: DataFrame, key: str) -> DataFrame:
     """Selected items that are completed."""
-    return items.filter(F.col("status") == "completed").join(
-        selected.select(key).distinct(), key, "left_semi"
-    )
+    done = items.filter(F.col("status") == "completed")
+    return done.join(selected.select(key), key, "left_semi")
 
 
 def gallery_items(photos: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def delete_preset(
     presets: DataFrame, defaults: DataFrame, removed: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Presets and project defaults without the removed presets."""
-    gone = removed.select("preset_id").distinct()
+    gone = removed.select("preset_id")
     return (
         presets.join(gone, "preset_id", "left_anti"),
         defaults.join(gone, "preset_id", "left_anti"),

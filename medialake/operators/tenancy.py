@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialake.plans.skew import join_lookup
+
 
 def _orgs_of(memberships: DataFrame, user_id: Any, role: str | None = None) -> DataFrame:
     mine = memberships.filter(F.col("user_id") == F.lit(user_id))
@@ -32,12 +34,11 @@ def admin_rows(df: DataFrame, memberships: DataFrame, user_id: Any) -> DataFrame
 
 def visible_memberships(memberships: DataFrame, user_id: Any) -> DataFrame:
     """One's own memberships, or all of the organizations one administers."""
-    managed = _orgs_of(memberships, user_id, "admin").distinct().withColumn("_managed", F.lit(True))
-    return (
-        memberships.join(managed, "org_id", "left")
-        .filter((F.col("user_id") == F.lit(user_id)) | F.coalesce("_managed", F.lit(False)))
-        .select(*memberships.columns)
+    mine = F.col("user_id") == F.lit(user_id)
+    managed = memberships.filter(~F.coalesce(mine, F.lit(False))).join(
+        _orgs_of(memberships, user_id, "admin"), "org_id", "left_semi"
     )
+    return memberships.filter(mine).unionByName(managed)
 
 
 def own_profile(users: DataFrame, user_id: Any) -> DataFrame:
@@ -45,18 +46,19 @@ def own_profile(users: DataFrame, user_id: Any) -> DataFrame:
 
 
 def with_organization(projects: DataFrame, organizations: DataFrame) -> DataFrame:
-    """Projects with their organization's columns, null when there is none. An id listed twice
-    counts once."""
-    return projects.join(organizations.dropDuplicates(["org_id"]), "org_id", "left")
+    """Projects with their organization's columns, null when there is none."""
+    return projects.join(organizations, "org_id", "left")
 
 
 def with_role(rows: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Role of each row's user in the row's organization; null without membership."""
-    roles = memberships.groupBy("user_id", "org_id").agg(F.min("role").alias("role"))
-    return rows.join(roles, ["user_id", "org_id"], "left")
+    """Role of each row's user in the row's organization; null without membership. A user has at
+    most one membership per organization."""
+    return rows.join(memberships.select("user_id", "org_id", "role"), ["user_id", "org_id"], "left")
 
 
-def tenant_matrix(memberships: DataFrame, projects: DataFrame) -> DataFrame:
+def tenant_matrix(
+    memberships: DataFrame, projects: DataFrame, threshold: int | None = None
+) -> DataFrame:
     """For every user: organizations, visible projects and projects they may change.
 
     Projects are counted per organization first, so memberships meet one row per organization and
@@ -65,18 +67,15 @@ def tenant_matrix(memberships: DataFrame, projects: DataFrame) -> DataFrame:
     per_org = projects.groupBy("org_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(F.col("status") == "active").alias("_active")
     )
-    one = memberships.groupBy("user_id", "org_id").agg(
-        F.bool_or(F.col("role") == "admin").alias("_admin")
-    )
     n = F.coalesce("_all", F.lit(0))
     return (
-        one.join(per_org, "org_id", "left")
+        join_lookup(memberships.select("user_id", "org_id", "role"), per_org, ["org_id"], threshold=threshold)
         .groupBy("user_id")
         .agg(
             F.count(F.lit(1)).alias("organizations"),
             F.sum(n).alias("visible_projects"),
             F.sum(F.coalesce("_active", F.lit(0))).alias("visible_active"),
-            F.sum(F.when(F.col("_admin"), n).otherwise(F.lit(0))).alias("admin_projects"),
+            F.sum(F.when(F.col("role") == "admin", n).otherwise(F.lit(0))).alias("admin_projects"),
         )
     )
 

@@ -7,34 +7,11 @@ over many tasks, and the pieces are stitched with one summary row per piece.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from medialake.session import scratch_path
-
-HOT_ROWS = 5_000_000
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: the plan is cut there, and a lost
-    executor costs no recomputation of what came before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> DataFrame:
-    """Keys with more rows than the threshold. There are at most ``rows / threshold`` of them, so
-    the result stays small however large the input is."""
-    limit = HOT_ROWS if threshold is None else threshold
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-
-
-def match_keys(keys: list[str], prefix: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+from medialake.plans.skew import hot_keys, match_keys, materialise
 
 
 def sequenced(
