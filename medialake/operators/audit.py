@@ -43,6 +43,17 @@ def key_lifetimes(audit: DataFrame, threshold: int | None = None) -> DataFrame:
     )
 
 
+def lifetime_summary(lifetimes: DataFrame) -> DataFrame:
+    """Keys issued and revoked, with the mean and shortest time to revocation in seconds."""
+    seconds = F.col("seconds_to_revocation")
+    return lifetimes.agg(
+        F.count("issued_at").alias("issued"),
+        F.count("revoked_at").alias("revoked"),
+        F.try_divide(F.sum(seconds), F.count(seconds)).alias("mean_seconds"),
+        F.min(seconds).alias("shortest_seconds"),
+    )
+
+
 def key_states(audit: DataFrame, order: list[str]) -> DataFrame:
     """Current state per key: last change, rotations so far and whether it is revoked."""
     change = F.col("op").isin("STORE", "ROTATE", "DELETE")

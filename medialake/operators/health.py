@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medialake import catalogs as C
@@ -60,27 +61,39 @@ def missed_buckets(history: DataFrame, seconds: int = C.HEALTH_BUCKET_SECONDS) -
 
 
 def health_report(history: DataFrame, counts: DataFrame, as_of: str) -> DataFrame:
-    """Service report as one JSON object: status, time, table counts and version.
+    """Service report as one JSON object: status, time, state, uptime since the first check in
+    seconds, table counts and version.
 
     ``counts`` is the one-row JSON of table counts; it is read as a scalar.
     """
-    failing = F.count_if(F.col("status") == "fail")
-    return history.agg(
-        F.count(F.lit(1)).alias("checks"), failing.alias("failures")
-    ).select(
+    moment = F.lit(as_of).cast(history.schema["check_time"].dataType)
+    first = history.agg(F.min("check_time").alias("first"), F.count(F.lit(1)).alias("checks"))
+    return first.select(
         F.to_json(
             F.struct(
                 F.lit("healthy").alias("status"),
                 F.lit(as_of).alias("timestamp"),
-                "checks",
-                "failures",
-                counts.scalar().alias("table_counts"),
+                F.lit("healthy").alias("database"),
+                F.timestamp_diff("SECOND", F.col("first"), moment).alias("uptime"),
+                F.from_json(counts.scalar(), "map<string,bigint>").alias("table_counts"),
                 F.lit("1.0.0").alias("version"),
             )
         ).alias("report")
     )
 
 
+def performance_report(
+    operations: DataFrame, active: Column, seconds: Column, hits: Column, reads: Column, as_of: str
+) -> DataFrame:
+    """Active and slow operations and the cache hit ratio as one JSON object."""
+    total = F.sum(hits) + F.sum(reads)
+    return operations.agg(
+        F.count_if(active).alias("active_connections"),
+        F.round(F.try_divide(F.sum(hits) * F.lit(100.0), total), 2).alias("cache_hit_ratio"),
+        F.count_if(active & (seconds > 1.0)).alias("slow_queries"),
+    ).select(F.to_json(F.struct("*", F.lit(as_of).alias("timestamp"))).alias("report"))
+
+
 def syncs_last_day(queue: DataFrame, as_of: str, by: str) -> DataFrame:
     """Completed syncs per owner in the last 24 hours."""
     moment = F.lit(as_of).cast(queue.schema["ts"].dataType)
@@ -94,16 +107,49 @@ def syncs_last_day(queue: DataFrame, as_of: str, by: str) -> DataFrame:
     )
 
 
-def idle_sessions(activity: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """Connections as runs of activity closed after a silent gap.
+STRETCH = 4096  # gap-long slots handled as one group
+
+
+def idle_sessions(activity: DataFrame, key: str, gap_seconds: float) -> DataFrame:
+    """Connections as runs of activity, closed once silence is longer than the gap, for keys of any
+    size.
 
-    Sessions are merged inside each task before they are shuffled, so a busy key sends sessions, not
-    rows.
+    Activity is first reduced to one row per gap-long slot, which always lies in a single run. Runs
+    are then formed within stretches of a fixed number of slots. Only runs touching the edge of a
+    stretch can continue in the next one; these few are joined up per key.
     """
-    return (
-        activity.groupBy(key, F.session_window("ts", f"{gap_seconds} seconds").alias("w"))
-        .agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_active"))
-        .select(key, F.col("w.start").alias("opened"), "last_active", F.col("w.end").alias("closed"), "events")
+    gap = int(gap_seconds * 1_000_000)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    slots = (
+        activity.groupBy(key, F.floor(micros / F.lit(gap)).cast("long").alias("_slot"))
+        .agg(F.min("ts").alias("opened"), F.max("ts").alias("last_active"), F.count(F.lit(1)).alias("events"))
+        .withColumn("_stretch", F.floor(F.col("_slot") / F.lit(STRETCH)).cast("long"))
+    )
+    pause = F.make_dt_interval(secs=F.lit(gap / 1_000_000))
+    local = _merge_runs(
+        slots, [key, "_stretch"], pause, F.min("_slot").alias("_a"), F.max("_slot").alias("_b")
+    )
+    edge = (F.col("_a") % STRETCH == 0) | ((F.col("_b") + 1) % STRETCH == 0)
+    columns = [key, "opened", "last_active", "events"]
+    inner = local.filter(~edge).select(*columns)
+    # At most two runs of each key and stretch.
+    outer = _merge_runs(local.filter(edge), [key], pause).select(*columns)
+    return inner.unionByName(outer).select(
+        key, "opened", "last_active", (F.col("last_active") + pause).alias("closed"), "events"
+    )
+
+
+def _merge_runs(parts: DataFrame, keys: list[str], pause: Column, *more: Column) -> DataFrame:
+    """Join neighbouring parts unless more than the pause lies between them."""
+    along = W.partitionBy(*keys).orderBy("opened")
+    starts = F.coalesce(F.col("opened") > F.lag("last_active").over(along) + pause, F.lit(True))
+    marked = parts.withColumn("_start", starts.cast("int"))
+    numbered = marked.withColumn("_run", F.sum("_start").over(along))
+    return numbered.groupBy(*keys, "_run").agg(
+        F.min("opened").alias("opened"),
+        F.max("last_active").alias("last_active"),
+        F.sum("events").alias("events"),
+        *more,
     )
 
 

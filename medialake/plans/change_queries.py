@@ -166,6 +166,22 @@ def insert_absent(lake):
     return changes.insert_absent(current, seeds, ["project_id"])
 
 
+@query(
+    "append_projects",
+    """
+    SELECT project_id, name, status FROM projects
+    UNION ALL SELECT -project_id - 1, name || ' II', NULL FROM projects WHERE status = 'archived'
+    """,
+    "projects",
+)
+def append_projects(lake):
+    projects = lake.projects().select("project_id", "name", "status")
+    added = projects.filter("status = 'archived'").select(
+        (-F.col("project_id") - 1).alias("project_id"), F.concat("name", F.lit(" II")).alias("name")
+    )
+    return changes.append_rows(projects, added)
+
+
 @query(
     "replace_settings",
     SETTINGS

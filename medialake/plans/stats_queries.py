@@ -8,6 +8,7 @@ from medialake.bindings import EVENTS_AS_OF, ORDERS_AS_OF
 from medialake.functions.numbers import round_half_up
 from medialake.operators import audit, health, stats
 from medialake.operators import presets as P
+from medialake.operators.filters import not_revoked
 from medialake.plans.registry import query
 
 
@@ -311,9 +312,9 @@ def recent_checks(lake):
 @query(
     "health_report",
     """
-    SELECT '{"status":"healthy","timestamp":"2024-01-31 00:00:00","checks":' || count(*) || ',"failures":'
-           || count_if(status = 'fail') || ',"table_counts":"{\\"events\\":' || count(*)
-           || '}","version":"1.0.0"}' AS report
+    SELECT '{"status":"healthy","timestamp":"2024-01-31 00:00:00","database":"healthy","uptime":'
+           || CAST((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(check_time))) // 1000000 AS VARCHAR)
+           || ',"table_counts":{"events":' || CAST(count(*) AS VARCHAR) || '},"version":"1.0.0"}' AS report
     FROM health
     """,
     "health",
@@ -323,6 +324,60 @@ def health_report(lake):
     return health.health_report(lake.health(), counts, EVENTS_AS_OF)
 
 
+@query(
+    "performance_report",
+    """
+    SELECT '{"active_connections":' || CAST(count_if(event_type <> 'view') AS VARCHAR) || ',"cache_hit_ratio":'
+           || CAST(round(sum(100 - k) * CAST(100 AS DOUBLE) / (sum(100 - k) + sum(k)), 2) AS VARCHAR)
+           || ',"slow_queries":' || CAST(count_if(event_type <> 'view' AND value > 1) AS VARCHAR)
+           || ',"timestamp":"2024-01-31 00:00:00"}' AS report
+    FROM ev
+    """,
+    "ev",
+)
+def performance_report(lake):
+    return health.performance_report(
+        lake.events(),
+        active=F.col("event_type") != "view",
+        seconds=F.col("value"),
+        hits=F.lit(100) - F.col("k"),
+        reads=F.col("k"),
+        as_of=EVENTS_AS_OF,
+    )
+
+
+@query(
+    "key_lifetime_summary",
+    """
+    WITH i AS (SELECT key, min(ts) FILTER (op = 'STORE') AS issued_at FROM audit GROUP BY 1),
+    r AS (SELECT a.key, min(a.ts) AS revoked_at FROM audit a JOIN i ON i.key = a.key
+          WHERE a.op = 'DELETE' AND a.ts >= i.issued_at GROUP BY 1),
+    s AS (SELECT issued_at, revoked_at, (epoch_us(revoked_at) - epoch_us(issued_at)) // 1000000 AS s
+          FROM i LEFT JOIN r ON r.key = i.key)
+    SELECT count(issued_at) AS issued, count(revoked_at) AS revoked,
+           CAST(sum(s) AS DOUBLE) / count(s) AS mean_seconds, min(s) AS shortest_seconds FROM s
+    """,
+    "audit",
+)
+def key_lifetime_summary(lake):
+    return audit.lifetime_summary(audit.key_lifetimes(lake.audit()))
+
+
+@query(
+    "live_keys",
+    """
+    SELECT key AS key_id, rotations FROM (
+        SELECT key, arg_max(op, (ts, event_id)) AS last_op, count_if(op = 'ROTATE') AS rotations
+        FROM audit WHERE op IN ('STORE', 'ROTATE', 'DELETE') GROUP BY 1)
+    WHERE last_op <> 'DELETE'
+    """,
+    "audit",
+)
+def live_keys(lake):
+    states = audit.key_states(lake.audit(), ["ts", "event_id"]).withColumnRenamed("key", "key_id")
+    return not_revoked(states).select("key_id", "rotations")
+
+
 @query(
     "check_buckets",
     """
@@ -382,7 +437,7 @@ def latest_per_item(lake):
     "idle_sessions_batch",
     """
     WITH s AS (
-        SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS new
+        SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS new
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM s)
     SELECT user_id, min(ts) AS opened, max(ts) AS last_active, max(ts) + INTERVAL 600 SECONDS AS closed,

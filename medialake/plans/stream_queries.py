@@ -12,7 +12,7 @@ from medialake import catalogs as C
 from medialake.operators import audit
 from medialake.plans.registry import query
 from medialake.session import scratch_path
-from medialake.sources import documents, logs, sinks
+from medialake.sources import documents, logs, sinks, tables
 from medialake.streaming import monitors
 from medialake.streaming.runner import event_stream, run_available
 
@@ -49,6 +49,39 @@ def gallery_round_trip(lake):
     )
 
 
+@query(
+    "photo_file_scan",
+    """
+    SELECT photo_id, CAST(project_id AS VARCHAR) AS project_id, status, iso, camera, location,
+           CASE WHEN project_id % 3 <> 0 THEN upload_progress END AS upload_progress, created_at
+    FROM photos JOIN (SELECT photo_id, iso, camera, location FROM exif) USING (photo_id)
+    """,
+    "photos exif",
+)
+def photo_file_scan(lake):
+    iso_time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    shots = lake.exif().select("photo_id", "iso", "camera", "location")
+    nested = lake.photos().join(shots, "photo_id").select(
+        F.col("photo_id").alias("id"),
+        F.col("project_id").cast("string").alias("projectId"),
+        "status",
+        F.struct(
+            "camera",
+            F.struct("iso").alias("settings"),
+            F.struct(F.col("location").alias("name")).alias("location"),
+        ).alias("metadata"),
+        iso_time.alias("createdAt"),
+        F.when(F.col("project_id") % 3 != 0, F.col("upload_progress")).alias("uploadProgress"),
+    )
+    path = scratch_path(lake.spark, "photo-files")
+    nested.write.json(path)
+    flat = tables.flatten_photos(tables.photo_files(lake.spark, path))
+    return flat.select(
+        "photo_id", "project_id", "status", "iso", "camera", "location", "upload_progress",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 @query(
     "audit_log_scan",
     """
@@ -204,7 +237,7 @@ def check_buckets_stream(lake):
 
 SESSIONS = """
     WITH s AS (
-        SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL {gap} THEN 0 ELSE 1 END AS new
+        SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL {gap} THEN 0 ELSE 1 END AS new
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM s)
     """

@@ -15,7 +15,7 @@ SETTING = r"^\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*(.*)$"
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as ``(source, text)``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")
     )
 
