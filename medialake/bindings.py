@@ -98,7 +98,9 @@ class Lake:
             self._upload_status().alias("upload_status"),
             F.concat(
                 F.lit("DSC_"),
-                F.format_string("%04d", F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")),
+                F.format_string(
+                    "%04d", F.col("l_linenumber").cast("long") * 100 + F.col("l_quantity").cast("long")
+                ),
             ).alias("original"),
             F.slice(
                 F.array(F.lit("16x9"), F.lit("1x1"), F.lit("9x16")),
