@@ -161,9 +161,12 @@ def pass_ratio(checks: DataFrame, run: str) -> DataFrame:
 
 
 def facet_counts(photos: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Counts behind the filter chips: fixed facets in one pass, then one per camera."""
+    """Counts behind the filter chips: six fixed facets, then one per camera, from one pass.
+
+    Photos are counted per camera for all facets at once; the fixed facets are sums of those rows.
+    """
     synced = F.coalesce(F.col("upload_status") == "synced", F.lit(False))
-    edited = F.col("status") != "raw"
+    edited = F.coalesce(F.col("status") != "raw", F.lit(True))
     tests = {
         "synced": synced,
         "unsynced": ~synced,
@@ -172,11 +175,30 @@ def facet_counts(photos: DataFrame, cameras: DataFrame) -> DataFrame:
         "unedited": ~edited,
         "preset-applied": F.col("preset_id").isNotNull(),
     }
-    wide = photos.agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
-    fixed = wide.unpivot([], list(tests), "facet", "photos")
-    per_camera = photos.groupBy("camera_id").agg(F.count(F.lit(1)).alias("photos"))
-    named = per_camera.join(cameras, "camera_id").select(F.col("camera_name").alias("facet"), "photos")
-    return fixed.unionByName(named)
+    per_camera = photos.groupBy("camera_id").agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(t).alias(n) for n, t in tests.items()]
+    )
+
+    def chip(facet: Column, camera: Column, count: Column) -> Column:
+        return F.struct(
+            facet.alias("facet"), camera.cast("string").alias("camera"), count.cast("long").alias("n")
+        )
+
+    nobody = F.lit(None)
+    fixed = [chip(F.lit(n), nobody, F.col(f"`{n}`")) for n in tests]
+    own = chip(F.col("camera_name"), F.col("camera_id"), F.col("_all"))
+    counted = per_camera.join(cameras, "camera_id", "left").select(F.inline(F.array(*fixed, own)))
+    # The fixed facets also show when there are no photos at all.
+    zeros = photos.sparkSession.range(1).select(
+        F.inline(F.array(*[chip(F.lit(n), nobody, F.lit(0)) for n in tests]))
+    )
+    return (
+        counted.unionByName(zeros)
+        .filter("facet IS NOT NULL")
+        .groupBy("facet", "camera")
+        .agg(F.sum("n").alias("photos"))
+        .select("facet", "photos")
+    )
 
 
 def project_panel(

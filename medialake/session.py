@@ -59,5 +59,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; the random part only keeps runs apart."""
-    return os.path.join(scratch_root(spark), "medialake", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path for this application under the shared folder; the random part only keeps runs
+    apart."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Frames read from it are then gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(scratch_root(spark), "medialake", spark.sparkContext.applicationId)

@@ -151,6 +151,19 @@ def test_stats_invariants(lake):
     assert df.agg(F.sum("total_photos")).first()[0] == lake.photos().count()
 
 
+def test_facets(spark):
+    f = spark.createDataFrame(
+        [(1, "raw", "synced", 5), (1, "published", None, None), (2, "exported", "error", 5), (3, "raw", "synced", 5)],
+        "camera_id int, status string, upload_status string, preset_id int",
+    )
+    c = spark.createDataFrame([(1, "Twin"), (2, "Twin"), (4, "Idle")], "camera_id int, camera_name string")
+    got = sorted(tuple(r) for r in stats.facet_counts(f, c).collect())
+    fixed = {"synced": 2, "unsynced": 2, "published": 1, "edited": 2, "unedited": 2, "preset-applied": 3}
+    assert got == sorted([*fixed.items(), ("Twin", 2), ("Twin", 1)])
+    none = sorted(tuple(r) for r in stats.facet_counts(f.limit(0), c).collect())
+    assert none == sorted((n, 0) for n in fixed)
+
+
 def test_empty_queue_has_no_mean(spark):
     empty = spark.createDataFrame([], "status string, progress double")
     row = stats.queue_summary(empty).first()

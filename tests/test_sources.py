@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialake.operators import changes, health
 from medialake.plans.skew import materialise
-from medialake.session import scratch_path, scratch_root
+from medialake.session import drop_scratch, scratch_path, scratch_root
 from medialake.sources import configs, documents, logs, schemas, sinks, tables
 
 
@@ -139,13 +139,20 @@ def test_bucketed_tables_join_without_shuffle(spark):
 class Named:
     """A session whose cluster names the shared folder."""
 
-    def __init__(self, folder):
+    def __init__(self, spark, folder):
         self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = spark.sparkContext
+        self._jvm, self._jsc = spark._jvm, spark._jsc
 
 
 def test_scratch_folder_is_the_one_named(spark, tmp_path):
-    named = Named(str(tmp_path))
+    named = Named(spark, str(tmp_path))
     assert scratch_root(named) == str(tmp_path)
-    assert scratch_path(named, "x").startswith(str(tmp_path))
-    assert scratch_path(named, "x") != scratch_path(named, "x")
+    path = scratch_path(named, "x")
+    assert path.startswith(str(tmp_path)) and path != scratch_path(named, "x")
+    spark.range(3).write.parquet(path)
+    other = tmp_path / "medialake" / "another-application"
+    other.mkdir()
+    drop_scratch(named)
+    assert not os.path.exists(path) and other.exists()
     assert materialise(spark.range(5), "five").agg(F.sum("id")).first()[0] == 10
