@@ -33,7 +33,9 @@ def tag_preview(photos: DataFrame, shown: int = 3) -> DataFrame:
     head, rest = T.preview(F.col("tags"), shown)
     return photos.select(
         "photo_id",
-        F.array_join(F.transform(head, lambda t: F.concat(F.lit("#"), t)), " ").alias("shown"),
+        F.when(F.size(head) > 0, F.concat(F.lit("#"), F.array_join(head, " #")))
+        .otherwise("")
+        .alias("shown"),
         F.when(rest > 0, F.concat(F.lit("+"), rest.cast("string"))).otherwise("").alias("more"),
     )
 
@@ -87,46 +89,85 @@ def merged_tags(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+# Every suggestion has a plain score and, where something can raise it, a raised one. All of these
+# are known beforehand, so they are ranked once: a photo's suggestions are then just as many ranks.
+_BONUS = {"camera": C.CAMERA_BOOST, "location": C.LOCATION_BOOST}
+
+
+def _bonus(name: str, category: str) -> float:
+    return C.GOLDEN_HOUR_BOOST if name == "golden-hour" else _BONUS.get(category, 0.0)
+
+
+_SCORES = sorted(
+    {
+        (-(base + extra), seq, name, category)
+        for seq, name, base, category in C.TAG_SUGGESTIONS
+        for extra in (0.0, _bonus(name, category))
+    }
+)
+_RANK = {(seq, -order): i for i, (order, seq, _, _) in enumerate(_SCORES)}
+
+
+def _rank(seq: int, name: str, base: float, category: str) -> Column:
+    """Rank of one suggestion for the photo in the row."""
+    plain = F.lit(_RANK[seq, base])
+    bonus = _bonus(name, category)
+    if not bonus:
+        return plain
+    if category in ("camera", "location"):
+        held = F.lower(category)
+        raised = (held != "") & F.contains(F.lit(name.lower()), held)
+    else:
+        raised = (F.col("hour") >= 16) | (F.col("hour") <= 8)
+    return F.when(raised, F.lit(_RANK[seq, base + bonus])).otherwise(plain)
+
+
 def suggestions(assets: DataFrame) -> DataFrame:
-    """Scored suggestions of the fixed catalogue per photo, best first, as an array.
+    """Scored suggestions of the fixed catalogue per photo, best first: names and confidences.
 
     Scores start from the catalogue and rise when the suggestion's name contains the photo's camera
-    or location, or in the golden hours. They may pass 1. Everything happens inside the row.
+    or location, or in the golden hours. They may pass 1. Everything happens inside the row, on small
+    whole numbers, and the lookups are written out one by one so that they are compiled.
     """
-    hour = F.col("hour")
-    golden = F.coalesce((hour >= 16) | (hour <= 8), F.lit(False))
-
-    def entry(seq: int, name: str, base: float, category: str) -> Column:
-        boost = F.lit(False)
-        bonus = 0.0
-        if category in ("camera", "location"):
-            place = F.col(category)
-            boost = F.coalesce(
-                (place != "") & F.contains(F.lit(name.lower()), F.lower(place)), F.lit(False)
-            )
-            bonus = C.CAMERA_BOOST if category == "camera" else C.LOCATION_BOOST
-        elif name == "golden-hour":
-            boost, bonus = golden, C.GOLDEN_HOUR_BOOST
-        score = F.lit(float(base))
-        if bonus:
-            score = F.when(boost, F.lit(float(base)) + F.lit(float(bonus))).otherwise(score)
-        return F.struct(
-            (-score).alias("order"),
-            F.lit(seq).alias("seq"),
-            F.lit(name).alias("name"),
-            F.lit(category).alias("category"),
-            score.alias("confidence"),
-        )
+    ranked = assets.select("photo_id", _ranks().alias("_r"))
+    names = F.array(*[F.lit(name) for _, _, name, _ in _SCORES])
+    scores = F.array(*[F.lit(-order) for order, _, _, _ in _SCORES])
+    places = [F.get("_r", F.lit(i)) for i in range(len(C.TAG_SUGGESTIONS))]
+    return ranked.select(
+        "photo_id",
+        F.array(*[F.get(names, p) for p in places]).alias("names"),
+        F.array(*[F.get(scores, p) for p in places]).alias("confidences"),
+    )
 
-    ranked = F.sort_array(F.array(*[entry(*s) for s in C.TAG_SUGGESTIONS]))
-    return assets.select("photo_id", ranked.alias("suggestions"))
+
+def _ranks() -> Column:
+    return F.sort_array(F.array(*[_rank(*s) for s in C.TAG_SUGGESTIONS]))
+
+
+def _entries() -> Column:
+    """What each rank stands for."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit(category).alias("category"),
+                F.lit(-order).alias("confidence"),
+            )
+            for order, _, name, category in _SCORES
+        ]
+    )
 
 
 def suggestion_rows(assets: DataFrame, query: str = "", category: str = "all") -> DataFrame:
-    """One row per photo and suggestion with its rank, optionally searched or of one category."""
-    rows = suggestions(assets).select(
-        "photo_id", F.posexplode("suggestions").alias("pos", "s")
-    ).select("photo_id", (F.col("pos") + 1).alias("rank"), "s.name", "s.category", "s.confidence")
-    if category != "all":
-        rows = rows.filter(F.col("category") == category)
-    return rows.filter(contains_ci("name", query)) if query else rows
+    """One row per photo and suggestion with its place, optionally searched or of one category."""
+    wanted = [
+        i
+        for i, (_, _, name, kind) in enumerate(_SCORES)
+        if category in ("all", kind) and query.lower() in name.lower()
+    ]
+    rows = assets.select("photo_id", F.posexplode(_ranks()).alias("pos", "_r")).filter(
+        F.col("_r").isin(wanted)
+    )
+    return rows.select(
+        "photo_id", (F.col("pos") + 1).alias("rank"), F.get(_entries(), F.col("_r")).alias("s")
+    ).select("photo_id", "rank", "s.name", "s.category", "s.confidence")

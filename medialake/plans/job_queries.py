@@ -159,8 +159,8 @@ def tag_suggestions(lake):
     ranked = tagging.suggestions(_suggestion_assets(lake))
     return ranked.select(
         "photo_id",
-        F.array_join(F.transform("suggestions", lambda s: s["name"]), ",").alias("ranked"),
-        F.get("suggestions", F.lit(0))["confidence"].alias("best_confidence"),
+        F.array_join("names", ",").alias("ranked"),
+        F.get("confidences", F.lit(0)).alias("best_confidence"),
     )
 
 

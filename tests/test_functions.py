@@ -81,6 +81,17 @@ def test_contains_ci_takes_wildcards_literally(spark):
     assert got == [True, False, False]
 
 
+def test_any_contains_ci(spark):
+    lists = [["Night", "harbour"], [], None, ["ight\x01har"], [None, "RIGHT"], ["t", "h"]]
+    assert column(spark, "array<string>", lists, lambda c: text.any_contains_ci(c, "IGHT")) == [
+        True, False, False, True, True, False,
+    ]
+    assert column(spark, "array<string>", lists, lambda c: text.any_contains_ci(c, "t\x01h")) == [
+        False, False, False, True, False, False,
+    ]
+    assert column(spark, "array<string>", lists[:2], lambda c: text.any_contains_ci(c, "")) == [True, False]
+
+
 def test_capitalise_first(spark):
     assert column(spark, "string", ["rAW file", ""], text.capitalise_first) == ["RAW file", ""]
 

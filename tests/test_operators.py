@@ -288,7 +288,7 @@ def test_no_presets_at_all(spark):
 def test_suggestions_against_plain_python(spark):
     cases = [("a", "son", None, 12), ("b", "canon", "Mountain", 8), ("c", None, "", 16), ("d", "x", "urb", None)]
     df = spark.createDataFrame(cases, "photo_id string, camera string, location string, hour int")
-    got = {r["photo_id"]: r["suggestions"] for r in tagging.suggestions(df).collect()}
+    got = {r["photo_id"]: r for r in tagging.suggestions(df).collect()}
     for pid, cam, place, hour in cases:
         scored = []
         for seq, name, base, cat in C.TAG_SUGGESTIONS:
@@ -300,8 +300,11 @@ def test_suggestions_against_plain_python(spark):
             if name == "golden-hour" and hour is not None and (hour >= 16 or hour <= 8):
                 score += 0.25
             scored.append((-score, seq, name))
-        assert [s["name"] for s in got[pid]] == [n for _, _, n in sorted(scored)]
-        assert [s["confidence"] for s in got[pid]] == [-s for s, _, _ in sorted(scored)]
+        assert got[pid]["names"] == [n for _, _, n in sorted(scored)]
+        assert got[pid]["confidences"] == [-s for s, _, _ in sorted(scored)]
+        rows_ = tagging.suggestion_rows(df.filter(F.col("photo_id") == pid), "N", "location").collect()
+        want = [(i + 1, n) for i, (_, _, n) in enumerate(sorted(scored)) if n in ("mountains", "urban")]
+        assert sorted((r["rank"], r["name"]) for r in rows_) == want
 
 
 def test_tag_candidates_exclude_own_tags(spark):
