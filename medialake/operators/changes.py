@@ -5,12 +5,16 @@ Each returns the new state of the table. Change sets hold at most one row per ke
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.functions.tags import add_tag
+from medialake.session import file_system
+
 
 def _stamp(df: DataFrame, column: str, as_of: str) -> Column:
     return F.lit(as_of).cast(df.schema[column].dataType)
@@ -104,8 +108,6 @@ def batch_action(
     rows: DataFrame, selected: DataFrame, key: str, action: str, value: Column | None = None
 ) -> DataFrame:
     """Apply one action to the selected rows: set a preset, add a tag, add a format, or delete."""
-    from medialake.functions.tags import add_tag
-
     picked = selected.select(key).distinct()
     if action == "delete":
         return rows.join(picked, key, "left_anti")
@@ -167,11 +169,7 @@ def drop_old_days(spark, path: str, days: int, as_of: str) -> list[str]:
 
     Only folder names are listed. The rows of the limit's own day are left to ``retain``.
     """
-    from datetime import date, timedelta
-
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, root = file_system(spark, path)
     limit = date.fromisoformat(as_of[:10]) - timedelta(days=days)
     dropped = []
     for status in fs.listStatus(root):

@@ -8,7 +8,7 @@ from medialake import catalogs as C
 from medialake.bindings import EVENTS_AS_OF
 from medialake.functions import numbers, text, times
 from medialake.functions.tags import csv_tags
-from medialake.operators import devices, naming, quality, stats, tagging
+from medialake.operators import devices, filters, naming, quality, stats, tagging
 from medialake.operators import presets as P
 from medialake.plans.registry import query
 from medialake.sources import configs
@@ -493,9 +493,7 @@ def environment_fleet(lake):
     """,
 )
 def masked_settings(lake):
-    from medialake.operators.filters import mask_settings
-
-    return mask_settings(configs.parse_env(_env_texts(lake)))
+    return filters.mask_settings(configs.parse_env(_env_texts(lake)))
 
 
 @query(

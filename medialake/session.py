@@ -66,8 +66,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder. Frames read from it are then gone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = file_system(spark, _own_folder(spark))
+    fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, local or shared, and the path in its terms."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def _own_folder(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from medialake import catalogs as C
 from medialake.operators import audit
-from medialake.session import scratch_path
+from medialake.session import file_system, scratch_path
 
 
 def health_windows(
@@ -132,8 +132,7 @@ def run_latest_states(queue: DataFrame, key: str, order: list[str], name: str =
 
 
 def _newest(spark, root: str) -> str:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, root)
     names = [s.getPath().getName() for s in fs.listStatus(path)]
     numbers = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
     return os.path.join(root, f"v{max(numbers)}")

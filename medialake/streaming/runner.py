@@ -7,19 +7,22 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.session import scratch_path
+from medialake.session import is_folder, scratch_path
 from medialake.sources import schemas as S
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """The events as a stream. Event time must carry a zone for watermarks, hence the cast."""
-    return (
-        spark.readStream.schema(S.TESTDATA["events"])
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream, from a table folder or a single file. Event time must carry a zone for
+    watermarks, hence the cast."""
+    reader = spark.readStream.schema(S.TESTDATA["events"]).option(
+        "maxFilesPerTrigger", files_per_batch
     )
+    path = os.path.join(folder, "events.parquet")
+    if is_folder(spark, path):
+        stream = reader.parquet(path)
+    else:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

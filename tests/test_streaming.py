@@ -34,6 +34,12 @@ def test_buckets_equal_batch(spark, lake, rows):
     assert rows(got, "check_type", "bucket", "checks") == rows(batch, "check_type", "bucket", "checks")
 
 
+def test_stream_of_a_table_folder(spark, lake, tmp_path):
+    lake.raw("events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = run_available(event_stream(spark, str(tmp_path)).select("event_id"), "t-folder")
+    assert got.count() == lake.events().count() == got.distinct().count()
+
+
 def parts(spark, lake, folder, n):
     """The events as several files in time order."""
     events = lake.raw("events")
