@@ -125,6 +125,16 @@ def queue_summary(items: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def presence(collaborators: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Collaborators online and in all, and whether anyone is online."""
+    online = F.col("is_online")
+    return collaborators.groupBy(*by).agg(
+        F.count_if(online).alias("online"),
+        F.count(F.lit(1)).alias("collaborators"),
+        F.bool_or(online).alias("any_online"),
+    )
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row counts of named tables as one JSON object."""
     counts = None

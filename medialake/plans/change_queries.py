@@ -312,7 +312,7 @@ def retention(lake):
 @query(
     "retention_removed",
     """
-    SELECT count_if(check_time < TIMESTAMP '2024-02-20' - INTERVAL 30 DAYS) AS removed FROM health
+    SELECT count(*) FILTER (check_time < TIMESTAMP '2024-02-20' - INTERVAL 30 DAYS) AS removed FROM health
     """,
     "health",
 )

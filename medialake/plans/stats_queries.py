@@ -16,8 +16,8 @@ from medialake.plans.registry import query
     "project_stats",
     """
     WITH c AS (
-        SELECT project_id, count(*) AS n, count_if(status <> 'raw') AS pr,
-               count_if(status IN ('exported', 'published')) AS ex, count_if(status = 'published') AS pu,
+        SELECT project_id, count(*) AS n, count(*) FILTER (status <> 'raw') AS pr,
+               count(*) FILTER (status IN ('exported', 'published')) AS ex, count(*) FILTER (status = 'published') AS pu,
                max(updated_at) AS last
         FROM tagged_photos GROUP BY 1),
     t AS (
@@ -61,7 +61,7 @@ def user_stats(lake):
 @query(
     "quick_stats",
     """
-    SELECT count(*) AS projects, count_if(status = 'active') AS active_projects,
+    SELECT count(*) AS projects, count(*) FILTER (status = 'active') AS active_projects,
            (SELECT count(*) FROM organizations) AS organizations
     FROM projects
     """,
@@ -89,12 +89,12 @@ def projects_per_org(lake):
 @query(
     "queue_summary",
     """
-    SELECT item_id, count(*) AS items, count_if(status = 'pending') AS pending,
-           count_if(status = 'syncing') AS syncing, count_if(status = 'failed') AS failed,
+    SELECT item_id, count(*) AS items, count(*) FILTER (status = 'pending') AS pending,
+           count(*) FILTER (status = 'syncing') AS syncing, count(*) FILTER (status = 'failed') AS failed,
            avg(progress) AS mean_progress,
            CAST(floor(avg(progress) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS shown_progress,
            bool_and(status = 'completed') AS all_completed, bool_or(status = 'syncing') AS any_syncing,
-           CAST(count_if(status = 'completed') AS DOUBLE) / count(*) AS done_ratio
+           CAST(count(*) FILTER (status = 'completed') AS DOUBLE) / count(*) AS done_ratio
     FROM queue GROUP BY 1
     """,
     "queue",
@@ -103,6 +103,20 @@ def queue_summary(lake):
     return stats.queue_summary(lake.queue(), ["item_id"])
 
 
+@query(
+    "collaborators_online",
+    """
+    SELECT org_id, count(*) FILTER (is_active) AS online, count(*) AS collaborators,
+           bool_or(is_active) AS any_online
+    FROM memberships JOIN users USING (user_id) GROUP BY 1
+    """,
+    "memberships users",
+)
+def collaborators_online(lake):
+    online = lake.users().select("user_id", F.col("is_active").alias("is_online"))
+    return stats.presence(lake.memberships().join(online, "user_id"), ["org_id"])
+
+
 @query(
     "table_counts_json",
     """
@@ -128,7 +142,7 @@ def _tables(lake):
 @query(
     "hit_ratio",
     """
-    SELECT CAST(date_trunc('day', ts) AS DATE) AS day, CAST(sum(100 - k) AS BIGINT) AS hits,
+    SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(100 - k) AS BIGINT) AS hits,
            CAST(sum(k) AS BIGINT) AS reads,
            round(sum(100 - k) * CAST(100 AS DOUBLE) / (sum(100 - k) + sum(k)), 2) AS hit_ratio
     FROM ev GROUP BY 1
@@ -136,15 +150,15 @@ def _tables(lake):
     "ev",
 )
 def hit_ratio(lake):
-    events = lake.events().withColumn("day", F.to_date("ts"))
+    events = lake.events().withColumn("day", F.to_date("ts").cast("string"))
     return stats.hit_ratio(events, F.lit(100) - F.col("k"), F.col("k"), ["day"])
 
 
 @query(
     "slow_ops",
     """
-    SELECT user_id, count_if(event_type <> 'view') AS active,
-           count_if(event_type <> 'view' AND value > 1) AS slow
+    SELECT user_id, count(*) FILTER (event_type <> 'view') AS active,
+           count(*) FILTER (event_type <> 'view' AND value > 1) AS slow
     FROM events GROUP BY 1
     """,
 )
@@ -155,7 +169,7 @@ def slow_ops(lake):
 @query(
     "check_pass_ratio",
     """
-    SELECT CAST(date_trunc('hour', check_time) AS TIMESTAMP) AS run, count_if(status = 'success') AS passed,
+    SELECT CAST(date_trunc('hour', check_time) AS TIMESTAMP) AS run, count(*) FILTER (status = 'success') AS passed,
            count(*) AS checks, bool_and(status = 'success') AS all_passed
     FROM health GROUP BY 1
     """,
@@ -181,11 +195,11 @@ def preset_usage(lake):
     "facet_counts",
     """
     WITH s AS (SELECT *, coalesce(upload_status = 'synced', false) AS synced FROM photos)
-    SELECT 'synced' AS facet, count_if(synced) AS photos FROM s
-    UNION ALL SELECT 'unsynced', count_if(NOT synced) FROM s
-    UNION ALL SELECT 'published', count_if(status = 'published') FROM s
-    UNION ALL SELECT 'edited', count_if(status <> 'raw') FROM s
-    UNION ALL SELECT 'unedited', count_if(status = 'raw') FROM s
+    SELECT 'synced' AS facet, count(*) FILTER (synced) AS photos FROM s
+    UNION ALL SELECT 'unsynced', count(*) FILTER (NOT synced) FROM s
+    UNION ALL SELECT 'published', count(*) FILTER (status = 'published') FROM s
+    UNION ALL SELECT 'edited', count(*) FILTER (status <> 'raw') FROM s
+    UNION ALL SELECT 'unedited', count(*) FILTER (status = 'raw') FROM s
     UNION ALL SELECT 'preset-applied', count(preset_id) FROM s
     UNION ALL SELECT camera_name, count(*) FROM photos JOIN cameras USING (camera_id) GROUP BY 1
     """,
@@ -199,7 +213,7 @@ def facet_counts(lake):
     "project_panel",
     """
     WITH c AS (
-        SELECT project_id, count(*) AS n, count_if(status = 'published') AS pu, count_if(status = 'raw') AS un
+        SELECT project_id, count(*) AS n, count(*) FILTER (status = 'published') AS pu, count(*) FILTER (status = 'raw') AS un
         FROM photos GROUP BY 1)
     SELECT p.project_id, p.name AS title, coalesce(n, 0) AS photo_count, coalesce(pu, 0) AS published_count,
            coalesce(un, 0) AS unedited_count, r.name AS preset_name, k.camera_name AS camera
@@ -230,16 +244,16 @@ def count_reconciliation(lake):
 @query(
     "audit_daily_metrics",
     """
-    SELECT CAST(ts AS DATE) AS day, count_if(op = 'STORE') AS issued, count_if(op = 'ROTATE') AS renewals,
-           round(count_if(op = 'ROTATE' AND succeeded) * CAST(100 AS DOUBLE) / nullif(count_if(op = 'ROTATE'), 0), 2)
+    SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (op = 'STORE') AS issued, count(*) FILTER (op = 'ROTATE') AS renewals,
+           round(count(*) FILTER (op = 'ROTATE' AND succeeded) * CAST(100 AS DOUBLE) / nullif(count(*) FILTER (op = 'ROTATE'), 0), 2)
              AS renewal_success_rate,
-           count_if(op = 'DELETE') AS revoked, count_if(op = 'FAIL') AS failed_attempts
+           count(*) FILTER (op = 'DELETE') AS revoked, count(*) FILTER (op = 'FAIL') AS failed_attempts
     FROM audit GROUP BY 1
     """,
     "audit",
 )
 def audit_daily_metrics(lake):
-    return audit.daily_metrics(lake.audit())
+    return audit.daily_metrics(lake.audit()).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -262,7 +276,7 @@ def key_lifetimes(lake):
     "key_states",
     """
     SELECT key, arg_max(op, (ts, event_id)) AS last_op, max(ts) AS changed_at,
-           count_if(op = 'ROTATE') AS rotations, arg_max(op, (ts, event_id)) = 'DELETE' AS revoked
+           count(*) FILTER (op = 'ROTATE') AS rotations, arg_max(op, (ts, event_id)) = 'DELETE' AS revoked
     FROM audit WHERE op IN ('STORE', 'ROTATE', 'DELETE') GROUP BY 1
     """,
     "audit",
@@ -327,9 +341,9 @@ def health_report(lake):
 @query(
     "performance_report",
     """
-    SELECT '{"active_connections":' || CAST(count_if(event_type <> 'view') AS VARCHAR) || ',"cache_hit_ratio":'
+    SELECT '{"active_connections":' || CAST(count(*) FILTER (event_type <> 'view') AS VARCHAR) || ',"cache_hit_ratio":'
            || CAST(round(sum(100 - k) * CAST(100 AS DOUBLE) / (sum(100 - k) + sum(k)), 2) AS VARCHAR)
-           || ',"slow_queries":' || CAST(count_if(event_type <> 'view' AND value > 1) AS VARCHAR)
+           || ',"slow_queries":' || CAST(count(*) FILTER (event_type <> 'view' AND value > 1) AS VARCHAR)
            || ',"timestamp":"2024-01-31 00:00:00"}' AS report
     FROM ev
     """,
@@ -367,7 +381,7 @@ def key_lifetime_summary(lake):
     "live_keys",
     """
     SELECT key AS key_id, rotations FROM (
-        SELECT key, arg_max(op, (ts, event_id)) AS last_op, count_if(op = 'ROTATE') AS rotations
+        SELECT key, arg_max(op, (ts, event_id)) AS last_op, count(*) FILTER (op = 'ROTATE') AS rotations
         FROM audit WHERE op IN ('STORE', 'ROTATE', 'DELETE') GROUP BY 1)
     WHERE last_op <> 'DELETE'
     """,
@@ -382,7 +396,7 @@ def live_keys(lake):
     "check_buckets",
     """
     SELECT check_type, time_bucket(INTERVAL 300 SECONDS, check_time, TIMESTAMP '1970-01-01') AS bucket,
-           count(*) AS checks, count_if(status = 'fail') AS failures
+           count(*) AS checks, count(*) FILTER (status = 'fail') AS failures
     FROM health GROUP BY 1, 2
     """,
     "health",
@@ -424,7 +438,7 @@ def syncs_last_day(lake):
     "latest_per_item",
     """
     SELECT item_id, arg_max(status, (ts, event_id)) AS status, arg_max(progress, (ts, event_id)) AS progress,
-           max(ts) AS at, count_if(status = 'completed') AS completions
+           max(ts) AS at, count(*) FILTER (status = 'completed') AS completions
     FROM queue GROUP BY 1
     """,
     "queue",

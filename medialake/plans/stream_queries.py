@@ -107,7 +107,7 @@ def audit_log_scan(lake):
     """
     SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARN' WHEN 'view' THEN 'INFO'
                            WHEN 'signup' THEN 'LOG' END AS level,
-           CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END AS day, count(*) AS lines,
+           CASE WHEN event_type = 'signup' THEN strftime(ts, '%Y-%m-%d') END AS day, count(*) AS lines,
            min(CASE WHEN event_type = 'purchase' THEN 'plain ' ELSE '' END || 'user ' || CAST(user_id AS VARCHAR)) AS first_message
     FROM events GROUP BY 1, 2
     """,
@@ -126,7 +126,7 @@ def service_log_scan(lake):
     path = scratch_path(lake.spark, "service-log")
     lake.events().select(line.alias("value")).write.text(path)
     read = logs.read_service_log(lake.spark, path)
-    return read.groupBy("level", F.to_date("ts").alias("day")).agg(
+    return read.groupBy("level", F.to_date("ts").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("lines"), F.min("message").alias("first_message")
     )
 
@@ -134,7 +134,7 @@ def service_log_scan(lake):
 @query(
     "health_history_append",
     """
-    SELECT CAST(check_time AS DATE) AS day, check_type, status, count(*) AS checks,
+    SELECT strftime(check_time, '%Y-%m-%d') AS day, check_type, status, count(*) AS checks,
            CAST(sum(response_time_ms) AS BIGINT) AS total_ms
     FROM health GROUP BY 1, 2, 3
     """,
@@ -148,7 +148,7 @@ def health_history_append(lake):
         sinks.append_health(part, path)
     return (
         sinks.read_health(lake.spark, path)
-        .groupBy(F.col("check_date").alias("day"), "check_type", "status")
+        .groupBy(F.col("check_date").cast("string").alias("day"), "check_type", "status")
         .agg(
             F.count(F.lit(1)).alias("checks"),
             F.sum(F.col("response_time_ms").cast("long")).alias("total_ms"),
@@ -209,7 +209,7 @@ def _queue(lake):
                                       date_trunc('hour', check_time), INTERVAL 1 HOUR)) AS start
         FROM health)
     SELECT check_type, start, start + INTERVAL 24 HOURS AS "end", count(*) AS checks,
-           count_if(status = 'fail') AS failures, CAST(sum(response_time_ms) AS BIGINT) AS total_ms
+           count(*) FILTER (status = 'fail') AS failures, CAST(sum(response_time_ms) AS BIGINT) AS total_ms
     FROM w WHERE start + INTERVAL 24 HOURS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES
     GROUP BY 1, 2
     """,
@@ -280,7 +280,7 @@ def notes_debounced(lake):
     "latest_state_stream",
     """
     SELECT item_id, arg_max(status, (ts, event_id)) AS status, arg_max(progress, (ts, event_id)) AS progress,
-           max(ts) AS ts, count_if(status = 'completed') AS completions
+           max(ts) AS ts, count(*) FILTER (status = 'completed') AS completions
     FROM queue GROUP BY 1
     """,
     "queue",

@@ -111,7 +111,7 @@ def role_lookup(lake):
     "tenant_matrix",
     """
     WITH per_org AS (
-        SELECT org_id, count(*) AS n, count_if(status = 'active') AS a FROM tenant_projects GROUP BY 1)
+        SELECT org_id, count(*) AS n, count(*) FILTER (status = 'active') AS a FROM tenant_projects GROUP BY 1)
     SELECT user_id, count(*) AS organizations, CAST(sum(coalesce(n, 0)) AS BIGINT) AS visible_projects,
            CAST(sum(coalesce(a, 0)) AS BIGINT) AS visible_active,
            CAST(sum(CASE WHEN role = 'admin' THEN coalesce(n, 0) ELSE 0 END) AS BIGINT) AS admin_projects
