@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medialake.llm import oracles
 from medialake.llm.common import table
 from medialake.llm.line_dedup import drop_shared_lines
+from medialake.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,4 +31,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+@query
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), size=3, radius=3)
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
