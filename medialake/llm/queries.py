@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from medialake.llm import oracles
 from medialake.llm.common import table
+from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.simhash import near_duplicates
 
@@ -36,4 +37,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), size=3, radius=3)
 
 
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), size=5, share=0.8)
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
