@@ -11,6 +11,7 @@ from medialake.llm import oracles
 from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
+from medialake.llm.quality import judged
 from medialake.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,4 +43,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contained_items(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), size=5, share=0.8)
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *counts, "base_failed", "kept", "score")
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
