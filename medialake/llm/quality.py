@@ -89,7 +89,9 @@ def repeated_words(word_hashes: Column) -> Column:
     return _let(_let(_pairs(word_hashes), _pairs), of).cast("long")
 
 
-def target_ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_col: str) -> list[float]:
+def target_ratios(
+    docs: DataFrame, labels: DataFrame, buckets: int, prior: float, id_col: str, text_col: str
+) -> list[float]:
     """The logarithm of trusted over raw probability for every cell."""
     good = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     joined = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(
@@ -104,22 +106,25 @@ def target_ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str,
     for cell, is_trusted, n in cells.groupBy("cell", "trusted").count().select("cell", "trusted", "count").collect():
         raw[cell] += n
         trusted[cell] += n if is_trusted else 0
-    of_raw, of_trusted = math.log(sum(raw) + buckets), math.log(sum(trusted) + buckets)
     if not any(trusted):
         return [0.0] * buckets
-    return [math.log(t + 1) - of_trusted - math.log(r + 1) + of_raw for t, r in zip(trusted, raw, strict=True)]
+    # Smoothing is `prior` n-grams a cell in the raw corpus and their share in the trusted target, so
+    # that a cell of few n-grams, of which chance may have put none into the target, says little.
+    rate = sum(trusted) / sum(raw)
+    return [math.log((t / rate + prior) / (r + prior)) for t, r in zip(trusted, raw, strict=True)]
 
 
 def judged(
     docs: DataFrame,
     labels: DataFrame,
     buckets: int = 1 << 16,
+    prior: float = 50.0,
     threshold: float = -0.1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """`docs` with the base counts, `base_failed`, `score` and `kept`."""
-    ratios = target_ratios(docs, labels, buckets, id_col, text_col)
+    ratios = target_ratios(docs, labels, buckets, prior, id_col, text_col)
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
     text = F.col(text_col)
     # Words and their hashes are columns of their own, as several counts use them.
