@@ -12,6 +12,7 @@ from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.quality import judged
+from medialake.llm.sharding import sharded
 from medialake.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,4 +51,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
+@query
+def op4_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    out = sharded(docs, n_shards=16, key="doc_id", carry={"doc_id": F.col("doc_id"), "text_crc32": crc})
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
