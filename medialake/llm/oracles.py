@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+# SQL has no case folding for ASCII letters only, so the pattern spells both cases.
+_ASSIGN = (
+    "'("
+    + "|".join(
+        "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+        for w in ("password", "passwd", "secret", "token", "api_?key")
+    )
+    + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+)
+
 ORACLES: dict[str, str] = {
     "op8_line_dedup": r"""
 with lines as (
@@ -23,4 +33,54 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """,
+    "op1_secret_ownership": r"""
+with texts as (
+  select row_number() over () as row, doc_id, coalesce(text, '') as text, source as owner,
+         concat_ws('/', source, lang) as repository
+  from documents),
+patterns(kind, name, pattern, grp, least) as (values
+  (0, 'assign', @ASSIGN@, 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+  (2, 'hex', '[0-9a-f]+', 0, 24)),
+cut as (
+  select row, 0 as kind,
+         regexp_extract_all(text, @ASSIGN@, 0) as whole,
+         regexp_extract_all(text, @ASSIGN@, 2) as value,
+         string_split_regex(text, @ASSIGN@) as gap
+  from texts
+  union all
+  select row, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0),
+         string_split_regex(text, 'AKIA[A-Z0-9]+') from texts
+  union all
+  select row, 2, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0),
+         string_split_regex(text, '[0-9a-f]+') from texts),
+flat as (
+  select row, kind, unnest(range(1, len(whole) + 1)) as i, unnest(whole) as whole, unnest(value) as value,
+         unnest(gap[1:len(whole)]) as gap
+  from cut),
+placed as (
+  select row, f.kind, value, length(whole) as n,
+         sum(length(gap) + length(whole)) over (partition by row, f.kind order by i) as stop, p.name
+  from flat f join patterns p on f.kind = p.kind
+  qualify length(value) >= p.least),
+spans as (
+  select row, kind, value, stop - n as start, name || ':' || (stop - n) || ':' || stop as span from placed),
+owned as (
+  select value, count(distinct owner) as n_owners, count(distinct repository) as n_repositories
+  from spans join texts using (row) group by value),
+per_doc as (
+  select row,
+         count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
+         count(*) filter (where kind = 2) as n_hex,
+         string_agg(span, ',' order by start, kind) as spans,
+         count(*) filter (where n_owners >= 3) as n_copied, count(*) filter (where n_owners < 3) as n_live,
+         max(n_owners) as max_owners, max(n_repositories) as max_repositories,
+         string_agg(span, ',' order by start, kind) filter (where n_owners < 3) as live_spans
+  from spans join owned using (value) group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_copied, 0) as n_copied, coalesce(n_live, 0) as n_live, coalesce(max_owners, 0) as max_owners,
+       coalesce(max_repositories, 0) as max_repositories, coalesce(live_spans, '') as live_spans
+from texts left join per_doc using (row)
+""".replace("@ASSIGN@", _ASSIGN),
 }

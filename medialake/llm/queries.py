@@ -12,6 +12,7 @@ from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.quality import judged
+from medialake.llm.secrets import scanned
 from medialake.llm.sharding import sharded
 from medialake.llm.simhash import near_duplicates
 
@@ -67,4 +68,12 @@ def op4_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for an owner, and a source's documents in one language for a repository."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = scanned(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    return out.withColumn("base_sha256", F.sha2(F.col("spans"), 256))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
