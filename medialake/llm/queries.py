@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from medialake.llm.quality import judged
 from medialake.llm.secrets import scanned
 from medialake.llm.sharding import sharded
 from medialake.llm.simhash import near_duplicates
+from medialake.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,4 +78,11 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_sha256", F.sha2(F.col("spans"), 256))
 
 
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    files = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return read_tokens(files, docs)
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
