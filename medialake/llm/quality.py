@@ -2,7 +2,9 @@
 
 Words and word pairs of all documents are hashed into `buckets` cells. Two smoothed multinomials over
 the cells are counted, one from the documents that are labelled good (the trusted target), one from
-all documents (the raw corpus). A document's score is the mean over its n-grams of the logarithm of
+all documents (the raw corpus). The target is fitted on the first `max_trusted` good documents by a
+hash of their ids, a stated bound, so their ids can be sent to all tasks; the raw corpus is counted
+over every document. A document's score is the mean over its n-grams of the logarithm of
 their ratio; a document is kept if no base rule fails and its score reaches the threshold.
 
 Everything is built-in functions. The driver sees `buckets` counts for each of the two models, a
@@ -45,9 +47,13 @@ def _pairs(hashes: Column) -> Column:
     return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def n_grams(word_hashes: Column) -> Column:
-    """Hashes of the words and of the word pairs."""
-    return _let(word_hashes, lambda w: F.concat(w, _pairs(w)))
+def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with its words, their hashes and the hashes of word pairs, each computed once."""
+    return (
+        docs.withColumn("__words", words(F.col(text_col)))
+        .withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+        .withColumn("__pairs", _pairs(F.col("__hashes")))
+    )
 
 
 def _cell(h: Column, buckets: int) -> Column:
@@ -61,11 +67,11 @@ def duplicate_lines(text: Column) -> Column:
     return _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def repeated_words(word_hashes: Column) -> Column:
+def repeated_words(pairs: Column) -> Column:
     """Words that lie in a window of three words found twice or more."""
 
     def covered(windows: Column) -> Column:
-        placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def marked(s: Column) -> Column:
             # Equal windows are neighbours now; each is compared with the one before and after it.
@@ -86,22 +92,28 @@ def repeated_words(word_hashes: Column) -> Column:
     def of(windows: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered(windows)).otherwise(0)
 
-    return _let(_let(_pairs(word_hashes), _pairs), of).cast("long")
+    return _let(_pairs(pairs), of).cast("long")
 
 
 def target_ratios(
-    docs: DataFrame, labels: DataFrame, buckets: int, prior: float, id_col: str, text_col: str
+    docs: DataFrame, labels: DataFrame, buckets: int, prior: float, max_trusted: int, id_col: str, text_col: str
 ) -> list[float]:
     """The logarithm of trusted over raw probability for every cell."""
-    good = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
+    good = (
+        labels.groupBy(F.col(id_col).alias("label_id"))
+        .agg(F.max("quality").alias("quality"))
+        .where("quality = 1 and label_id is not null")
+        .orderBy(F.xxhash64("label_id"), "label_id")
+        .limit(max_trusted)
+        .select("label_id")
+    )
     joined = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(
-        good.select("label_id"), F.col("doc") == F.col("label_id"), "left"
+        F.broadcast(good), F.col("doc") == F.col("label_id"), "left"
     )
-    hashes = n_grams(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
-    cells = joined.select(
-        F.col("label_id").isNotNull().alias("trusted"),
-        F.explode(F.transform(hashes, lambda h: _cell(h, buckets))).alias("cell"),
+    hashes = _hashed(joined, "text").select(
+        F.col("label_id").isNotNull().alias("trusted"), F.explode(F.concat("__hashes", "__pairs")).alias("h")
     )
+    cells = hashes.select(_cell(F.col("h"), buckets).alias("cell"), "trusted")
     raw, trusted = [0] * buckets, [0] * buckets
     for cell, is_trusted, n in cells.groupBy("cell", "trusted").count().select("cell", "trusted", "count").collect():
         raw[cell] += n
@@ -120,20 +132,18 @@ def judged(
     buckets: int = 1 << 16,
     prior: float = 50.0,
     threshold: float = -0.1,
+    max_trusted: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """`docs` with the base counts, `base_failed`, `score` and `kept`."""
-    ratios = target_ratios(docs, labels, buckets, prior, id_col, text_col)
+    ratios = target_ratios(docs, labels, buckets, prior, max_trusted, id_col, text_col)
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
     text = F.col(text_col)
-    # Words and their hashes are columns of their own, as several counts use them.
-    hashed = docs.withColumns({"__words": words(text)}).withColumns(
-        {"__hashes": F.transform("__words", lambda w: F.xxhash64(w))}
-    )
+    hashed = _hashed(docs, text_col)
     n_words = F.size("__words").cast("long")
     total = F.aggregate(
-        n_grams(F.col("__hashes")), F.lit(0.0), lambda acc, h: acc + F.get(table, _cell(h, buckets))
+        F.concat("__hashes", "__pairs"), F.lit(0.0), lambda acc, h: acc + F.get(table, _cell(h, buckets))
     )
     out = hashed.withColumns(
         {
@@ -141,10 +151,10 @@ def judged(
             "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0)).cast("long"),
             "n_dup_lines": duplicate_lines(text),
-            "n_repeat_words": repeated_words(F.col("__hashes")),
+            "n_repeat_words": repeated_words(F.col("__pairs")),
             "score": F.when(n_words > 0, F.round(total / (2 * n_words - 1), 6)),
         }
-    ).drop("__words", "__hashes")
+    ).drop("__words", "__hashes", "__pairs")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
