@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import SPACES, lower_ascii
+from medialake.llm.common import SPACES, lower_ascii, saved
 
 
 def _key(line: Column, min_chars: int) -> Column:
@@ -37,14 +37,16 @@ def drop_shared_lines(
     """
     text = F.col(text_col)
     row_hash = F.xxhash64(text)
-    placed = (
+    # Both uses below read the hashes of the lines, so they are written once.
+    placed = saved(
         docs.select(
             F.col(id_col).alias("doc"),
             row_hash.alias("row"),
             F.posexplode(F.transform(_lines(text), lambda x: _key(x, min_chars))).alias("pos", "key"),
         )
         .where("key is not null")
-        .select("doc", "row", "pos", "key.h1", "key.h2")
+        .select("doc", "row", "pos", "key.h1", "key.h2"),
+        "lines",
     )
     # One row per distinct (key, document), then one per key. Both steps combine before their
     # shuffle, so a line that most documents hold makes no hot group.
