@@ -12,6 +12,7 @@ from medialake.llm import oracles
 from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
+from medialake.llm.pieces import sampled_pieces
 from medialake.llm.quality import judged
 from medialake.llm.secrets import scanned
 from medialake.llm.sharding import sharded
@@ -85,4 +86,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files, docs)
 
 
+@query
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = sampled_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, with_ids=False)
+    return out.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
