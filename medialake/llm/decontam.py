@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,19 +174,68 @@ def contained_items(
     kinds = [f.schema[0].dataType.simpleString() for f in (narrow, asked)]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles long, n_shared long, containment double"
     item_type = to_arrow_type(asked.schema["item_id"].dataType)
-    # Half-filled blocks on average, so that a block over the bound is very unlikely.
-    n_blocks = max(1, math.ceil(asked.count() / block * 2)) if asked.count() > block else 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    out = None
-    for b in range(n_blocks):
-        found = _search(narrow, [tuple(r) for r in asked.where(part == b).collect()], size, values, share, schema, item_type)
-        out = found if out is None else out.unionByName(found)
-    if n_blocks > 1:  # texts of one item_id may be in several blocks
+    parts = [_search(narrow, rows, size, values, share, schema, item_type) for rows in _blocks(asked, block)]
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:  # texts of one item_id may be in several blocks
         best = F.max_by(F.struct("n_shingles", "n_shared", "containment"), "containment").alias("b")
         out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
     return out
 
 
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = 5,
+    share: float = 0.8,
+    miss: float = 1e-6,
+    block: int = 20_000,
+    item_col: str = "item_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs` whose text holds none of the items, as they are; nothing is shuffled."""
+    values = n_values(share, miss)
+    for rows in _blocks(items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), block):
+        docs = docs.mapInArrow(_filter(docs, rows, docs.columns.index(text_col), size, values, share), docs.schema)
+    return docs
+
+
+def _filter(docs: DataFrame, rows: list[tuple], at: int, size: int, values: int, share: float) -> Callable:
+    shipped = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = Items(shipped.value, size, values), WordHashes()
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[n for n, *_ in _found(index, batch.column(at), share, known)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _found(index: Items, texts: pa.Array, share: float, known: WordHashes) -> Iterator[tuple]:
+    """(row, item id, shingles, shared shingles) over a batch, some texts at a time."""
+    rows, held, n_words = [], [], 0
+    for n, t in enumerate(texts):
+        if words := words_of(t.as_py()):
+            rows.append(n)
+            held.append(words)
+            n_words += len(words)
+        if held and (n_words >= _AT_ONCE or n == len(texts) - 1):
+            for i, item, m, s in index.contained(held, share, known):
+                yield rows[i], item, m, s
+            rows, held, n_words = [], [], 0
+
+
+def _blocks(asked: DataFrame, block: int) -> Iterator[list[tuple]]:
+    """The items in parts by a hash, each of `block` rows at most but for chance."""
+    n = asked.count()
+    # Blocks are half full on average, so that one over the bound is very unlikely.
+    n_blocks = math.ceil(n / block * 2) if n > block else 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for b in range(n_blocks):
+        yield [tuple(r) for r in asked.where(part == b).collect()]
+
+
 def _search(
     narrow: DataFrame, rows: list[tuple], size: int, values: int, share: float, schema: str, item_type: pa.DataType
 ) -> DataFrame:
@@ -194,16 +244,10 @@ def _search(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = Items(shipped.value, size, values), WordHashes()
         for batch in batches:
-            out = []
-            ids, texts, held = [], [], 0
-            for n, (d, t) in enumerate(zip(*batch.columns, strict=True), 1):
-                if words := words_of(t.as_py()):
-                    ids.append(d.as_py())
-                    texts.append(words)
-                    held += len(words)
-                if held >= _AT_ONCE or (n == batch.num_rows and texts):
-                    out += [(ids[i], item, m, s, s / m) for i, item, m, s in index.contained(texts, share, known)]
-                    ids, texts, held = [], [], 0
+            ids = batch.column(0)
+            out = [
+                (ids[n].as_py(), item, m, s, s / m) for n, item, m, s in _found(index, batch.column(1), share, known)
+            ]
             types = [batch.schema.field(0).type, item_type, pa.int64(), pa.int64(), pa.float64()]
             columns = list(zip(*out, strict=True)) or [()] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
