@@ -13,6 +13,7 @@ from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.pieces import sampled_pieces
+from medialake.llm.pitman_yor import scored
 from medialake.llm.quality import judged
 from medialake.llm.secrets import scanned
 from medialake.llm.sharding import sharded
@@ -93,4 +94,9 @@ def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
 
 
+@query
+def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_documents(spark, sf_dir))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
