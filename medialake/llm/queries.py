@@ -18,6 +18,7 @@ from medialake.llm.quality import judged
 from medialake.llm.secrets import scanned
 from medialake.llm.sharding import sharded
 from medialake.llm.simhash import near_duplicates
+from medialake.llm.suffixes import without_repeats
 from medialake.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,4 +100,9 @@ def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_documents(spark, sf_dir))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_documents(spark, sf_dir))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
