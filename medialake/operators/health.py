@@ -47,16 +47,24 @@ def check_buckets(history: DataFrame, seconds: int = C.HEALTH_BUCKET_SECONDS) ->
 def missed_buckets(history: DataFrame, seconds: int = C.HEALTH_BUCKET_SECONDS) -> DataFrame:
     """Buckets between the first and last check of a type in which it did not run.
 
-    The expected buckets are generated per type from two timestamps; those present are reduced to
+    The expected buckets are generated in two steps, days and then the buckets of each day, with a
+    shuffle between, so that no task makes a type's whole range; those present are reduced to
     distinct buckets before the two meet.
     """
     present = check_buckets(history, seconds).select("check_type", "bucket")
-    step = F.make_dt_interval(secs=F.lit(seconds))
-    expected = (
+    step, day = F.make_dt_interval(secs=F.lit(seconds)), F.make_dt_interval(days=F.lit(1))
+    # Days count from the first bucket of the type, so that a day holds its buckets whole only where
+    # the bucket length divides a day; others would drift.
+    if 86_400 % seconds:
+        raise ValueError("the bucket length must divide a day")
+    days = (
         present.groupBy("check_type")
         .agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-        .select("check_type", F.explode(F.sequence("a", "b", step)).alias("bucket"))
+        .select("check_type", "b", F.explode(F.sequence("a", "b", day)).alias("day"))
+        .repartition("check_type", "day")
     )
+    until = F.least(F.col("day") + day - step, F.col("b"))
+    expected = days.select("check_type", F.explode(F.sequence("day", until, step)).alias("bucket"))
     return expected.join(present, ["check_type", "bucket"], "left_anti")
 
 
@@ -110,35 +118,58 @@ def syncs_last_day(queue: DataFrame, as_of: str, by: str) -> DataFrame:
 STRETCH = 4096  # gap-long slots handled as one group
 
 
-def idle_sessions(activity: DataFrame, key: str, gap_seconds: float) -> DataFrame:
-    """Connections as runs of activity, closed once silence is longer than the gap, for keys of any
-    size.
+def session_slots(activity: DataFrame, key: str, gap_seconds: float, last: Column | None = None) -> DataFrame:
+    """Activity reduced to one row per gap-long slot, which always lies in a single run. Slots of
+    several parts of the activity may be put together again by ``merged_slots``.
 
-    Activity is first reduced to one row per gap-long slot, which always lies in a single run. Runs
-    are then formed within stretches of a fixed number of slots. Only runs touching the edge of a
-    stretch can continue in the next one; these few are joined up per key.
+    ``last`` is a struct that begins with the order of the rows; its greatest value is kept.
     """
     gap = int(gap_seconds * 1_000_000)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    slots = (
-        activity.groupBy(key, F.floor(micros / F.lit(gap)).cast("long").alias("_slot"))
-        .agg(F.min("ts").alias("opened"), F.max("ts").alias("last_active"), F.count(F.lit(1)).alias("events"))
-        .withColumn("_stretch", F.floor(F.col("_slot") / F.lit(STRETCH)).cast("long"))
+    return activity.groupBy(key, F.floor(micros / F.lit(gap)).cast("long").alias("_slot")).agg(
+        F.min("ts").alias("opened"),
+        F.max("ts").alias("last_active"),
+        F.count(F.lit(1)).alias("events"),
+        F.max(F.lit(None).cast("string") if last is None else last).alias("last"),
     )
+
+
+def merged_slots(slots: DataFrame, key: str) -> DataFrame:
+    return slots.groupBy(key, "_slot").agg(
+        F.min("opened").alias("opened"),
+        F.max("last_active").alias("last_active"),
+        F.sum("events").alias("events"),
+        F.max("last").alias("last"),
+    )
+
+
+def sessions_of_slots(slots: DataFrame, key: str, gap_seconds: float) -> DataFrame:
+    """Connections as runs of slots, closed once silence is longer than the gap.
+
+    Runs are formed within stretches of a fixed number of slots. Only runs touching the edge of a
+    stretch can continue in the next one; these few are joined up per key.
+    """
+    gap = int(gap_seconds * 1_000_000)
+    slots = slots.withColumn("_stretch", F.floor(F.col("_slot") / F.lit(STRETCH)).cast("long"))
     pause = F.make_dt_interval(secs=F.lit(gap / 1_000_000))
     local = _merge_runs(
         slots, [key, "_stretch"], pause, F.min("_slot").alias("_a"), F.max("_slot").alias("_b")
     )
     edge = (F.col("_a") % STRETCH == 0) | ((F.col("_b") + 1) % STRETCH == 0)
-    columns = [key, "opened", "last_active", "events"]
+    columns = [key, "opened", "last_active", "events", "last"]
     inner = local.filter(~edge).select(*columns)
     # At most two runs of each key and stretch.
     outer = _merge_runs(local.filter(edge), [key], pause).select(*columns)
     return inner.unionByName(outer).select(
-        key, "opened", "last_active", (F.col("last_active") + pause).alias("closed"), "events"
+        key, "opened", "last_active", (F.col("last_active") + pause).alias("closed"), "events", "last"
     )
 
 
+def idle_sessions(activity: DataFrame, key: str, gap_seconds: float) -> DataFrame:
+    """Connections as runs of activity, for keys of any size."""
+    return sessions_of_slots(session_slots(activity, key, gap_seconds), key, gap_seconds).drop("last")
+
+
 def _merge_runs(parts: DataFrame, keys: list[str], pause: Column, *more: Column) -> DataFrame:
     """Join neighbouring parts unless more than the pause lies between them."""
     along = W.partitionBy(*keys).orderBy("opened")
@@ -149,6 +180,7 @@ def _merge_runs(parts: DataFrame, keys: list[str], pause: Column, *more: Column)
         F.min("opened").alias("opened"),
         F.max("last_active").alias("last_active"),
         F.sum("events").alias("events"),
+        F.max("last").alias("last"),
         *more,
     )
 

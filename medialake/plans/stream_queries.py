@@ -1,7 +1,7 @@
 """Registered queries: file round trips and streams over the events.
 
-The streams process what is there and return the rows of closed windows. Their SQL twins apply the
-same closing rule: a window counts once the latest event less the delay has passed its end.
+The streams process what is there, in any number of batches, and return all of it; their SQL twins
+are plain aggregates over the whole table. Files and parts go to the shared folder of the session.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from medialake.plans.registry import query
 from medialake.session import scratch_path
 from medialake.sources import documents, logs, sinks, tables
 from medialake.streaming import monitors
-from medialake.streaming.runner import event_stream, run_available
+from medialake.streaming.runner import event_stream
 
 
 def _naive(*columns: str):
@@ -210,14 +210,12 @@ def _queue(lake):
         FROM health)
     SELECT check_type, start, start + INTERVAL 24 HOURS AS "end", count(*) AS checks,
            count(*) FILTER (status = 'fail') AS failures, CAST(sum(response_time_ms) AS BIGINT) AS total_ms
-    FROM w WHERE start + INTERVAL 24 HOURS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES
-    GROUP BY 1, 2
+    FROM w GROUP BY 1, 2
     """,
     "health",
 )
 def health_24h(lake):
-    closed = run_available(monitors.health_windows(_checks(lake)), "health-24h")
-    return closed.withColumns(_naive("start", "end"))
+    return monitors.run_health_windows(_checks(lake)).withColumns(_naive("start", "end"))
 
 
 @query(
@@ -226,13 +224,11 @@ def health_24h(lake):
     SELECT check_type, time_bucket(INTERVAL 300 SECONDS, check_time, TIMESTAMP '1970-01-01') AS bucket,
            count(*) AS checks
     FROM health GROUP BY 1, 2
-    HAVING bucket + INTERVAL 300 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES
     """,
     "health",
 )
 def check_buckets_stream(lake):
-    closed = run_available(monitors.check_buckets(_checks(lake)), "check-buckets")
-    return closed.withColumns(_naive("bucket"))
+    return monitors.run_check_buckets(_checks(lake)).withColumns(_naive("bucket"))
 
 
 SESSIONS = """
@@ -249,14 +245,11 @@ SESSIONS = """
     + """
     SELECT user_id, min(ts) AS opened, max(ts) + INTERVAL 600 SECONDS AS closed, count(*) AS events
     FROM g GROUP BY user_id, n
-    HAVING max(ts) + INTERVAL 600 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES
     """,
 )
 def idle_sessions(lake):
     events = event_stream(lake.spark, lake.folder).select("user_id", "ts")
-    closed = run_available(
-        monitors.idle_sessions(events, "user_id", C.FTP_IDLE_SECONDS), "idle-sessions"
-    )
+    closed = monitors.run_idle_sessions(events, "user_id", C.FTP_IDLE_SECONDS)
     return closed.withColumns(_naive("opened", "closed"))
 
 
@@ -264,15 +257,13 @@ def idle_sessions(lake):
     "notes_debounced",
     SESSIONS.format(gap="600 MILLISECONDS")
     + """
-    SELECT user_id, max(ts) AS saved_at, arg_max(props, ts) AS props
+    SELECT user_id, max(ts) AS saved_at, arg_max(props, (ts, event_id)) AS props
     FROM g GROUP BY user_id, n
-    HAVING max(ts) + INTERVAL 600 MILLISECONDS
-           <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 SECONDS
     """,
 )
 def notes_debounced(lake):
-    edits = event_stream(lake.spark, lake.folder).select("user_id", "ts", "props")
-    saved = run_available(monitors.debounced(edits, "user_id", "props"), "notes")
+    edits = event_stream(lake.spark, lake.folder).select("user_id", "event_id", "ts", "props")
+    saved = monitors.run_debounced(edits, "user_id", "props", "event_id")
     return saved.withColumns(_naive("saved_at"))
 
 
@@ -316,9 +307,7 @@ def audit_alerts(lake):
         F.concat(F.lit("user"), (k % 10).cast("string")).alias("user"),
         F.when(k % 4 != 0, F.concat(F.lit("host"), (k % 3).cast("string"))).alias("client"),
     )
-    found = run_available(
-        monitors.audit_alerts(lines, "(DELETE|FAIL|user7)", "event_id"), "alerts"
-    )
+    found = monitors.run_audit_alerts(lines, "(DELETE|FAIL|user7)", "event_id")
     return found.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "op", "key")
 
 
@@ -341,12 +330,9 @@ def audit_alerts_batch(lake):
         SELECT item_id, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR,
                                                date_trunc('hour', ts) + INTERVAL 24 HOURS, INTERVAL 1 HOUR)) AS until
         FROM queue WHERE status = 'completed')
-    SELECT item_id, until, count(*) AS syncs FROM w
-    WHERE until <= (SELECT date_trunc('millisecond', max(ts)) FROM queue WHERE status = 'completed') - INTERVAL 10 MINUTES
-    GROUP BY 1, 2
+    SELECT item_id, until, count(*) AS syncs FROM w GROUP BY 1, 2
     """,
     "queue",
 )
 def syncs_24h(lake):
-    closed = run_available(monitors.syncs_per_day(_queue(lake), "item_id"), "syncs")
-    return closed.withColumns(_naive("until"))
+    return monitors.run_syncs_per_day(_queue(lake), "item_id").withColumns(_naive("until"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.session import is_folder, scratch_path
+from medialake.session import file_system, is_folder, scratch_path
 from medialake.sources import schemas as S
 
 
@@ -43,3 +44,60 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(os.path.join(root, "rows"))
+
+
+def run_parts(
+    stream: DataFrame,
+    name: str,
+    part: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame] | None = None,
+    every: int = 0,
+) -> DataFrame:
+    """Reduce every batch of a stored stream to a part, then read all parts.
+
+    A part is a folder named by its batch, written whole, so a batch that is run again leaves the
+    same part. With ``merge``, each ``every`` parts of one level become one of the next; the smaller
+    ones go once the larger one is complete. Which parts count follows from the batch number alone.
+    """
+    spark = stream.sparkSession
+    root = scratch_path(spark, name)
+    shape = part(spark.createDataFrame([], stream.schema)).schema
+    last = [-1]
+
+    def path(level: int, number: int) -> str:
+        return os.path.join(root, "parts", f"level{level}-{number}")
+
+    def read(paths: list[str]) -> DataFrame:
+        return spark.read.schema(shape).parquet(*paths)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        part(rows).write.mode("overwrite").parquet(path(0, batch))
+        level, number = 0, batch
+        while merge and (number + 1) % every == 0:
+            old = [path(level, number - k) for k in range(every)]
+            level, number = level + 1, number // every
+            if all(_written(spark, p) for p in old):  # else an earlier run has merged and removed them
+                merge(read(old)).write.mode("overwrite").parquet(path(level, number))
+                for p in old:
+                    fs, place = file_system(spark, p)
+                    fs.delete(place, True)
+        last[0] = batch
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    left, level, paths = last[0] + 1, 0, []
+    while left:  # the digits of the batch count say which parts of each level are not merged
+        digit = left % every if merge else left
+        paths += [path(level, left - 1 - k) for k in range(digit)]
+        left, level = (left // every, level + 1) if merge else (0, level)
+    return read(paths) if paths else spark.createDataFrame([], shape)
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    fs, place = file_system(spark, os.path.join(path, "_SUCCESS"))
+    return fs.exists(place)

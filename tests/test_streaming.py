@@ -65,6 +65,88 @@ def test_latest_states_over_many_batches(spark, lake, tmp_path, rows):
     assert rows(got, "item", "status", "completions") == rows(batch, "item", "status", "completions")
 
 
+def stored_monitors():
+    """Each stored monitor over the events, by name."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "fail").otherwise("success").alias("status")
+    done = F.when(kind == "purchase", "completed").otherwise("pending").alias("status")
+
+    def checks(df):
+        return df.select(F.col("ts").alias("check_time"), kind.alias("check_type"), status, F.col("value").cast("int").alias("response_time_ms"))
+
+    def audited(df):
+        return df.select("event_id", "ts", kind.alias("op"), F.lit("k").alias("key"), F.lit("u").alias("user"), F.lit("c").alias("client"))
+
+    return {
+        "health_windows": lambda df: monitors.run_health_windows(checks(df)),
+        "check_buckets": lambda df: monitors.run_check_buckets(checks(df)),
+        "idle_sessions": lambda df: monitors.run_idle_sessions(df, "user_id", 600),
+        "debounced": lambda df: monitors.run_debounced(df, "user_id", "props", "event_id", 60_000),
+        "audit_alerts": lambda df: monitors.run_audit_alerts(audited(df), "(error|click)", "event_id"),
+        "syncs_per_day": lambda df: monitors.run_syncs_per_day(df.select("ts", "user_id", done), "user_id"),
+        "latest_states": lambda df: monitors.run_latest_states(df.select("event_id", "ts", "user_id", done), "user_id", ["ts", "event_id"]),
+    }
+
+
+STORED = ["health_windows", "check_buckets", "idle_sessions", "debounced", "audit_alerts", "syncs_per_day", "latest_states"]
+
+
+@pytest.mark.parametrize("name", STORED)
+@pytest.mark.parametrize("every", [2, 32])
+def test_many_batches_give_what_one_batch_gives(spark, lake, tmp_path, rows, monkeypatch, name, every):
+    """Four files with interleaved times, one a batch, against one batch with all of them."""
+    monkeypatch.setattr(monitors, "COMPACT_EVERY", every)
+    folder = str(tmp_path / "events")
+    parts(spark, lake, folder, 5)
+
+    def stream(files):
+        reader = spark.readStream.schema(lake.raw("events").schema).option("maxFilesPerTrigger", files)
+        return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    run = stored_monitors()[name]
+    many, one = rows(run(stream(1))), rows(run(stream(100)))
+    assert many == one and many
+
+
+def test_stored_monitors_of_nothing(spark, lake, tmp_path):
+    lake.raw("events").limit(0).write.parquet(str(tmp_path / "none"))
+    for run in stored_monitors().values():
+        stream = spark.readStream.schema(lake.raw("events").schema).parquet(str(tmp_path / "none"))
+        assert run(stream.withColumn("ts", F.col("ts").cast("timestamp"))).isEmpty()
+
+
+def test_stored_sessions_equal_the_whole_batch(spark, lake, rows):
+    stream = event_stream(spark, SMALL).select("user_id", "ts")
+    got = monitors.run_idle_sessions(stream, "user_id", 600)
+    batch = health.idle_sessions(lake.events().withColumn("ts", F.col("ts").cast("timestamp")), "user_id", 600)
+    assert rows(got, "user_id", "opened", "closed", "events") == rows(batch, "user_id", "opened", "closed", "events")
+
+
+def test_written_states_grow_with_the_input(spark, lake, tmp_path, monkeypatch):
+    """Without merging, each batch writes only its own items."""
+    folder = str(tmp_path / "events")
+    parts(spark, lake, folder, 5)
+    written = []
+    from medialake.streaming import runner
+
+    real = runner.run_parts
+
+    def watched(stream, name, part, merge=None, every=0):
+        def counted(rows):
+            out = part(rows)
+            if not rows.isStreaming:
+                written.append(out.count())
+            return out
+
+        return real(stream, name, counted, merge, every)
+
+    monkeypatch.setattr(monitors, "run_parts", watched)
+    stream = spark.readStream.schema(lake.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    states = stream.select("event_id", "ts", "user_id", F.lit("completed").alias("status"))
+    got = monitors.run_latest_states(states, "user_id", ["ts", "event_id"])
+    assert sum(written) <= lake.events().count() and got.agg(F.sum("completions")).first()[0] == lake.events().count()
+
+
 def test_alerts_once_although_delivered_twice(spark, tmp_path):
     src = tmp_path / "log"
     src.mkdir()
@@ -75,16 +157,20 @@ def test_alerts_once_although_delivered_twice(spark, tmp_path):
     stream = logs.stream_audit(spark, str(src)).withColumn("id", F.concat("ts", "key"))
     got = run_available(monitors.audit_alerts(stream, "(revoke|emergency|root)", "id"), "t-alerts")
     assert sorted(r["key"] for r in got.collect()) == ["k1", "k3", "k4"]
+    stored = monitors.run_audit_alerts(stream, "(revoke|emergency|root)", "id")
+    assert sorted(r["key"] for r in stored.collect()) == ["k1", "k3", "k4"]
 
 
 def test_debounce_keeps_the_last_edit(spark, tmp_path):
-    rows_ = [("n", f"2024-01-01 00:00:00.{ms:03d}", v) for ms, v in ((0, "a"), (300, "ab"), (850, "abc"))]
-    rows_ += [("n", "2024-01-01 00:00:02.000", "later"), ("n", "2024-01-01 00:05:00.000", "open")]
-    df = spark.createDataFrame(rows_, "item string, ts string, value string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows_ = [("n", i, f"2024-01-01 00:00:00.{ms:03d}", v) for i, ms, v in ((1, 0, "a"), (2, 300, "ab"), (4, 850, "abc"), (3, 850, "tie"))]
+    rows_ += [("n", 5, "2024-01-01 00:00:02.000", "later"), ("n", 6, "2024-01-01 00:05:00.000", "open")]
+    df = spark.createDataFrame(rows_, "item string, n long, ts string, value string").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
-    got = run_available(monitors.debounced(stream, "item", "value"), "t-notes")
+    got = run_available(monitors.debounced(stream, "item", "value", "n"), "t-notes")
     assert sorted(r["value"] for r in got.collect()) == ["abc", "later"]
+    stored = monitors.run_debounced(stream, "item", "value", "n", name="t-stored-notes")
+    assert sorted(r["value"] for r in stored.collect()) == ["abc", "later", "open"]
 
 
 @pytest.mark.parametrize("gap", [1, 7, 60])
