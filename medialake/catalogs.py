@@ -142,16 +142,31 @@ PROJECT_STATUSES = ["draft", "active", "archived"]
 PHOTO_STATUSES = ["raw", "processed", "exported", "published"]
 UPLOAD_STATUSES = ["queued", "uploading", "paused", "error", "synced"]
 MEMBER_ROLES = ["admin", "member", "viewer"]
+PLANS = ["free", "pro", "enterprise"]
 
-# Defaults of per-project automation settings.
+# Defaults of per-project automation settings. The watermark's text has none here and
+# must be given where it is wanted.
 AUTOMATION_DEFAULTS = {
+    "default_preset_name": None,
+    "auto_apply_new": True,
+    "retro_apply_existing": False,
+    "export_format": "PNG",
     "file_rule": "{project}_{date}_{counter}",
     "counter_start": 1,
-    "export_format": "PNG",
+    "include_original_name": True,
+    "enable_watermark": False,
+    "wm_position": "Bottom-Right",
+    "wm_opacity": 35,
     "default_tags": "",
+    "smart_auto_tagging": False,
     "min_long_edge_px": 2000,
     "min_exposure_quality": 0,
     "auto_flag_low_quality": True,
+    "aspects": ["1:1", "4:5", "3:2", "16:9"],
+    "storage_channels": [],
+    "ai_distribution": False,
+    "ai_notes": "",
+    "export_scheduling_on": False,
 }
 TOKEN_TAG_DEFAULT = "general"
 TOKEN_ORIGINAL_DEFAULT = "DSC_0123"

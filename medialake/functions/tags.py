@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from medialake.functions.text import trimmed
+
 
 def _lit(tag: Column | str) -> Column:
     return F.lit(tag) if isinstance(tag, str) else tag
@@ -12,7 +14,7 @@ def _lit(tag: Column | str) -> Column:
 
 def add_tag(tags: Column, tag: Column | str) -> Column:
     """Append the trimmed tag unless it is empty or already there."""
-    t = F.trim(_lit(tag))
+    t = trimmed(_lit(tag))
     skip = (t == "") | F.array_contains(tags, t)
     return F.when(skip, tags).otherwise(F.array_append(tags, t))
 
@@ -36,7 +38,7 @@ def merge_tags(left: Column, right: Column) -> Column:
 
 def csv_tags(c: Column) -> Column:
     """Comma-separated text to a list without blanks; empty text gives an empty list."""
-    return F.filter(F.transform(F.split(c, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, ","), lambda t: trimmed(t)), lambda t: t != "")
 
 
 def preview(tags: Column, shown: int = 3) -> tuple[Column, Column]:

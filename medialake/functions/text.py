@@ -86,6 +86,11 @@ def zero_pad(n: Column, width: int = 4) -> Column:
     return F.format_string(f"%0{width}d", n)
 
 
+def trimmed(c: Column | str) -> Column:
+    """Text without outer white space of any kind, also tabs, line ends and wide blanks."""
+    return F.regexp_replace(_col(c), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
+
+
 def label_map(c: Column | str, labels: dict[str, str], default: str) -> Column:
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(labels.items())])
     return F.coalesce(F.try_element_at(table, _col(c)), F.lit(default))
@@ -101,7 +106,7 @@ def preset_display_name(c: Column | str) -> Column:
         .otherwise(c)
     )
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(C.PRESET_DISPLAY_NAMES.items())])
-    missing = c.isNull() | (F.trim(c) == "") | (c == "none")
+    missing = c.isNull() | (trimmed(c) == "") | (c == "none")
     return F.when(missing, F.lit("None")).otherwise(F.coalesce(F.try_element_at(table, bare), bare))
 
 
@@ -117,9 +122,9 @@ def formats_label(formats: Column | str) -> Column:
 
 
 def mask_secret(key: Column | str, value: Column | str) -> Column:
-    """Hide values whose key names a password or a secret."""
+    """Hide values of lines that mention a password or a secret, in the key or in the value."""
     key, value = _col(key), _col(value)
-    secret = F.contains(key, F.lit("PASSWORD")) | F.contains(key, F.lit("SECRET"))
+    secret = F.rlike(key, F.lit("PASSWORD|SECRET")) | F.coalesce(F.rlike(value, F.lit("PASSWORD|SECRET")), F.lit(False))
     return F.when(secret, F.lit(C.HIDDEN)).otherwise(value)
 
 

@@ -23,14 +23,14 @@ def daily_metrics(audit: DataFrame) -> DataFrame:
     )
 
 
-def key_lifetimes(audit: DataFrame, threshold: int | None = None) -> DataFrame:
+def key_lifetimes(audit: DataFrame) -> DataFrame:
     """Per key: first issue, first revocation after it and the seconds between."""
     issued = audit.groupBy("key").agg(
         F.min(F.when(F.col("op") == "STORE", F.col("ts"))).alias("issued_at")
     )
     revoked = audit.filter(F.col("op") == "DELETE").select("key", "ts")
     after = (
-        join_lookup(revoked, issued, ["key"], "inner", threshold)
+        join_lookup(revoked, issued, ["key"], "inner")
         .filter(F.col("ts") >= F.col("issued_at"))
         .groupBy("key")
         .agg(F.min("ts").alias("revoked_at"))

@@ -50,8 +50,11 @@ def upsert(
     as_of: str,
     touched: str = "updated_at",
 ) -> DataFrame:
-    """Patch existing rows and create missing ones from the defaults."""
+    """Patch existing rows and create missing ones from the defaults. Every column but the key and
+    the time must have a default, which may be null."""
     fields = [c for c in patches.columns if c != key]
+    if unknown := [c for c in current.columns if c not in (key, touched) and c not in defaults]:
+        raise ValueError(f"no default for {', '.join(unknown)}")
     p = patches.select(key, *[F.col(c).alias(f"_p_{c}") for c in fields], F.lit(True).alias("_hit"))
     c_ = current.withColumn("_old", F.lit(True))
     joined = c_.join(p, key, "full")
@@ -63,7 +66,7 @@ def upsert(
         elif c == touched:
             col = F.when(F.col("_hit"), _stamp(current, c, as_of)).otherwise(F.col(c))
         else:
-            default = F.lit(defaults.get(c)).cast(kind)
+            default = F.lit(defaults[c]).cast(kind)
             fresh = F.when(F.col("_old").isNull(), default).otherwise(F.col(c))
             col = F.coalesce(f"_p_{c}", fresh) if c in fields else fresh
         out.append(col.alias(c))

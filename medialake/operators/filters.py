@@ -18,7 +18,7 @@ def by_key(df: DataFrame, key: str, value: Any | None) -> DataFrame:
 
 
 def lookup(df: DataFrame, key: str, value: Any) -> DataFrame:
-    """At most one row; empty when missing."""
+    """At most one row; empty when missing. The key is unique, so the limit leaves nothing out."""
     return df.filter(F.col(key) == F.lit(value)).limit(1)
 
 
@@ -37,7 +37,8 @@ def rest_query(
     select: list[str] | None = None,
     order: list[Column | str] | None = None,
     limit: int | None = None,
-    key: str | None = None,
+    *,
+    key: str,
 ) -> DataFrame:
     """Table endpoint: equality filters, column list, order and the page cap.
 
@@ -45,9 +46,7 @@ def rest_query(
     """
     for name, value in (equals or {}).items():
         df = by_key(df, name, value)
-    ordering = [*(order or []), *([key] if key else [])]
-    if ordering:
-        df = df.orderBy(*ordering)
+    df = df.orderBy(*(order or []), key)
     df = df.limit(C.PAGE_CAP if limit is None else min(limit, C.PAGE_CAP))
     return df.select(*select) if select else df
 

@@ -17,13 +17,12 @@ def output_names(
     projects: DataFrame,
     rule: str | Column,
     start: Column | int = 1,
-    threshold: int | None = None,
-    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """File name of each photo: the counter runs per project in order of creation.
 
     ``start`` may be a column of the projects frame. The counter is added before the project's name
-    is joined, so only the order columns are sorted.
+    is joined, so only the order columns are sorted. Photos of an unknown project are named as well,
+    with an empty project name and a counter from 1.
     """
     first = F.lit(start) if isinstance(start, int) else start
     about = projects.select("project_id", F.col("name").alias("_project"), first.alias("_start"))
@@ -36,17 +35,16 @@ def output_names(
         ),
         ["project_id"],
         ["created_at", "photo_id"],
-        threshold=threshold,
-        key_source=photos.select("project_id") if key_source is None else key_source,
+        F.date_trunc("hour", "created_at"),
     )
-    return numbered.join(about, "project_id").select(
+    return numbered.join(about, "project_id", "left").select(
         "photo_id",
         "project_id",
         render_name(
             rule,
-            project=F.col("_project"),
+            project=F.coalesce("_project", F.lit("")),
             date=F.col("created_at").cast("date").cast("string"),
-            counter=F.col("seq") + F.col("_start") - 1,
+            counter=F.col("seq") + F.coalesce("_start", F.lit(1)) - 1,
             tag=F.col("_tag"),
             original=F.col("_original"),
         ).alias("output_name"),

@@ -27,7 +27,7 @@ def rule_conditions() -> dict[str, Column]:
         "Track Day": _place("pit", "track", "race") & ((iso > 800) | hour.between(6, 18)),
         "Night Shooter": ((hour < 6) | (hour > 20))
         & ((F.col("shutter") < F.lit(1.0 / 60.0)) | (iso > 1600)),
-        "Portrait Pro": _place("studio", "portrait", "headshot") & (F.col("aperture") < F.lit(2.8)),
+        "Portrait Pro": _place("studio", "portrait", "headshot") & (F.col("aperture") > 0) & (F.col("aperture") < F.lit(2.8)),
         "Landscape Master": _place("mountain", "forest", "beach", "park") & hour.between(6, 18),
         "Urban Edge": _place("city", "urban", "street", "building") & hour.between(8, 20),
         "Vintage Film": (iso <= 400)
@@ -137,7 +137,7 @@ def applied_confidence(assets: DataFrame, presets: DataFrame) -> DataFrame:
     photos = with_met_rules(assets).select("photo_id", "preset_id", "met")
     looks = with_served_rules(presets).select("preset_id", "served")
     top = _top_priority(F.col("met").bitwiseAND(F.col("served")))
-    return photos.join(looks, "preset_id").select(
+    return photos.join(looks, "preset_id", "left").select(
         "photo_id", "preset_id", (F.coalesce(top, F.lit(0)) * 10).alias("confidence")
     )
 
@@ -164,11 +164,17 @@ def default_presets(projects: DataFrame, defaults: DataFrame, presets: DataFrame
     )
 
 
-def version_log(
-    edits: DataFrame, key: str, order: str, settings: str, threshold: int | None = None
-) -> DataFrame:
-    """Versions of each item: number, settings, and the settings and id of the version before."""
-    log = sequenced(edits, [key], [order], lag=[settings], threshold=threshold)
+STEP = 1000  # turns of an item that are handled together
+
+
+def _step(order: str) -> Column:
+    return F.floor(F.col(order) / F.lit(STEP))
+
+
+def version_log(edits: DataFrame, key: str, order: str, settings: str) -> DataFrame:
+    """Versions of each item: number, settings, and the settings and id of the version before.
+    ``order`` is a number."""
+    log = sequenced(edits, [key], [order], _step(order), lag=[settings])
     return log.withColumns(
         {
             "version": F.col("seq"),
@@ -186,17 +192,17 @@ def rollback(log: DataFrame, requests: DataFrame, key: str, settings: str) -> Da
     ``log`` has (key, version, settings); ``requests`` has (key, target), one per key. A request for
     an unknown version, or for the current one, changes nothing.
     """
-    target = log.join(requests, key).filter(F.col("version") == F.col("target"))
-    current = log.groupBy(key).agg(F.max("version").alias("_last"))
-    appended = (
-        target.join(current, key)
-        .filter(F.col("target") < F.col("_last"))
-        .select(
-            key,
-            (F.col("_last") + 1).alias("version"),
-            settings,
-            F.concat(F.lit("Rolled back to version "), F.col("target").cast("string")).alias("note"),
-        )
+    # Each request meets one aggregate of its key: the last version, and the settings of the target.
+    # Requests are few columns wide, so the log is joined to them once and read once more as it is.
+    asked = log.join(requests, key).groupBy(key, "target").agg(
+        F.max("version").alias("_last"),
+        F.max(F.when(F.col("version") == F.col("target"), F.struct(settings))).alias("_old"),
+    )
+    appended = asked.filter(F.col("_old").isNotNull() & (F.col("target") < F.col("_last"))).select(
+        key,
+        (F.col("_last") + 1).alias("version"),
+        F.col(f"_old.{settings}").alias(settings),
+        F.concat(F.lit("Rolled back to version "), F.col("target").cast("string")).alias("note"),
     )
     return log.select(key, "version", settings, F.lit(None).cast("string").alias("note")).unionByName(
         appended
@@ -234,10 +240,10 @@ def add_versions(presets: DataFrame, changes: DataFrame, as_of: str) -> DataFram
     )
 
 
-def edit_diff(edits: DataFrame, key: str, order: str, threshold: int | None = None) -> DataFrame:
+def edit_diff(edits: DataFrame, key: str, order: str) -> DataFrame:
     """Change of every adjustment against the edit before; missing values are left out, and a
     value without a predecessor counts from zero."""
-    rows = sequenced(edits, [key], [order], lag=["adjustments"], threshold=threshold)
+    rows = sequenced(edits, [key], [order], _step(order), lag=["adjustments"])
     empty = F.create_map().cast("map<string,double>")
     kept = F.map_filter("adjustments", lambda k, v: v.isNotNull())
     before = F.map_filter(F.coalesce("prev_adjustments", empty), lambda k, v: v.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake import catalogs as C
-from medialake.functions.text import email_is_valid
+from medialake.functions.text import email_is_valid, trimmed
 from medialake.operators.changes import union_all
 
 
@@ -22,14 +22,16 @@ def _violation(df: DataFrame, rule: str, entity: str, id_: str, detail: Column)
 def orphans(projects: DataFrame, photos: DataFrame) -> DataFrame:
     """Photos of unknown projects, projects without photos, and covers that do not exist.
 
-    The photo side is reduced to distinct keys first, so a project with very many photos weighs no
-    more than any other.
+    A cover's slot belongs to its project, so one small aggregate per project (whether it has photos,
+    and whether one of them has the cover's slot) answers both questions about projects; photos are
+    read once more to name those of unknown projects.
     """
     no_project = photos.join(projects.select("project_id"), "project_id", "left_anti")
-    with_photos = photos.select("project_id").distinct()
-    no_photo = projects.join(with_photos, "project_id", "left_anti")
-    slots = photos.select(F.col("slot").alias("cover_slot")).distinct()
-    no_cover = projects.filter("cover_slot IS NOT NULL").join(slots, "cover_slot", "left_anti")
+    covers = projects.select("project_id", "cover_slot").join(photos.select("project_id", "slot"), "project_id")
+    seen = covers.groupBy("project_id").agg(F.bool_or(F.col("slot") == F.col("cover_slot")).alias("_cover"))
+    about = projects.join(seen.withColumn("_photos", F.lit(True)), "project_id", "left")
+    no_photo = about.filter("_photos IS NULL")
+    no_cover = about.filter("cover_slot IS NOT NULL AND NOT coalesce(_cover, false)")
     return union_all(
         [
             _violation(no_project, "photo without project", "photo", "photo_id", F.col("project_id")),
@@ -50,9 +52,9 @@ def invalid_emails(users: DataFrame) -> DataFrame:
 
 
 def duplicate_emails(users: DataFrame) -> DataFrame:
-    """E-mail addresses used more than once, ignoring case and outer blanks."""
+    """E-mail addresses used more than once, ignoring case and outer white space."""
     return (
-        users.groupBy(F.lower(F.trim("email")).alias("email"))
+        users.groupBy(F.lower(trimmed("email")).alias("email"))
         .agg(F.count(F.lit(1)).alias("users"))
         .filter("users > 1")
     )
@@ -109,6 +111,8 @@ def environment_problems(settings: DataFrame, sources: DataFrame) -> DataFrame:
     """Per settings source: errors for required keys missing and for placeholders left in a
     production source, warnings for empty values.
 
+    ``settings`` has every line of a source, also those that a later line of the same key replaces.
+
     ``sources`` has (source, production) and lists every source, also those without any setting.
     The few required keys are tested by conditional aggregates over a source's own rows, so sources
     and keys are not multiplied.

@@ -59,24 +59,22 @@ def toggle_tag(photos: DataFrame, tag: Column | str) -> DataFrame:
 def tag_candidates(photos: DataFrame, usage: DataFrame, query: str, k: int = 5) -> DataFrame:
     """Known tags containing the typed text and not yet on the photo, at most ``k`` per photo.
 
-    The matching tags are found once on the usage table; the ``k`` plus the longest tag list most
-    used ones are enough for every photo, since a photo can rule out no more than it carries.
+    The matching tags are ranked once, on the usage table, into one list. A photo can rule out no
+    more of them than it carries, so it looks only at that many and ``k`` of the first.
     """
     if not query.strip():
         return photos.select("photo_id", F.array().cast("array<string>").alias("candidates"))
-    longest = photos.agg(F.coalesce(F.max(F.size("tags")), F.lit(0)).alias("n")).first()["n"]
-    pool = (
-        usage.filter(contains_ci("tag", query)).orderBy(F.desc("usage"), "tag").limit(k + longest)
-    )
-    # k + longest entries: as long as one photo's tag list, whatever the number of photos.
-    listed = pool.agg(
+    # One entry for each distinct tag that holds the typed text.
+    listed = usage.filter(contains_ci("tag", query)).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("usage")).alias("u"), "tag"))),
             lambda s: s["tag"],
         )
     ).scalar()
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
     return photos.select(
-        "photo_id", F.slice(F.array_except(listed, F.col("tags")), 1, k).alias("candidates")
+        "photo_id",
+        F.slice(F.array_except(F.slice(listed, F.lit(1), F.size(tags) + k), tags), 1, k).alias("candidates"),
     )
 
 

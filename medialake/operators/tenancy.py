@@ -56,9 +56,7 @@ def with_role(rows: DataFrame, memberships: DataFrame) -> DataFrame:
     return rows.join(memberships.select("user_id", "org_id", "role"), ["user_id", "org_id"], "left")
 
 
-def tenant_matrix(
-    memberships: DataFrame, projects: DataFrame, threshold: int | None = None
-) -> DataFrame:
+def tenant_matrix(memberships: DataFrame, projects: DataFrame) -> DataFrame:
     """For every user: organizations, visible projects and projects they may change.
 
     Projects are counted per organization first, so memberships meet one row per organization and
@@ -69,7 +67,7 @@ def tenant_matrix(
     )
     n = F.coalesce("_all", F.lit(0))
     return (
-        join_lookup(memberships.select("user_id", "org_id", "role"), per_org, ["org_id"], threshold=threshold)
+        join_lookup(memberships.select("user_id", "org_id", "role"), per_org, ["org_id"])
         .groupBy("user_id")
         .agg(
             F.count(F.lit(1)).alias("organizations"),

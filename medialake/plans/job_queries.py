@@ -185,10 +185,12 @@ def suggestion_search(lake):
     WITH n AS (
         SELECT f.photo_id, f.project_id, f.original, f.created_at, f.tags, p.name,
                row_number() OVER (PARTITION BY f.project_id ORDER BY f.created_at, f.photo_id)
-                 + 1 + f.project_id % 20000 - 1 AS counter
-        FROM tagged_photos f JOIN projects p ON p.project_id = f.project_id)
+                 + coalesce(1 + p.project_id % 20000, 1) - 1 AS counter
+        FROM (SELECT * REPLACE (CASE WHEN preset_id % 97 = 0 THEN -project_id - 1 ELSE project_id END AS project_id)
+              FROM tagged_photos) f
+             LEFT JOIN projects p ON p.project_id = f.project_id)
     SELECT photo_id, project_id,
-           name || '_' || strftime(created_at, '%Y-%m-%d') || '_' || tags[1] || '_'
+           coalesce(name, '') || '_' || strftime(created_at, '%Y-%m-%d') || '_' || tags[1] || '_'
              || CASE WHEN counter < 10000 THEN lpad(CAST(counter AS VARCHAR), 4, '0') ELSE CAST(counter AS VARCHAR) END
              || '_' || original || '.jpg' AS output_name
     FROM n
@@ -196,12 +198,12 @@ def suggestion_search(lake):
     "tagged_photos projects",
 )
 def output_names(lake):
+    strayed = F.when(F.col("preset_id") % 97 == 0, -F.col("project_id") - 1).otherwise(F.col("project_id"))
     return naming.output_names(
-        lake.tagged_photos(),
+        lake.tagged_photos().withColumn("project_id", strayed),
         lake.projects(),
         "{project}_{date}_{tag}_{counter}_{original}",
         start=F.lit(1) + F.col("project_id") % 20000,
-        key_source=lake.photos().select("project_id"),
     )
 
 
@@ -294,21 +296,26 @@ def device_tag_collisions(lake):
 @query(
     "orphans",
     """
-    WITH kept AS (SELECT * FROM projects WHERE project_id % 97 <> 0)
+    WITH p AS (
+        SELECT * REPLACE (CASE WHEN preset_id % 97 = 0 THEN -project_id - 1 ELSE project_id END AS project_id)
+        FROM photos)
     SELECT 'photo without project' AS rule, 'photo' AS entity, photo_id AS id,
            CAST(project_id AS VARCHAR) AS detail
-    FROM photos WHERE project_id NOT IN (SELECT project_id FROM kept)
+    FROM p WHERE project_id NOT IN (SELECT project_id FROM projects)
     UNION ALL
     SELECT 'project without photos', 'project', CAST(project_id AS VARCHAR), status
-    FROM kept WHERE project_id NOT IN (SELECT project_id FROM photos)
+    FROM projects WHERE project_id NOT IN (SELECT project_id FROM p)
     UNION ALL
     SELECT 'cover photo missing', 'project', CAST(project_id AS VARCHAR), CAST(cover_slot AS VARCHAR)
-    FROM kept WHERE cover_slot NOT IN (SELECT slot FROM photos)
+    FROM projects
+    WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project_id = projects.project_id AND slot = cover_slot)
     """,
     "projects photos",
 )
 def orphans(lake):
-    return quality.orphans(lake.projects().filter("project_id % 97 <> 0"), lake.photos())
+    """Every project and photo; about one photo in a hundred points at a project that is not there."""
+    strayed = F.when(F.col("preset_id") % 97 == 0, -F.col("project_id") - 1).otherwise(F.col("project_id"))
+    return quality.orphans(lake.projects(), lake.photos().withColumn("project_id", strayed))
 
 
 @query(
@@ -321,7 +328,10 @@ def orphans(lake):
     SELECT 'email not valid', 'user', count(*) FROM users
     WHERE NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
     UNION ALL
-    SELECT 'status not allowed', 'project', count(*) FROM projects WHERE status NOT IN ('draft', 'active')
+    SELECT 'plan not allowed', 'user', count(*) FROM users WHERE plan NOT IN ('free', 'pro', 'enterprise')
+    UNION ALL
+    SELECT 'status not allowed', 'upload', count(*) FROM queue
+    WHERE status NOT IN ('queued', 'uploading', 'paused', 'error', 'synced')
     UNION ALL
     SELECT 'project without photos', 'project', count(*) FROM projects
     WHERE project_id NOT IN (SELECT project_id FROM photos)
@@ -329,7 +339,7 @@ def orphans(lake):
     SELECT 'cover photo missing', 'project', count(*) FROM projects
     WHERE cover_slot NOT IN (SELECT slot FROM photos)
     """,
-    "projects photos users",
+    "projects photos users queue",
 )
 def quality_report(lake):
     projects, photos = lake.projects(), lake.photos()
@@ -339,7 +349,12 @@ def quality_report(lake):
             stats.reconcile(projects, counted, "project_id"), "project", "project_id"
         ),
         quality.invalid_emails(lake.users()),
-        quality.enum_violations(projects, "project", "project_id", "status", ["draft", "active"]),
+        quality.enum_violations(projects, "project", "project_id", "status", C.PROJECT_STATUSES),
+        quality.enum_violations(photos, "photo", "photo_id", "status", C.PHOTO_STATUSES),
+        quality.enum_violations(photos, "photo", "photo_id", "upload_status", C.UPLOAD_STATUSES),
+        quality.enum_violations(lake.queue(), "upload", "event_id", "status", C.UPLOAD_STATUSES),
+        quality.enum_violations(lake.memberships(), "membership", "user_id", "role", C.MEMBER_ROLES),
+        quality.enum_violations(lake.users(), "user", "user_id", "plan", C.PLANS),
         quality.orphans(projects, photos),
     ]
     found = quality.union_all(frames)
@@ -476,7 +491,7 @@ def _env_texts(lake):
 def environment_fleet(lake):
     texts = _env_texts(lake)
     sources = texts.select("source", (F.col("source") % 2 == 0).alias("production"))
-    return quality.environment_problems(configs.parse_env(texts), sources)
+    return quality.environment_problems(configs.env_lines(texts), sources)
 
 
 @query(

@@ -1,94 +1,47 @@
-"""Numbering and looking back within groups of any size.
-
-A plain window sends a whole group to one task. That is the right plan while every group is small,
-and it is used then. When some key holds more rows than a threshold, its rows alone are range-sorted
-over many tasks, and the pieces are stitched with one summary row per piece.
-"""
+"""Numbering and looking back within groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from medialake.plans.skew import hot_keys, match_keys, materialise
-
 
 def sequenced(
     df: DataFrame,
     keys: list[str],
     order: list[str],
+    prefix: Column,
     lag: list[str] | None = None,
-    threshold: int | None = None,
-    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``seq`` (1, 2, ... within the key, by ``order``) and ``prev_<c>`` for each lag column.
 
-    ``order`` must be unique within a key. ``key_source`` may give a cheaper frame with the same
-    keys to look for hot ones.
+    ``prefix`` is a coarse step of the order, such as the hour of a time: rows are numbered within
+    one key and step, so a key of any size is spread over tasks. A small aggregate, one row per key
+    and step, says how many rows lie before each step and which row was the last of them.
+
+    ``order`` must be unique within a key and rise with ``prefix``.
     """
     lag = lag or []
-    hot = hot_keys(df if key_source is None else key_source, keys, threshold)
-    if hot.isEmpty():
-        return _windowed(df, keys, order, lag)
-    hot = materialise(hot, "hot-keys")
-    # Broadcast is safe: hot_keys returns at most rows / threshold rows of key columns.
-    names = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    on = match_keys(keys, "_h_")
-    cold = df.join(names, on, "left_anti")
-    large = df.join(names, on, "left_semi")
-    return _windowed(cold, keys, order, lag).unionByName(_stitched(large, keys, order, lag))
-
-
-def _windowed(df: DataFrame, keys: list[str], order: list[str], lag: list[str]) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.select(
+    # One column for key and step: nulls are equal within it, and the join below needs no shuffle of
+    # the rows after the window's.
+    group = F.struct(*keys, prefix.alias("_step"))
+    near = W.partitionBy("_group").orderBy(*order)
+    rows = df.withColumn("_group", group).select(
         "*",
-        F.row_number().over(w).cast("long").alias("seq"),
-        *[F.lag(c).over(w).alias(f"prev_{c}") for c in lag],
-    )
-
-
-def _stitched(df: DataFrame, keys: list[str], order: list[str], lag: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range partitioning on the full order cuts a single key as readily as many. The id counts rows
-    # within a partition; it is written out so that both uses below see the same numbers.
-    placed = materialise(
-        df.repartitionByRange(pieces, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "sequenced",
-    ).withColumn("_part", F.shiftright("_at", 33))
-
-    last = F.max_by(F.struct(*lag), "_at") if lag else F.lit(None).cast("string")
-    runs = placed.groupBy(*keys, "_part").agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), last.alias("_last")
+        F.row_number().over(near).cast("long").alias("_n"),
+        *[F.lag(c).over(near).alias(f"_lag_{c}") for c in lag],
     )
-    along = W.partitionBy(*keys).orderBy("_part")
-    # At most one row per hot key and one more per partition, so broadcasting stays small.
-    runs = F.broadcast(
-        runs.select(
-            *[F.col(k).alias(f"_o_{k}") for k in keys],
-            F.col("_part").alias("_o__part"),
-            "_first",
-            F.coalesce(
-                F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_offset"),
-            F.lag("_last").over(along).alias("_before"),
-        )
+    last = F.max_by(F.struct(*lag), F.struct(*order)) if lag else F.lit(None).cast("string")
+    runs = df.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_size"), last.alias("_last"))
+    along = W.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy("_group._step")
+    before = F.sum("_size").over(along.rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.select(
+        "_group", F.coalesce(before, F.lit(0)).alias("_offset"), F.lag("_last").over(along).alias("_before")
     )
-    rows = placed
-    if lag:  # one group per key and partition, hence never more than one partition's rows
-        near = W.partitionBy(*keys, "_part").orderBy("_at")
-        rows = rows.withColumns({f"_lag_{c}": F.lag(c).over(near) for c in lag})
-    rows = rows.join(runs, match_keys([*keys, "_part"], "_o_"))
-    first = F.col("_at") == F.col("_first")
-    return rows.select(
+    first = F.col("_n") == 1
+    return rows.join(runs, "_group").select(
         *df.columns,
-        (F.col("_at") - F.col("_first") + 1 + F.col("_offset")).cast("long").alias("seq"),
-        *[
-            F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}")
-            for c in lag
-        ],
+        (F.col("_n") + F.col("_offset")).cast("long").alias("seq"),
+        *[F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}") for c in lag],
     )

@@ -163,6 +163,7 @@ def query(name: str, sql: str | None = None, frames: str = ""):
 
         run.__name__ = name
         run.__doc__ = build.__doc__
+        run.source = build.__module__
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_frames(sql, frames)

@@ -118,7 +118,7 @@ def gallery_filter(lake):
         "title", F.when(F.col("preset_id") % 10 != 0, F.col("title")).otherwise("")
     )
     numbered = sequenced(
-        photos, ["project_id"], ["created_at", "photo_id"], key_source=lake.photos().select("project_id")
+        photos, ["project_id"], ["created_at", "photo_id"], F.date_trunc("hour", "created_at")
     )
     found = filters.gallery_filter(filters.gallery_items(numbered), "processed", "O 1")
     return found.select(

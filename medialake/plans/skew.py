@@ -1,4 +1,4 @@
-"""Hot keys: finding them and joining around them.
+"""Joining to a grouped side when keys may be hot.
 
 Joins whose two sides are shuffled as they are need nothing from here: the engine splits a large
 partition of such a join at run time. It does not where one side was just grouped by the join key,
@@ -7,54 +7,19 @@ as that side has no shuffle of its own. Those joins go through ``join_lookup``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.session import scratch_path
-
-HOT_ROWS = 5_000_000
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: the plan is cut there, and a lost
-    executor costs no recomputation of what came before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> DataFrame:
-    """Keys with more rows than the threshold. There are at most ``rows / threshold`` of them, so
-    the result stays small however large the input is."""
-    limit = HOT_ROWS if threshold is None else threshold
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-
-
-def match_keys(keys: list[str], prefix: str) -> Column:
-    """Null-safe equality of key columns with their prefixed copies."""
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+SALTS = 16
 
 
-def join_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    threshold: int | None = None,
-) -> DataFrame:
+def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join rows to a frame with at most one row per key, whatever the spread of the keys.
 
-    Rows of hot keys stay where they are and meet a broadcast of their few lookup rows; all others
-    are joined as usual.
+    Rows of one key, null among them, are dealt over ``SALTS`` parts and every lookup row is copied
+    to each part. Both sides get a shuffle of their own, so the engine can split what is still large.
     """
-    hot = hot_keys(rows, keys, threshold)
-    if hot.isEmpty():
-        return rows.join(lookup, keys, how)
-    # Broadcasts are safe: at most rows / threshold hot keys, and one lookup row for each.
-    hot = materialise(hot, "hot-keys")
-    names = F.broadcast(hot)
-    few = F.broadcast(lookup.join(names, keys, "left_semi"))
-    cold = rows.join(names, keys, "left_anti").join(lookup, keys, how)
-    return cold.unionByName(rows.join(names, keys, "left_semi").join(few, keys, how))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    salted = rows.withColumn("_salt", salt)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return salted.join(lookup.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")

@@ -12,6 +12,20 @@ from medialake.operators.filters import not_revoked
 from medialake.plans.registry import query
 
 
+# Every table of the lake, in the order in which the report lists them.
+TABLES = [
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+    "nation", "orders", "pages", "part", "region", "supplier",
+]
+TABLE_COUNTS = (
+    "'{' || " + " || ',' || ".join(f"'\"{t}\":' || (SELECT count(*) FROM {t})" for t in TABLES) + " || '}'"
+)
+
+
+def _tables(lake):
+    return {t: lake.raw(t) for t in TABLES}
+
+
 @query(
     "project_stats",
     """
@@ -75,15 +89,12 @@ def quick_stats(lake):
     "projects_per_org",
     """
     SELECT o.org_id, o.org_name, count(p.project_id) AS projects
-    FROM organizations o LEFT JOIN tenant_projects p ON p.org_id = o.org_id AND p.status = 'draft'
-         AND p.org_id % 5 <> 0
-    GROUP BY 1, 2
+    FROM organizations o LEFT JOIN tenant_projects p ON p.org_id = o.org_id GROUP BY 1, 2
     """,
     "organizations tenant_projects",
 )
 def projects_per_org(lake):
-    drafts = lake.tenant_projects().filter((F.col("status") == "draft") & (F.col("org_id") % 5 != 0))
-    return stats.projects_per_org(lake.organizations(), drafts)
+    return stats.projects_per_org(lake.organizations(), lake.tenant_projects())
 
 
 @query(
@@ -120,25 +131,15 @@ def collaborators_online(lake):
 @query(
     "table_counts_json",
     """
-    SELECT '{"events":' || (SELECT count(*) FROM events) || ',"organizations":' || (SELECT count(*) FROM nation)
-           || ',"photos":' || (SELECT count(*) FROM lineitem) || ',"projects":' || (SELECT count(*) FROM orders)
-           || ',"users":' || (SELECT count(*) FROM customer) || '}' AS table_counts
+    SELECT """
+    + TABLE_COUNTS
+    + """ AS table_counts
     """,
 )
 def table_counts_json(lake):
     return stats.table_counts(_tables(lake))
 
 
-def _tables(lake):
-    return {
-        "users": lake.users(),
-        "organizations": lake.organizations(),
-        "projects": lake.projects(),
-        "photos": lake.photos(),
-        "events": lake.events(),
-    }
-
-
 @query(
     "hit_ratio",
     """
@@ -183,12 +184,12 @@ def check_pass_ratio(lake):
     "preset_usage",
     """
     SELECT p.preset_id, p.name, count(f.photo_id) AS applied_count
-    FROM presets p LEFT JOIN photos f ON f.preset_id = p.preset_id AND f.status = 'exported' GROUP BY 1, 2
+    FROM presets p LEFT JOIN photos f ON f.preset_id = p.preset_id GROUP BY 1, 2
     """,
     "presets photos",
 )
 def preset_usage(lake):
-    return P.preset_usage(lake.presets(), lake.photos().filter("status = 'exported'"))
+    return P.preset_usage(lake.presets(), lake.photos())
 
 
 @query(
@@ -328,14 +329,15 @@ def recent_checks(lake):
     """
     SELECT '{"status":"healthy","timestamp":"2024-01-31 00:00:00","database":"healthy","uptime":'
            || CAST((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(check_time))) // 1000000 AS VARCHAR)
-           || ',"table_counts":{"events":' || CAST(count(*) AS VARCHAR) || '},"version":"1.0.0"}' AS report
+           || ',"table_counts":' || """
+    + TABLE_COUNTS
+    + """ || ',"version":"1.0.0"}' AS report
     FROM health
     """,
     "health",
 )
 def health_report(lake):
-    counts = stats.table_counts({"events": lake.events()})
-    return health.health_report(lake.health(), counts, EVENTS_AS_OF)
+    return health.health_report(lake.health(), stats.table_counts(_tables(lake)), EVENTS_AS_OF)
 
 
 @query(

@@ -42,7 +42,7 @@ def gallery_round_trip(lake):
         "tags",
     )
     path = scratch_path(lake.spark, "gallery")
-    documents.save_gallery(items, path, chunk=50)
+    documents.save_gallery(items, path, chunk=50, keys=lake.photos().select("project_id"))
     back = documents.load_gallery(lake.spark, path)
     return back.select(
         "id", "project_id", "filename", "processed", F.array_join("tags", " ").alias("tag_text")

@@ -127,13 +127,11 @@ def tenant_matrix(lake):
     "project_default_preset",
     """
     SELECT project_id, p.preset_id, p.name AS preset_name
-    FROM projects LEFT JOIN presets p ON p.preset_id = default_preset_id AND project_id % 4 <> 0
+    FROM projects LEFT JOIN presets p ON p.preset_id = default_preset_id
     """,
     "projects presets",
 )
 def project_default_preset(lake):
     projects = lake.projects()
-    defaults = projects.filter(F.col("project_id") % 4 != 0).select(
-        "project_id", F.col("default_preset_id").alias("preset_id")
-    )
+    defaults = projects.select("project_id", F.col("default_preset_id").alias("preset_id"))
     return P.default_presets(projects, defaults, lake.presets())

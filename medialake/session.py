@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -20,15 +21,17 @@ _RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings on a session that may have been made elsewhere."""
+    """Set the runtime settings on a session that may have been made elsewhere. They stay set: results
+    depend on the time zone also when a frame that was built here is used later."""
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
-def local_session(cpus: int = 8, app: str = "medialake") -> SparkSession:
-    """A single-JVM session for tests and the benchmark; clusters bring their own."""
+def local_session(cpus: int = 8, app: str = "medialake", scratch: str = "/tmp/medialake-scratch") -> SparkSession:
+    """A single-JVM session for tests and the benchmark; clusters bring their own. What jobs hand
+    over goes below ``scratch``; ``drop_scratch`` removes this application's part of it."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -36,6 +39,7 @@ def local_session(cpus: int = 8, app: str = "medialake") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", scratch)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,7 +48,8 @@ def local_session(cpus: int = 8, app: str = "medialake") -> SparkSession:
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for checkpoints and hand-over tables: the one the cluster names, shared by all
-    executors. Only where none is named (tests, a laptop) is a local one made and named."""
+    executors. Only a local session may name none: its warehouse then gets a folder for it, which goes
+    when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -53,8 +58,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="medialake-")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "medialake-scratch")
         spark.sparkContext.setCheckpointDir(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The grammar of the files.
 SECTION = r"^\[([a-zA-Z_][a-zA-Z0-9_]*)\]"
 SETTING = r"^\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*(.*)$"
+ENV_LINE = r"^([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -48,17 +50,20 @@ def parse_config(texts: DataFrame) -> DataFrame:
     return rows.groupBy("source", "key").agg(F.max_by("value", "at").alias("value"))
 
 
-def parse_env(texts: DataFrame) -> DataFrame:
-    """``(source, key, value)`` rows of environment files (``NAME=value`` lines at column one)."""
+def env_lines(texts: DataFrame) -> DataFrame:
+    """Every ``NAME=value`` line at column one of environment files: ``(source, key, value, line_no)``."""
     lines = texts.select("source", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    pattern = r"^([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
-    rows = lines.filter(F.col("line").rlike(pattern)).select(
+    return lines.filter(F.col("line").rlike(ENV_LINE)).select(
         "source",
-        F.regexp_extract("line", pattern, 1).alias("key"),
-        F.regexp_extract("line", pattern, 2).alias("value"),
+        F.regexp_extract("line", ENV_LINE, 1).alias("key"),
+        F.regexp_extract("line", ENV_LINE, 2).alias("value"),
         "line_no",
     )
-    return rows.groupBy("source", "key").agg(F.max_by("value", "line_no").alias("value"))
+
+
+def parse_env(texts: DataFrame) -> DataFrame:
+    """``(source, key, value)`` rows of environment files; the last of repeated keys wins."""
+    return env_lines(texts).groupBy("source", "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def parse_key_metadata(texts: DataFrame) -> DataFrame:

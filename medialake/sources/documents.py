@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.plans.ordering import sequenced
+from medialake.plans.skew import join_lookup
 from medialake.sources import schemas as S
 
 ITEM_FIELDS = list(S.GALLERY_FIELDS)
@@ -18,19 +18,18 @@ def read_gallery_documents(docs: DataFrame, text: str = "value") -> DataFrame:
     return entries.select("project_id", F.inline("items"))
 
 
-def to_gallery_documents(
-    items: DataFrame, chunk: int = 1000, threshold: int | None = None
-) -> DataFrame:
-    """One JSON document per project and run of ``chunk`` items.
+def to_gallery_documents(items: DataFrame, chunk: int = 1000, keys: DataFrame | None = None) -> DataFrame:
+    """JSON documents of one project each, with about half of ``chunk`` items, hardly ever more than it.
 
-    A project of any size is written whole, but as several documents: no task ever gathers more
-    than ``chunk`` items of one project. Items keep their order by id within the documents.
+    A project of any size is written whole, but as several documents: its items are dealt by a hash
+    of their id to as many documents as its size asks for. Items are in order of their id within a
+    document. ``keys`` may be a cheaper frame with at least one row per item, to count them by.
     """
-    numbered = sequenced(items, ["project_id"], ["id"], threshold=threshold)
-    # Rows of one project are numbered from 1; the position inside a document keeps the order.
-    pieces = numbered.withColumn("_doc", F.floor((F.col("seq") - 1) / F.lit(chunk)))
+    sizes = (items if keys is None else keys).groupBy("project_id").agg(F.count(F.lit(1)).alias("_size"))
+    parts = F.ceil(2 * F.coalesce("_size", F.lit(1)) / F.lit(chunk))
+    pieces = join_lookup(items, sizes, ["project_id"]).withColumn("_doc", F.pmod(F.xxhash64("id"), parts))
     packed = pieces.groupBy("project_id", "_doc").agg(
-        F.sort_array(F.collect_list(F.struct("seq", F.struct(*ITEM_FIELDS).alias("item")))).alias("run")
+        F.sort_array(F.collect_list(F.struct("id", F.struct(*ITEM_FIELDS).alias("item")))).alias("run")
     )
     items_only = F.transform("run", lambda r: r["item"])
     return packed.select(
@@ -39,8 +38,8 @@ def to_gallery_documents(
     )
 
 
-def save_gallery(items: DataFrame, path: str, chunk: int = 1000) -> None:
-    to_gallery_documents(items, chunk).write.mode("overwrite").text(path)
+def save_gallery(items: DataFrame, path: str, chunk: int = 1000, keys: DataFrame | None = None) -> None:
+    to_gallery_documents(items, chunk, keys).write.mode("overwrite").text(path)
 
 
 def load_gallery(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import pytest
 
 from medialake.bindings import Lake
-from medialake.session import local_session
+from medialake.session import drop_scratch, local_session
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,6 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     s = local_session(int(os.environ.get("TEST_CPUS", "4")), "medialake-tests")
     yield s
+    drop_scratch(s)
     s.stop()
 
 
