@@ -110,19 +110,25 @@ def cascade_delete(children: DataFrame, removed: DataFrame, key: str) -> DataFra
 def batch_action(
     rows: DataFrame, selected: DataFrame, key: str, action: str, value: Column | None = None
 ) -> DataFrame:
-    """Apply one action to the selected rows: set a preset, add a tag, add a format, or delete."""
+    """Apply one action to the selected rows: set a preset, add a tag, add a format, or delete.
+
+    Where the selection is a condition on the rows themselves, ``batch_where`` needs no join.
+    """
     picked = selected.select(key).distinct()
     if action == "delete":
         return rows.join(picked, key, "left_anti")
+    marked = rows.join(picked.withColumn("_hit", F.lit(True)), key, "left")
+    return batch_where(marked, F.col("_hit"), action, value).drop("_hit")
+
+
+def batch_where(rows: DataFrame, selected: Column, action: str, value: Column | None = None) -> DataFrame:
+    """The same for the rows that meet a condition, each in its own place."""
+    hit = F.coalesce(selected, F.lit(False))
+    if action == "delete":
+        return rows.filter(~hit)
     target = {"preset": "preset_id", "tag": "tags", "export": "export_formats"}[action]
     new = value.cast(rows.schema[target].dataType) if action == "preset" else add_tag(F.col(target), value)
-    marked = rows.join(picked.withColumn("_hit", F.lit(True)), key, "left")
-    return marked.select(
-        *[
-            F.when(F.col("_hit"), new).otherwise(F.col(c)).alias(c) if c == target else F.col(c)
-            for c in rows.columns
-        ]
-    )
+    return rows.withColumn(target, F.when(hit, new).otherwise(F.col(target)))
 
 
 def toggle_selection(selected: DataFrame, toggled: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import any_contains_ci, contains_ci
@@ -63,13 +63,7 @@ def faceted_search(assets: DataFrame, query: str, facets: list[tuple[str, str]]
 
 
 def sort_results(found: DataFrame, by: str = "relevance") -> DataFrame:
-    """Result orders; relevance keeps the input order, given by the asset id."""
-    if by == "time":
-        return found.orderBy(F.desc("created_at"), "photo_id")
-    if by in ("camera", "preset"):
-        column = "preset_name" if by == "preset" else "camera"
-        return found.orderBy(F.collate(F.coalesce(column, F.lit("")), "UNICODE"), "photo_id")
-    return found.orderBy("photo_id")
+    return found.orderBy(*result_order(by))
 
 
 def autocomplete(assets: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -101,15 +95,35 @@ def autocomplete(assets: DataFrame, query: str, k: int = 5) -> DataFrame:
 def project_list(projects: DataFrame, query: str = "", sort: str = "recent") -> DataFrame:
     """Name search and the five orders of the project list."""
     found = projects.filter(contains_ci("name", query)) if query else projects
+    return found.orderBy(*project_order(sort))
+
+
+def placed(df: DataFrame, k: int, *order) -> DataFrame:
+    """The first k rows of a total order with their ``place``; only these k are numbered."""
+    return df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def project_order(sort: str = "recent") -> list[Column]:
+    """The five orders of the project list, completed by the id."""
     count = F.coalesce("photo_count", F.lit(0))
     orders = {
-        "alpha": lambda: [F.collate("name", "UNICODE")],
-        "imgs_desc": lambda: [count.desc()],
-        "imgs_asc": lambda: [count.asc()],
-        "oldest": lambda: [F.asc("updated_at")],
-        "recent": lambda: [F.desc("updated_at")],
+        "alpha": F.collate("name", "UNICODE"),
+        "imgs_desc": count.desc(),
+        "imgs_asc": count.asc(),
+        "oldest": F.asc("updated_at"),
+        "recent": F.desc("updated_at"),
     }
-    return found.orderBy(*orders.get(sort, orders["recent"])(), "project_id")
+    return [orders.get(sort, orders["recent"]), F.col("project_id")]
+
+
+def result_order(by: str = "relevance") -> list[Column]:
+    """Result orders; relevance keeps the input order, given by the asset id."""
+    if by == "time":
+        return [F.desc("created_at"), F.col("photo_id")]
+    if by in ("camera", "preset"):
+        column = "preset_name" if by == "preset" else "camera"
+        return [F.collate(F.coalesce(column, F.lit("")), "UNICODE"), F.col("photo_id")]
+    return [F.col("photo_id")]
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:

@@ -263,11 +263,91 @@ def preset_purge(lake):
 )
 def batch_tag(lake):
     photos = lake.tagged_photos().select("photo_id", "status", "tags")
-    selected = lake.photos().filter("status = 'raw'")
-    tagged = changes.batch_action(photos, selected, "photo_id", "tag", F.lit("todo"))
+    tagged = changes.batch_where(photos, F.col("status") == "raw", "tag", F.lit("todo"))
     return tagged.select("photo_id", F.array_join("tags", ",").alias("tag_text"))
 
 
+@query(
+    "batch_preset",
+    """
+    SELECT photo_id, CASE WHEN camera_id % 4 = 0 THEN 7 ELSE preset_id END AS preset_id FROM photos
+    """,
+    "photos",
+)
+def batch_preset(lake):
+    photos = lake.photos().select("photo_id", "camera_id", "preset_id")
+    return changes.batch_where(photos, F.col("camera_id") % 4 == 0, "preset", F.lit(7)).drop("camera_id")
+
+
+@query(
+    "batch_export",
+    """
+    SELECT photo_id, array_to_string(CASE WHEN status = 'published' AND NOT list_contains(export_formats, '1x1')
+                                          THEN list_append(export_formats, '1x1') ELSE export_formats END, ',') AS formats
+    FROM photos
+    """,
+    "photos",
+)
+def batch_export(lake):
+    photos = lake.photos().select("photo_id", "status", "export_formats")
+    done = changes.batch_where(photos, F.col("status") == "published", "export", F.lit("1x1"))
+    return done.select("photo_id", F.array_join("export_formats", ",").alias("formats"))
+
+
+@query(
+    "batch_delete",
+    """
+    SELECT project_id, status FROM projects WHERE user_id NOT IN (SELECT user_id FROM users WHERE NOT is_active)
+    """,
+    "projects users",
+)
+def batch_delete(lake):
+    """Projects left after those of inactive users, a selection by key, were deleted."""
+    projects = lake.projects().select("project_id", "user_id", "status")
+    return changes.batch_action(projects, lake.users().filter("NOT is_active"), "user_id", "delete").drop("user_id")
+
+
+ALL_SETTINGS = [
+    ("default_preset_name", "string", "NULL"), ("auto_apply_new", "boolean", "true"),
+    ("retro_apply_existing", "boolean", "false"), ("export_format", "string", "'PNG'"),
+    ("file_rule", "string", "'{project}_{date}_{counter}'"), ("counter_start", "int", "1"),
+    ("include_original_name", "boolean", "true"), ("enable_watermark", "boolean", "false"),
+    ("wm_position", "string", "'Bottom-Right'"), ("wm_opacity", "int", "35"),
+    ("default_tags", "string", "''"), ("smart_auto_tagging", "boolean", "false"),
+    ("min_long_edge_px", "int", "2000"), ("min_exposure_quality", "int", "0"),
+    ("auto_flag_low_quality", "boolean", "true"), ("ai_distribution", "boolean", "false"),
+    ("ai_notes", "string", "''"), ("export_scheduling_on", "boolean", "false"),
+]
+
+
+@query(
+    "upsert_all_defaults",
+    """
+    SELECT project_id, updated_at,
+    """
+    + ", ".join(f"CASE WHEN project_id % 3 = 0 THEN NULL ELSE {sql} END AS {name}" for name, _, sql in ALL_SETTINGS)
+    + """, CASE WHEN project_id % 3 = 0 THEN NULL ELSE '1:1,4:5,3:2,16:9' END AS aspects,
+           CASE WHEN project_id % 3 = 0 THEN NULL ELSE '' END AS storage_channels
+    FROM (SELECT project_id, CASE WHEN project_id % 2 = 0 THEN TIMESTAMP '2001-12-01' ELSE TIMESTAMP '2001-01-01' END AS updated_at
+          FROM projects WHERE project_id % 3 = 0 OR project_id % 2 = 0)
+    """,
+    "projects",
+)
+def upsert_all_defaults(lake):
+    """Settings with every column: rows that are there keep their nulls, new ones get all defaults."""
+    projects = lake.projects()
+    kinds = {name: kind for name, kind, _ in ALL_SETTINGS} | dict.fromkeys(("aspects", "storage_channels"), "array<string>")
+    current = projects.filter("project_id % 3 = 0").select(
+        "project_id",
+        F.lit("2001-01-01").cast("timestamp_ntz").alias("updated_at"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()],
+    )
+    patches = projects.filter("project_id % 2 = 0").select("project_id")
+    out = changes.upsert(current, patches, "project_id", C.AUTOMATION_DEFAULTS, ORDERS_AS_OF)
+    lists = {c: F.array_join(c, ",") for c in ("aspects", "storage_channels")}
+    return out.withColumns(lists)
+
+
 @query(
     "selection_toggle",
     """

@@ -11,7 +11,6 @@ from medialake.functions.tags import csv_tags
 from medialake.operators import devices, filters, naming, quality, stats, tagging
 from medialake.operators import presets as P
 from medialake.plans.registry import query
-from medialake.sources import configs
 
 RULES = """
     WITH e AS (
@@ -406,135 +405,6 @@ def duplicate_captions(lake):
     return quality.duplicate_assets(lake.raw("documents"), "doc_id", "text")
 
 
-def _config_texts(lake):
-    """One configuration text per supplier, with some keys empty, missing or repeated."""
-    n = F.col("s_suppkey")
-    s = n.cast("string")
-    lines = F.concat_ws(
-        "\n",
-        F.lit("# device settings"),
-        F.concat(F.lit("site = 'hall "), s, F.lit("'")),
-        F.lit(""),
-        F.lit("[network]"),
-        F.when(n % 4 != 0, F.concat(F.lit('interface="wlan'), (n % 3).cast("string"), F.lit('"'))),
-        F.when(n % 5 != 0, F.concat(F.lit("  bridge_ip = 10.0.0."), (n % 250).cast("string"))),
-        F.lit("  # mode=off"),
-        F.lit("[ftp]"),
-        F.when(n % 3 == 0, F.lit("user=")).otherwise(F.lit("user=first")),
-        F.when(n % 6 == 0, F.concat(F.lit("user=cam"), s)),
-        F.when(n % 7 != 0, F.lit('root="/srv/ftp"')),
-    )
-    return lake.raw("supplier").select(F.col("s_suppkey").alias("source"), lines.alias("text"))
-
-
-CONFIG = """
-    WITH c AS (
-        SELECT s_suppkey AS source, 'site' AS key, 'hall ' || CAST(s_suppkey AS VARCHAR) AS value FROM supplier
-        UNION ALL SELECT s_suppkey, 'network_interface', 'wlan' || CAST(s_suppkey % 3 AS VARCHAR)
-        FROM supplier WHERE s_suppkey % 4 <> 0
-        UNION ALL SELECT s_suppkey, 'network_bridge_ip', '10.0.0.' || CAST(s_suppkey % 250 AS VARCHAR)
-        FROM supplier WHERE s_suppkey % 5 <> 0
-        UNION ALL SELECT s_suppkey, 'ftp_user', CASE WHEN s_suppkey % 6 = 0 THEN 'cam' || CAST(s_suppkey AS VARCHAR)
-                                                     WHEN s_suppkey % 3 = 0 THEN '' ELSE 'first' END
-        FROM supplier
-        UNION ALL SELECT s_suppkey, 'ftp_root', '/srv/ftp' FROM supplier WHERE s_suppkey % 7 <> 0)
-    """
-
-
-@query("device_config_scan", CONFIG + "SELECT source, key, value FROM c")
-def device_config_scan(lake):
-    return configs.parse_config(_config_texts(lake))
-
-
-@query(
-    "config_fleet",
-    CONFIG
-    + """
-    , n AS (SELECT source, count(*) AS n FROM c
-            WHERE value <> '' AND key IN ('network_interface', 'network_bridge_ip', 'ftp_user', 'ftp_root')
-            GROUP BY 1)
-    SELECT s_suppkey AS source, 4 - coalesce(n, 0) AS warnings, coalesce(n, 0) = 4 AS clean
-    FROM supplier LEFT JOIN n ON n.source = s_suppkey
-    """,
-)
-def config_fleet(lake):
-    texts = _config_texts(lake)
-    return quality.device_problems(configs.parse_config(texts), texts.select("source"))
-
-
-def _env_texts(lake):
-    n = F.col("c_custkey")
-    lines = F.concat_ws(
-        "\n",
-        F.lit("# server"),
-        F.lit("POSTGRES_DB=lake"),
-        F.when(n % 3 != 0, F.lit("POSTGRES_USER=app")),
-        F.when(n % 4 == 0, F.lit("POSTGRES_PASSWORD=CHANGE_THIS")).otherwise(F.lit("POSTGRES_PASSWORD=pw")),
-        F.when(n % 5 == 0, F.lit("PGRST_DB_URI=")).otherwise(F.lit("PGRST_DB_URI=postgres://db/x?a=b")),
-        F.when(n % 7 != 0, F.lit("PGRST_JWT_SECRET=s")),
-    )
-    return lake.raw("customer").select(F.col("c_custkey").alias("source"), lines.alias("text"))
-
-
-@query(
-    "environment_fleet",
-    """
-    WITH e AS (
-        SELECT c_custkey AS source, CAST(c_custkey % 3 = 0 AS INTEGER) + CAST(c_custkey % 7 = 0 AS INTEGER)
-               + CAST(c_custkey % 4 = 0 AND c_custkey % 2 = 0 AS INTEGER) AS errors,
-               CAST(c_custkey % 5 = 0 AS INTEGER) AS warnings
-        FROM customer)
-    SELECT source, CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings,
-           errors = 0 AS valid FROM e
-    """,
-)
-def environment_fleet(lake):
-    texts = _env_texts(lake)
-    sources = texts.select("source", (F.col("source") % 2 == 0).alias("production"))
-    return quality.environment_problems(configs.env_lines(texts), sources)
-
-
-@query(
-    "masked_settings",
-    """
-    WITH e AS (
-        SELECT c_custkey AS source, 'POSTGRES_DB' AS key, 'lake' AS value FROM customer
-        UNION ALL SELECT c_custkey, 'POSTGRES_USER', 'app' FROM customer WHERE c_custkey % 3 <> 0
-        UNION ALL SELECT c_custkey, 'POSTGRES_PASSWORD', '***HIDDEN***' FROM customer
-        UNION ALL SELECT c_custkey, 'PGRST_DB_URI', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'postgres://db/x?a=b' END
-        FROM customer
-        UNION ALL SELECT c_custkey, 'PGRST_JWT_SECRET', '***HIDDEN***' FROM customer WHERE c_custkey % 7 <> 0)
-    SELECT * FROM e
-    """,
-)
-def masked_settings(lake):
-    return filters.mask_settings(configs.parse_env(_env_texts(lake)))
-
-
-@query(
-    "key_metadata_scan",
-    """
-    SELECT c_custkey AS source, CASE WHEN c_custkey % 2 = 0 THEN 'secret' ELSE 'ssh' END AS key_type,
-           TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 1 MINUTE AS created_at, c_name AS creator,
-           sha256(c_name) AS checksum
-    FROM customer
-    """,
-)
-def key_metadata_scan(lake):
-    n = F.col("c_custkey")
-    created = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=n.cast("int"))
-    body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("type: "), F.when(n % 2 == 0, "secret").otherwise("ssh")),
-        F.concat(F.lit("created: "), F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")),
-        F.concat(F.lit("creator: "), F.col("c_name")),
-        F.concat(F.lit("checksum: "), text.checksum("c_name")),
-    )
-    texts = lake.raw("customer").select(n.alias("source"), body.alias("text"))
-    parsed = configs.parse_key_metadata(texts)
-    return parsed.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-
-
 @query(
     "time_labels",
     """
@@ -688,7 +558,9 @@ def exposure_values(lake):
 @query(
     "format_labels",
     """
-    SELECT photo_id, CASE WHEN len(export_formats) = 1 THEN '16:9 Landscape'
+    SELECT photo_id, CASE preset_id % 7 WHEN 0 THEN 'None' WHEN 1 THEN 'Black & White' WHEN 2 THEN 'Grain + Flares'
+                          WHEN 3 THEN 'Cinematic' WHEN 4 THEN 'Vintage' WHEN 5 THEN 'Clean' ELSE 'None' END AS preset,
+           CASE WHEN len(export_formats) = 1 THEN '16:9 Landscape'
                           ELSE CAST(len(export_formats) AS VARCHAR) || ' formats selected' END AS label,
            CASE camera_id % 4 WHEN 0 THEN 'Canon R5' WHEN 1 THEN 'Nikon Z6 II' WHEN 2 THEN 'Peter''s Sony A7iv'
                 ELSE 'Camera' END AS camera
@@ -699,8 +571,11 @@ def exposure_values(lake):
 def format_labels(lake):
     ids = F.array(F.lit("canon-r5"), F.lit("nikon-z6ii"), F.lit("sony-a7iv"), F.lit("other"))
     camera = F.get(ids, (F.col("camera_id") % 4).cast("int"))
+    names = F.array(*[F.lit(x) for x in ("none", "bw", "grain", "cinematic", "vintage", "clean", "else")])
+    preset = F.get(names, (F.col("preset_id") % 7).cast("int"))
     return lake.photos().select(
         "photo_id",
+        text.label_map(preset, C.PRESET_LABELS, C.PRESET_DEFAULT).alias("preset"),
         text.formats_label("export_formats").alias("label"),
         text.label_map(camera, C.CAMERA_LABELS, C.CAMERA_DEFAULT).alias("camera"),
     )

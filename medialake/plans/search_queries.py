@@ -370,3 +370,87 @@ def tag_search(lake):
 )
 def tag_preview(lake):
     return tagging.tag_preview(lake.tagged_photos(), shown=2)
+
+
+@query(
+    "smallest_projects",
+    """
+    SELECT project_id, name, coalesce(n, 0) AS photo_count,
+           row_number() OVER (ORDER BY coalesce(n, 0), project_id) AS place
+    FROM projects LEFT JOIN (SELECT project_id AS pid, count(*) AS n FROM photos GROUP BY 1) ON pid = project_id
+    QUALIFY place <= 20
+    """,
+    "projects photos",
+)
+def smallest_projects(lake):
+    found = search.placed(_counted_projects(lake), 20, *search.project_order("imgs_asc"))
+    return found.select("project_id", "name", F.coalesce("photo_count", F.lit(0)).alias("photo_count"), "place")
+
+
+@query(
+    "oldest_projects",
+    """
+    SELECT project_id, name, row_number() OVER (ORDER BY updated_at, project_id) AS place
+    FROM projects QUALIFY place <= 20
+    """,
+    "projects",
+)
+def oldest_projects(lake):
+    found = search.placed(lake.projects(), 20, *search.project_order("oldest"))
+    return found.select("project_id", "name", "place")
+
+
+FOUND = """
+    WITH f AS (
+        SELECT * FROM search_assets
+        WHERE contains(lower(title), 'widget') OR contains(lower(original), 'widget')
+           OR len(list_filter(tags, lambda t: contains(lower(t), 'widget'))) > 0
+           OR coalesce(contains(lower(camera), 'widget'), false) OR coalesce(contains(lower(location), 'widget'), false))
+    """
+
+
+@query(
+    "search_by_time",
+    FOUND
+    + """
+    SELECT photo_id, created_at, row_number() OVER (ORDER BY created_at DESC, photo_id) AS place
+    FROM f QUALIFY place <= 50
+    """,
+    "search_assets",
+)
+def search_by_time(lake):
+    found = search.faceted_search(lake.search_assets(), "widget").select("photo_id", "created_at")
+    return search.placed(found, 50, *search.result_order("time"))
+
+
+@query(
+    "search_by_preset",
+    FOUND
+    + """
+    SELECT photo_id, preset_name, row_number() OVER (ORDER BY coalesce(preset_name, ''), photo_id) AS place
+    FROM f QUALIFY place <= 50
+    """,
+    "search_assets",
+)
+def search_by_preset(lake):
+    found = search.faceted_search(lake.search_assets(), "widget").select("photo_id", "preset_name")
+    return search.placed(found, 50, *search.result_order("preset"))
+
+
+@query(
+    "search_by_relevance",
+    FOUND + "SELECT photo_id, row_number() OVER (ORDER BY photo_id) AS place FROM f QUALIFY place <= 50",
+    "search_assets",
+)
+def search_by_relevance(lake):
+    found = search.faceted_search(lake.search_assets(), "widget").select("photo_id")
+    return search.placed(found, 50, *search.result_order())
+
+
+@query(
+    "preset_lists",
+    "SELECT preset_id, name, CASE WHEN shared THEN 'team' ELSE 'personal' END AS section FROM presets",
+    "presets",
+)
+def preset_lists(lake):
+    return filters.sections(lake.presets()).select("preset_id", "name", "section")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from medialake.bindings import EVENTS_AS_OF, ORDERS_AS_OF
 from medialake.functions.numbers import round_half_up
-from medialake.operators import audit, health, stats
+from medialake.operators import audit, health, stats, tagging
 from medialake.operators import presets as P
 from medialake.operators.filters import not_revoked
 from medialake.plans.registry import query
@@ -242,6 +242,24 @@ def count_reconciliation(lake):
     return stats.reconcile(lake.projects(), counted, "project_id")
 
 
+@query(
+    "tag_reconciliation",
+    """
+    WITH u AS (SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(tags)) AS tag FROM tagged_photos) GROUP BY 1),
+    s AS (SELECT lower(p_type) AS tag, count(*) AS stored_count FROM part GROUP BY 1)
+    SELECT tag, stored_count, coalesce(n, 0) AS actual_count, stored_count - coalesce(n, 0) AS delta,
+           stored_count = coalesce(n, 0) AS matches
+    FROM s LEFT JOIN u USING (tag)
+    """,
+    "tagged_photos",
+)
+def tag_reconciliation(lake):
+    """Stored usage of the type tags, one for each preset of the type, against real usage on photos."""
+    stored = lake.raw("part").groupBy(F.lower("p_type").alias("tag")).agg(F.count(F.lit(1)).alias("stored_count"))
+    used = tagging.tag_usage(lake.tagged_photos()).withColumnRenamed("usage", "actual_count")
+    return stats.reconcile(stored, used, "tag")
+
+
 @query(
     "audit_daily_metrics",
     """
