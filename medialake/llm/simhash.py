@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from medialake.llm.common import saved, words_of
 from medialake.llm.components import connected_components
 
-_ROWS = 256  # rows of a tile compared at once
+_ROWS, _COLUMNS = 64, 2048  # fingerprints of two tiles compared at once, within a core's cache
 _SEED = 42
 
 
@@ -120,13 +120,15 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles (rows of words), as a spanning forest over rows of `a` then `b`."""
-    n_a = len(a)
+    n_a, dense = len(a), min(2, a.shape[1])
     pop_a, pop_b = (np.bitwise_count(x).sum(1, dtype=np.int32) for x in (a, b))
     by_a, by_b = np.argsort(pop_a, kind="stable"), np.argsort(pop_b, kind="stable")
-    sorted_b, sorted_pop = b[by_b], pop_b[by_b]
+    columns_a, columns_b = np.ascontiguousarray(a[by_a].T), np.ascontiguousarray(b[by_b].T)
+    sorted_a, sorted_b = pop_a[by_a], pop_b[by_b]
     shift = 0 if same else n_a
     n = n_a if same else n_a + len(b)
     held_i, held_j, held = [], [], 0
+    room = [np.empty((_ROWS, _COLUMNS), t) for t in (np.uint64, np.uint8, np.uint8)]
 
     def reduced():
         label = _forest(n, np.concatenate(held_i), np.concatenate(held_j))
@@ -134,17 +136,25 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tupl
         return node, label[node]
 
     for at in range(0, n_a, _ROWS):
-        rows = by_a[at : at + _ROWS]
-        pops = pop_a[rows]
-        lo, hi = np.searchsorted(sorted_pop, [pops[0] - radius, pops[-1] + radius + 1])
-        for c in range(lo, hi, 1 << 13):
-            block = sorted_b[c : min(c + (1 << 13), hi)]
-            r, k = np.nonzero(np.bitwise_count(a[rows, 0][:, None] ^ block[:, 0][None, :]) <= radius)
-            if len(r) and a.shape[1] > 1:
-                near = np.bitwise_count(a[rows[r]] ^ block[k]).sum(1, dtype=np.int32) <= radius
+        rows = np.arange(at, min(at + _ROWS, n_a))
+        lo, hi = np.searchsorted(sorted_b, [sorted_a[rows[0]] - radius, sorted_a[rows[-1]] + radius + 1])
+        lo = max(lo, at) if same else lo  # each pair of one tile once
+        for c in range(lo, hi, _COLUMNS):
+            width = min(_COLUMNS, hi - c)
+            x, apart, more = (y[: len(rows), :width] for y in room)
+            # The first words of all pairs, the others only of those that are still within the radius.
+            for k in range(dense):
+                np.bitwise_xor(columns_a[k, rows, None], columns_b[k, None, c : c + width], out=x)
+                np.bitwise_count(x, out=more if k else apart)
+                if k:
+                    apart += more
+            r, k = np.nonzero(apart <= radius)
+            if len(r) and a.shape[1] > dense:
+                rest = np.bitwise_count(columns_a[dense:, at + r] ^ columns_b[dense:, c + k]).sum(0, dtype=np.int32)
+                near = apart[r, k] + rest <= radius
                 r, k = r[near], k[near]
             if len(r):
-                held_i.append(rows[r])
+                held_i.append(by_a[at + r])
                 held_j.append(by_b[c + k] + shift)
                 held += len(r)
                 if held > 1 << 20:
