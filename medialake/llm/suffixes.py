@@ -40,7 +40,7 @@ REACH = LENGTH - GRAM  # how far a string reaches beyond its gram
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _MASK = 2**64 - 1
-_PART = 1 << 19  # bytes hashed together
+_PART = 1 << 18  # bytes hashed together
 _NONE = np.uint64(_MASK)
 
 
@@ -153,9 +153,9 @@ def found_anchors(docs: DataFrame) -> DataFrame:
                         piece, place, gram, other, context = anchors([g[0] for g in group])
                         rows = np.array([g[1] for g in group])[piece] if len(piece) else piece
                         size = np.array([g[2] for g in group])[piece] if len(piece) else piece
-                        taken = batch.take(pa.array(rows))
                         arrays = [pa.array(x) for x in (gram, other, context)]
-                        arrays += [taken.column(0), taken.column(1), pa.array(size.astype(np.int64)), pa.array(place.astype(np.int64))]
+                        arrays += [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
+                        arrays += [pa.array(x.astype(np.int64)) for x in (size, place)]
                         yield pa.RecordBatch.from_arrays(arrays, ["gram", "other", "context", "doc", "row", "size", "place"])
                     held, of, sizes, n_held = [], [], [], 0
 
@@ -176,18 +176,20 @@ def _groups(pieces: list[tuple]) -> Iterator[list[tuple]]:
         yield group
 
 
+def prefix_hashes(strings: list[bytes]) -> np.ndarray:
+    """By string and n, the polynomial hash of its first n bytes (of its padding, beyond its end)."""
+    padded = np.frombuffer(b"".join(s.ljust(REACH, b"\0") for s in strings), np.uint8).reshape(len(strings), REACH)
+    hashes = np.zeros((REACH + 1, len(strings)), np.uint64)
+    for n, column in enumerate(np.ascontiguousarray(padded.T)):
+        hashes[n + 1] = hashes[n] * np.uint64(_BASES[0]) + column + np.uint64(1)
+    return np.ascontiguousarray(hashes.T)
+
+
 class _Sorted:
     """Strings in suffix order, by mergesort over hashed comparisons."""
 
-    def __init__(self, strings: list[bytes]):
-        self.strings = strings
-        width = max(map(len, strings), default=0)
-        padded = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
-        # hashes[i][n] is the hash of the first n bytes.
-        hashes = np.zeros((len(strings), width + 1), np.uint64)
-        for n in range(width):
-            hashes[:, n + 1] = hashes[:, n] * np.uint64(_BASES[0]) + padded[:, n] + np.uint64(1)
-        self.hashes = hashes
+    def __init__(self, strings: list[bytes], hashes: list[np.ndarray]):
+        self.strings, self.hashes = strings, hashes
         self.order = sorted(range(len(strings)), key=cmp_to_key(self.compare))
         self.rank = [0] * len(strings)
         for k, i in enumerate(self.order):
@@ -230,12 +232,12 @@ class _Sorted:
                 yield self.order[down], b
 
 
-def extents(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int] | None]:
+def extents(lefts: list[tuple[bytes, np.ndarray]], rights: list[tuple[bytes, np.ndarray]]) -> list[tuple[int, int] | None]:
     """For contexts of one gram: how far the strings go left and right that others share, if any.
 
-    `lefts` are read backwards from the gram, `rights` forwards from its end.
+    `lefts` are read backwards from the gram, `rights` forwards from its end, both with their hashes.
     """
-    left, right = _Sorted(lefts), _Sorted(rights)
+    left, right = (_Sorted([x[0] for x in side], [x[1] for x in side]) for side in (lefts, rights))
 
     def farthest(i: int, side: _Sorted, other: _Sorted) -> int | None:
         most = next((n for _, n in other.nearest(i)), 0)
@@ -293,7 +295,8 @@ def _sorted_extents(contexts: DataFrame) -> DataFrame:
 
         def close() -> None:
             if len(group) > 1:
-                for (_, _, doc, row, place, *_), found in zip(group, extents([g[5] for g in group], [g[6] for g in group]), strict=True):
+                sides = ([(g[k], g[k + 2]) for g in group] for k in (5, 6))
+                for (_, _, doc, row, place, *_), found in zip(group, extents(*sides), strict=True):
                     if found:
                         out.append((doc, row, place - found[0], place + GRAM + found[1]))
 
@@ -306,7 +309,9 @@ def _sorted_extents(contexts: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            columns += [prefix_hashes(columns[k]) for k in (5, 6)] if batch.num_rows else [[], []]
+            for row in zip(*columns, strict=True):
                 if row[:2] != key:
                     close()
                     group, key = [], row[:2]
