@@ -50,15 +50,17 @@ def drop_shared_lines(
     )
     # One row per distinct (key, document), then one per key. Both steps combine before their
     # shuffle, so a line that most documents hold makes no hot group.
-    shared = (
+    # Written apart, the shared keys meet all lines in a join whose hot keys the engine can split.
+    shared = saved(
         placed.select("h1", "h2", "doc")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "shared-lines",
     )
-    # Only positions come back to the documents; the engine splits a hot key of this join.
+    # Only positions come back to the documents.
     gone = (
         placed.join(shared, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
