@@ -85,7 +85,14 @@ class Lake:
 
     def photos(self) -> DataFrame:
         """Photos without title and tags (no join)."""
-        return self.raw("lineitem").select(
+        return self.raw("lineitem").select(*self._photo_columns())
+
+    def shots(self) -> DataFrame:
+        """Photos with the camera settings that ``exif`` has, from one scan."""
+        return self.raw("lineitem").select(*self._photo_columns(), *self._exif_columns())
+
+    def _photo_columns(self) -> list[Column]:
+        return [
             self._photo_id().alias("photo_id"),
             F.col("l_orderkey").alias("project_id"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("slot"),
@@ -107,7 +114,7 @@ class Lake:
                 F.lit(1),
                 F.col("l_linenumber") % 3 + 1,
             ).alias("export_formats"),
-        )
+        ]
 
     def tagged_photos(self) -> DataFrame:
         """Photos with title, description and tags of the part they show."""
@@ -144,10 +151,12 @@ class Lake:
 
     def exif(self) -> DataFrame:
         """Camera settings per photo."""
-        return self.raw("lineitem").select(
-            self._photo_id().alias("photo_id"),
-            F.col("l_orderkey").alias("project_id"),
-            F.col("l_partkey").alias("preset_id"),
+        ids = [self._photo_id().alias("photo_id"), F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("preset_id")]
+        return self.raw("lineitem").select(*ids, *self._exif_columns())
+
+    @staticmethod
+    def _exif_columns() -> list[Column]:
+        return [
             (F.lit(100) + F.col("l_quantity") * 100).cast("int").alias("iso"),
             (F.col("l_partkey") % 24).cast("int").alias("hour"),
             _pick(PLACES, F.col("l_suppkey") % 6).alias("location"),
@@ -159,7 +168,7 @@ class Lake:
             (F.lit(1.0).cast("double") / (F.lit(20.0) * F.col("l_quantity"))).alias("shutter"),
             (F.col("l_extendedprice") / 20).cast("int").alias("long_edge"),
             (F.col("l_quantity") * 2).alias("exposure_quality"),
-        )
+        ]
 
     def presets(self) -> DataFrame:
         """Presets; some carry a style name or text that rules look for. No preset serves the rules

@@ -186,27 +186,27 @@ def version_log(edits: DataFrame, key: str, order: str, settings: str) -> DataFr
     ).drop("seq")
 
 
-def rollback(log: DataFrame, requests: DataFrame, key: str, settings: str) -> DataFrame:
+def rollback(
+    log: DataFrame, requests: DataFrame, key: str, settings: str, last: DataFrame | None = None
+) -> DataFrame:
     """Append one version per request whose settings equal an older version's.
 
     ``log`` has (key, version, settings); ``requests`` has (key, target), one per key. A request for
-    an unknown version, or for the current one, changes nothing.
+    an unknown version, or for the current one, changes nothing. ``last`` may give (key, last), the
+    last version of each key, where it is known more cheaply than from the log.
     """
-    # Each request meets one aggregate of its key: the last version, and the settings of the target.
-    # Requests are few columns wide, so the log is joined to them once and read once more as it is.
-    asked = log.join(requests, key).groupBy(key, "target").agg(
-        F.max("version").alias("_last"),
-        F.max(F.when(F.col("version") == F.col("target"), F.struct(settings))).alias("_old"),
-    )
-    appended = asked.filter(F.col("_old").isNotNull() & (F.col("target") < F.col("_last"))).select(
-        key,
-        (F.col("_last") + 1).alias("version"),
-        F.col(f"_old.{settings}").alias(settings),
+    if last is None:
+        last = log.groupBy(key).agg(F.max("version").alias("last"))
+    # The log is read once: the row of a wanted version stands for itself and for the new version.
+    asked = requests.join(last, key).filter("target < last")
+    row = F.struct("version", settings, F.lit(None).cast("string").alias("note"))
+    fresh = F.struct(
+        (F.col("last") + 1).alias("version"),
+        settings,
         F.concat(F.lit("Rolled back to version "), F.col("target").cast("string")).alias("note"),
     )
-    return log.select(key, "version", settings, F.lit(None).cast("string").alias("note")).unionByName(
-        appended
-    )
+    both = F.when(F.col("version") == F.col("target"), F.array(row, fresh)).otherwise(F.array(row))
+    return log.join(asked, key, "left").select(key, F.inline(both))
 
 
 def add_versions(presets: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:

@@ -22,24 +22,32 @@ def _violation(df: DataFrame, rule: str, entity: str, id_: str, detail: Column)
 def orphans(projects: DataFrame, photos: DataFrame) -> DataFrame:
     """Photos of unknown projects, projects without photos, and covers that do not exist.
 
-    A cover's slot belongs to its project, so one small aggregate per project (whether it has photos,
-    and whether one of them has the cover's slot) answers both questions about projects; photos are
-    read once more to name those of unknown projects.
+    A cover's slot belongs to its project, so one join and one aggregate per project (whether it has
+    photos, and whether one of them has the cover's slot) answer both questions about projects;
+    photos are read once more to name those of unknown projects.
     """
     no_project = photos.join(projects.select("project_id"), "project_id", "left_anti")
-    covers = projects.select("project_id", "cover_slot").join(photos.select("project_id", "slot"), "project_id")
-    seen = covers.groupBy("project_id").agg(F.bool_or(F.col("slot") == F.col("cover_slot")).alias("_cover"))
-    about = projects.join(seen.withColumn("_photos", F.lit(True)), "project_id", "left")
-    no_photo = about.filter("_photos IS NULL")
-    no_cover = about.filter("cover_slot IS NOT NULL AND NOT coalesce(_cover, false)")
-    return union_all(
-        [
-            _violation(no_project, "photo without project", "photo", "photo_id", F.col("project_id")),
-            _violation(no_photo, "project without photos", "project", "project_id", F.col("status")),
-            _violation(no_cover, "cover photo missing", "project", "project_id", F.col("cover_slot")),
-        ]
+    seen = (
+        projects.select("project_id", "status", "cover_slot")
+        .join(photos.select("project_id", "slot"), "project_id", "left")
+        .groupBy("project_id", "status", "cover_slot")
+        .agg(F.count("slot").alias("photos"), F.count_if(F.col("slot") == F.col("cover_slot")).alias("covers"))
     )
 
+    def found(when: Column, rule: str, detail: str) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail")))
+
+    rules = F.array_compact(
+        F.array(
+            found(F.col("photos") == 0, "project without photos", "status"),
+            found(F.col("cover_slot").isNotNull() & (F.col("covers") == 0), "cover photo missing", "cover_slot"),
+        )
+    )
+    broken = seen.select(F.col("project_id").cast("string").alias("id"), F.inline(rules)).select(
+        "rule", F.lit("project").alias("entity"), "id", "detail"
+    )
+    return _violation(no_project, "photo without project", "photo", "photo_id", F.col("project_id")).unionByName(broken)
+
 
 def enum_violations(df: DataFrame, entity: str, id_: str, column: str, allowed: list[str]) -> DataFrame:
     bad = df.filter(F.col(column).isNotNull() & ~F.col(column).isin(allowed))

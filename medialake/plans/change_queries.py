@@ -478,7 +478,8 @@ def rollback(lake):
         "item_id", "version", F.try_element_at("adjustments", F.lit("exposure")).alias("exposure")
     )
     requests = lake.edits().select("item_id", (F.col("item_id") % 5 + 1).alias("target")).distinct()
-    return P.rollback(log, requests, "item_id", "exposure")
+    last = lake.edits().groupBy("item_id").agg(F.count(F.lit(1)).alias("last"))
+    return P.rollback(log, requests, "item_id", "exposure", last)
 
 
 @query(

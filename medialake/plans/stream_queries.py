@@ -60,8 +60,7 @@ def gallery_round_trip(lake):
 )
 def photo_file_scan(lake):
     iso_time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    shots = lake.exif().select("photo_id", "iso", "camera", "location")
-    nested = lake.photos().join(shots, "photo_id").select(
+    nested = lake.shots().select(
         F.col("photo_id").alias("id"),
         F.col("project_id").cast("string").alias("projectId"),
         "status",

@@ -62,3 +62,18 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_entry(spark):
     df = entry.entry(spark)
     assert "total_photos" in df.columns and df.count() > 0
+
+
+def counts(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    scans = sum(plan.count(f"Relation [{c}") for c in ("l_orderkey", "conv_id", "o_orderkey", "event_id"))
+    return scans, plan.count("Join ")
+
+
+@pytest.mark.parametrize(
+    ("name", "scans", "joins"),
+    [("orphans", 4, 2), ("rollback", 4, 3), ("batch_tag", 1, 1), ("batch_preset", 1, 0), ("missed_checks", 2, 1)],
+)
+def test_plans_read_no_more_than_they_need(spark, name, scans, joins):
+    got = counts(spark, name)
+    assert got[0] <= scans and got[1] <= joins, got
