@@ -32,6 +32,26 @@ marked as (
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op10_benchmark_decontamination": r"""
+with cut as (
+  select doc_id as id, false as asked,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') as w
+  from documents
+  union all
+  select item_id, true,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+')
+  from benchmark),
+placed as (
+  select id, asked, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from cut where len(w) > 0),
+shingles as (select distinct id, asked, array_to_string(w[i:i + 4], ' ') as s from placed),
+items as (select id, s, count(*) over (partition by id) as n from shingles where asked)
+select d.id as doc_id, q.id as item_id, any_value(n) as n_shingles, count(*) as n_shared, count(*) / any_value(n) as containment
+from shingles d join items q on d.s = q.s
+where not d.asked
+group by d.id, q.id having count(*) >= 0.8 * any_value(n)
 """,
     "op1_secret_ownership": r"""
 with texts as (
