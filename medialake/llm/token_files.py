@@ -21,9 +21,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,9 @@ from medialake.session import scratch_path
 
 _MARK = 0x31584449  # names the format and its version
 _PIECE = 8 << 20  # bytes of payload held at once
-_CACHED = 500_000  # encoded words remembered by a task
+_TOGETHER = 8 << 20  # bytes of texts encoded together
+_CACHED = 900_000  # encoded words that a worker remembers
+_BLANK = "Ġ"  # how a byte-level vocabulary writes a blank
 
 # A blank before another white space or at the end: a tokenizer may join such runs.
 _LOOSE = re.compile(r" (?:\s|\Z)")
@@ -45,7 +49,8 @@ class Encoder:
 
     Such a tokenizer never lets a token cross from before a blank to after it where the blank stands
     alone between two other characters. So texts are cut there, and the library encodes each
-    distinct piece once; texts with other blanks are encoded whole.
+    distinct piece once; texts with other blanks are encoded whole. New pieces go to the library in
+    one text and are told apart by the tokens that begin with a blank, of which each has one.
     """
 
     def __init__(self, path: str):
@@ -53,26 +58,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_BLANK)]] = True
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as bytes."""
-        loose = [bool(_LOOSE.search(t)) for t in texts]
-        # Every piece but the first begins with its blank; the first is encoded as it is.
-        pieces = [[] if no else t.split(" ") for t, no in zip(texts, loose, strict=True)]
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces with a blank before each."""
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            ids = np.frombuffer(self._ids([" " + " ".join(part)])[0], self.kind)
+            edges = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.kind.itemsize
+            if len(edges) == len(part) + 1:
+                raw, edges = ids.tobytes(), edges.tolist()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
+            else:
+                self.known.update(zip(part, self._ids([" " + x for x in part]), strict=True))
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, an end id behind each, and the texts' lengths in ids."""
         if len(self.known) > _CACHED:
             self.known.clear()
-        new = list(set().union(*(p[1:] for p in pieces)) - self.known.keys())
-        self.known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
-        heads = self._ids([t if no else p[0] for t, p, no in zip(texts, pieces, loose, strict=True)])
-        last = np.array([end], self.kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join([h, *map(get, p[1:]), last]) for h, p in zip(heads, pieces, strict=True)]
+        # A text's head, up to its first blank, has no blank before it. Loose texts are all head.
+        loose = [bool(_LOOSE.search(t)) for t in texts]
+        heads = [t if whole else t.partition(" ")[0] for t, whole in zip(texts, loose, strict=True)]
+        cut = pa.array(["" if whole else t for t, whole in zip(texts, loose, strict=True)], pa.large_string())
+        lists = pc.split_pattern(cut, " ")
+        first = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        words, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        rest = np.ones(len(piece), bool)
+        rest[first[:-1]] = False
+        asked = np.zeros(len(words), bool)
+        asked[piece[rest]] = True
+        get = self.known.get
+        found = [get(w, b"") if use else b"" for w, use in zip(words, asked.tolist(), strict=True)]
+        if new := [w for w, v in zip(words, found, strict=True) if not v and w]:
+            self._learn([w for w in new if w not in self.known])
+            found = [v or get(w, b"") for w, v in zip(words, found, strict=True)]
+        # All encoded pieces, the heads and the end in one table; then the texts as places of it.
+        table = [*found, *self._ids(heads), np.array([end], self.kind).tobytes()]
+        ids = np.frombuffer(b"".join(table), self.kind)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        piece[first[:-1]] = len(words) + np.arange(len(texts), dtype=np.int32)
+        piece = np.insert(piece, first[1:], len(table) - 1)
+        sizes = size[piece]
+        done = np.cumsum(sizes)
+        out = ids[np.repeat(start[piece] - done + sizes, sizes) + np.arange(done[-1] if len(done) else 0)]
+        ends = done[first[1:] + np.arange(len(texts))]
+        return out, np.diff(ends, prepend=0)
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One a worker process, so that what it remembers serves all the worker's tasks."""
+    return Encoder(path)
 
 
 def _turns(keys: np.ndarray, is_null: np.ndarray, before: tuple) -> tuple[np.ndarray, tuple]:
@@ -90,6 +136,14 @@ def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), is_null
 
 
+def _parts(texts: pa.Array, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `_TOGETHER` bytes of text each."""
+    part = np.cumsum(pc.binary_length(texts.slice(start, stop - start)).to_numpy(zero_copy_only=False)) // _TOGETHER
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), stop - start]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield start + a, start + b
+
+
 class _Moved:
     """A file written under a name of its own and moved to its place when complete."""
 
@@ -112,17 +166,17 @@ class _Shard:
         self.ids = _Moved(f"{self.name}.ids")
         self.hashes, self.lengths, self.before = [], [], (0, False, -1)
 
-    def add(self, column: pa.Array, encoded: list[bytes]) -> None:
+    def add(self, column: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         keys, is_null = _keys(column)
         turn, self.before = _turns(keys, is_null, self.before)
         self.hashes.append(key_hashes(keys, is_null, turn))
-        self.lengths += [len(e) // self.width for e in encoded]
-        self.ids.out.write(b"".join(encoded))
+        self.lengths.append(lengths)
+        self.ids.out.write(ids.tobytes())
 
     def close(self) -> tuple[int, int, int]:
         self.ids.close()
         h = np.concatenate(self.hashes)
-        length = np.array(self.lengths, "<u8")
+        length = np.concatenate(self.lengths).astype("<u8")
         start = np.cumsum(length) - length
         index = PerfectHash.build(h)
         order = np.argsort(index.slots(h))
@@ -216,7 +270,7 @@ def write_tokens(
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, done = Encoder(tokenizer), None, []
+        encoder, shard, done = _encoder(tokenizer), None, []
         for batch in batches:
             numbers = batch.column(2).to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
@@ -225,9 +279,9 @@ def write_tokens(
                     done.append(shard.close())
                     shard = None
                 shard = shard or _Shard(folder, int(numbers[a]), encoder.kind.itemsize)
-                for at in range(a, b, 256):
-                    part = batch.slice(at, min(256, b - at))
-                    shard.add(part.column(0), encoder.encode(part.column(1).to_pylist(), end))
+                for at, to in _parts(batch.column(1), a, b):
+                    part = batch.slice(at, to - at)
+                    shard.add(part.column(0), *encoder.encode(part.column(1).to_pylist(), end))
         if shard:
             done.append(shard.close())
         columns = list(zip(*done, strict=True)) or [()] * 3
