@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from medialake import catalogs as C
 from medialake.functions import text
-from medialake.operators import changes, filters, quality
+from medialake.operators import changes, filters, health, quality
 from medialake.plans.registry import query
 from medialake.session import scratch_path
-from medialake.sources import configs, logs, sinks
+from medialake.sources import configs, logs, schemas, sinks, tables
 
 
 def _files(lake, texts: DataFrame, name: str) -> DataFrame:
@@ -206,3 +206,54 @@ def history_retention(lake):
     return left.groupBy(F.col("check_date").cast("string").alias("day"), "check_type").agg(
         F.count(F.lit(1)).alias("checks")
     )
+
+
+@query(
+    "tenant_table_scan",
+    """
+    SELECT CAST(c_nationkey AS VARCHAR) AS organization_id, count(*) AS projects,
+           count(*) FILTER (o_orderstatus <> 'F') AS active_projects, min(o_orderdate) AS first_created
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1
+    """,
+)
+def tenant_table_scan(lake):
+    """Tenant projects through a stored table, where a missing activity flag counts as active."""
+    path = scratch_path(lake.spark, "tenant-projects")
+    lake.tenant_projects().select(
+        F.col("project_id").cast("string").alias("id"),
+        "name",
+        F.lit(None).cast("string").alias("description"),
+        F.col("org_id").cast("string").alias("organization_id"),
+        F.when(F.col("status") == "archived", False).when(F.col("status") == "active", True).alias("is_active"),
+        F.col("updated_at").cast("timestamp").alias("created_at"),
+        F.col("updated_at").cast("timestamp").alias("updated_at"),
+    ).write.parquet(path)
+    return (
+        tables.tenant_table(lake.spark, path, schemas.PROJECTS)
+        .groupBy("organization_id")
+        .agg(
+            F.count(F.lit(1)).alias("projects"),
+            F.count_if("is_active").alias("active_projects"),
+            F.min("created_at").cast("timestamp_ntz").alias("first_created"),
+        )
+    )
+
+
+@query(
+    "health_log_append",
+    """
+    SELECT check_type, count(*) AS checks, max(check_time) AS latest FROM (
+        SELECT check_type, check_time FROM health
+        UNION ALL SELECT 'manual', TIMESTAMP '2024-02-20')
+    GROUP BY 1
+    """,
+    "health",
+)
+def health_log_append(lake):
+    """A stored history with one record logged by hand behind it."""
+    path = scratch_path(lake.spark, "health-log")
+    sinks.append_health(lake.health().withColumn("check_time", F.col("check_time").cast("timestamp")).drop("event_id"), path)
+    sinks.append_health(health.log_check(lake.spark, "manual", "success", "2024-02-20 00:00:00"), path)
+    return sinks.read_health(lake.spark, path).groupBy("check_type").agg(
+        F.count(F.lit(1)).alias("checks"), F.max("check_time").cast("timestamp_ntz").alias("latest")
+    )
