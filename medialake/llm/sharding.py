@@ -17,6 +17,7 @@ are not read, and internal names can't clash with them.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,15 +45,26 @@ class _Cuts:
 
     def __init__(self, low: int, high: int, size: int, rows: int):
         self.known = {low: (0, 0), high: (size, rows)}
+        self._sort()
+
+    def _sort(self) -> None:
+        self.bounds = sorted(self.known)
+        self.sizes = [self.known[k][0] for k in self.bounds]  # these rise as well
+
+    def add(self, counted: dict[int, tuple[int, int]]) -> None:
+        self.known |= counted
+        self._sort()
 
     def around(self, target: float) -> tuple[int, int]:
-        """The boundaries next to a target of bytes: at or below it, and above."""
-        lower = max(k for k, v in self.known.items() if v[0] <= target)
-        upper = min(k for k, v in self.known.items() if k > lower)
-        return lower, upper
+        """The boundaries next to a target of bytes: the last at or below it, and the one above."""
+        i = min(bisect_right(self.sizes, target), len(self.bounds) - 1)
+        return self.bounds[i - 1], self.bounds[i]
 
     def best(self, target: float) -> int:
-        return min(self.known, key=lambda k: (abs(self.known[k][0] - target), k))
+        """The boundary closest to a target, the lowest of those equally close."""
+        i = min(bisect_right(self.sizes, target), len(self.bounds) - 1)
+        below, above = self.sizes[i - 1], self.sizes[i]
+        return self.bounds[bisect_left(self.sizes, below if target - below <= above - target else above)]
 
 
 def _histogram(rows: DataFrame, bounds: list[int]) -> list[tuple[int, int]]:
@@ -91,10 +103,11 @@ def splitters(rows: DataFrame, n_pieces: int, tolerance: float, probes: int = 32
             return sorted({cuts.best(t) for t in targets}), cuts, rounds
         rounds += 1
         # All boundaries are counted together, so pieces add up from the lowest rank.
-        below_size = below_n = 0
+        below_size, below_n, counted = 0, 0, {}
         for bound, (s, m) in zip(bounds, _histogram(rows, bounds), strict=False):
             below_size, below_n = below_size + s, below_n + m
-            cuts.known[bound] = (below_size, below_n)
+            counted[bound] = (below_size, below_n)
+        cuts.add(counted)
 
 
 def sharded(
@@ -125,12 +138,12 @@ def sharded(
     )
     per_shard = max(1, -(-low[1] // (n_shards * rows_per_piece)))
     bounds, cuts, _ = splitters(rows, n_shards * per_shard, tolerance)
-    total = cuts.known[max(cuts.known)][0]
+    total = cuts.sizes[-1]
     starts = [cuts.best(total * k / n_shards) for k in range(n_shards)]
     edges = sorted({*bounds, *starts})
     shard_of, first_of = [], []
-    for edge in [min(cuts.known), *edges]:
-        shard = max(k for k in range(n_shards) if starts[k] <= edge)
+    for edge in [cuts.bounds[0], *edges]:
+        shard = bisect_right(starts, edge) - 1
         shard_of.append(shard)
         first_of.append(cuts.known[edge][1] - cuts.known[starts[shard]][1])
     placed = rows.withColumn("piece", _piece_of(F.col("rank"), edges))
