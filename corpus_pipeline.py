@@ -24,8 +24,7 @@ _WORDS, _RADIUS, _TILE = 4, 52, 32_768
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
-    return quality.judged(packed, table(spark, sf_dir, "labels")).where("kept").select("whole.*")
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,3 +159,17 @@ def judged(
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """The rows of `docs` that are kept, as they are, whatever their columns are called.
+
+    Rejected rows leave through an explode: a filter would be moved below the counts it depends on,
+    with the words cut anew for each of them.
+    """
+    packed = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("whole")
+    )
+    known = labels.select(F.col(id_col).alias("doc_id"), "quality")
+    whole = F.explode(F.when(F.col("kept"), F.array("whole"))).alias("whole")
+    return judged(packed, known, **rules).select(whole).select("whole.*")
