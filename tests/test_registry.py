@@ -1,5 +1,8 @@
 """Every registered query against its SQL twin on the smallest data, and the shape of all plans."""
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -77,3 +80,11 @@ def counts(spark, name):
 def test_plans_read_no_more_than_they_need(spark, name, scans, joins):
     got = counts(spark, name)
     assert got[0] <= scans and got[1] <= joins, got
+
+
+def test_entry_works_without_the_corpus_package():
+    code = (
+        "import sys; sys.modules['medialake.llm'] = None; import __spark_entry__ as e; "
+        "assert set(e.queries()) == set(e.QUERIES) and set(e.oracle_sql()) == set(e.ORACLES)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
