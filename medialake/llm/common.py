@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +41,12 @@ def lower_ascii(c: Column) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """The lower-cased words of a text as UTF-8; bytes.split() cuts at exactly the ASCII spaces."""
     return (text or "").encode().translate(FOLD).split()
+
+
+def byte_ranges(texts: pa.Array, start: int, stop: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows from `start` to `stop` with about `size` bytes of text each."""
+    n = pc.fill_null(pc.binary_length(texts.slice(start, stop - start)), 0)
+    part = np.cumsum(n.to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), stop - start]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield start + a, start + b

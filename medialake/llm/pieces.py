@@ -35,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialake.llm.common import byte_ranges
+
 _BLANK = "▁"
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 _FREQUENT = 6  # a chunk met so often gets its segmentations listed
 _LISTED = 48  # segmentations of a chunk that are listed at most
 _CACHED = 60_000  # chunks with listed segmentations
 _SHORT = 24  # chunks of up to so many characters are sampled many at once
+_TOGETHER = 6 << 20  # bytes of texts segmented together
 _SPELLED = 1e-5  # weight of a character in byte pieces, its only way
 
 
@@ -352,8 +355,8 @@ def sampled_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model, sharpness)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at, to in byte_ranges(whole.column(names.index(text_col)), 0, whole.num_rows, _TOGETHER):
+                batch = whole.slice(at, to - at)
                 keys, texts = (batch.column(names.index(c)).to_pylist() for c in (id_col, text_col))
                 texts = [t or "" for t in texts]
                 out: list[list] = [[] for _ in added]
