@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medialake.llm.common import saved
+from medialake.llm.common import byte_ranges, saved
 from medialake.llm.perfect_hash import PerfectHash, fingerprints, key_hashes
 from medialake.session import scratch_path
 
@@ -136,14 +136,6 @@ def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), is_null
 
 
-def _parts(texts: pa.Array, start: int, stop: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `_TOGETHER` bytes of text each."""
-    part = np.cumsum(pc.binary_length(texts.slice(start, stop - start)).to_numpy(zero_copy_only=False)) // _TOGETHER
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), stop - start]
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield start + a, start + b
-
-
 class _Moved:
     """A file written under a name of its own and moved to its place when complete."""
 
@@ -279,7 +271,7 @@ def write_tokens(
                     done.append(shard.close())
                     shard = None
                 shard = shard or _Shard(folder, int(numbers[a]), encoder.kind.itemsize)
-                for at, to in _parts(batch.column(1), a, b):
+                for at, to in byte_ranges(batch.column(1), a, b, _TOGETHER):
                     part = batch.slice(at, to - at)
                     shard.add(part.column(0), *encoder.encode(part.column(1).to_pylist(), end))
         if shard:
