@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.plans.skew import join_lookup
+from medialake.session import scratch_path
 from medialake.sources import schemas as S
 
 ITEM_FIELDS = list(S.GALLERY_FIELDS)
@@ -18,16 +18,16 @@ def read_gallery_documents(docs: DataFrame, text: str = "value") -> DataFrame:
     return entries.select("project_id", F.inline("items"))
 
 
-def to_gallery_documents(items: DataFrame, chunk: int = 1000, keys: DataFrame | None = None) -> DataFrame:
+def to_gallery_documents(items: DataFrame, chunk: int = 1000, large: DataFrame | None = None) -> DataFrame:
     """JSON documents of one project each, with about half of ``chunk`` items, hardly ever more than it.
 
     A project of any size is written whole, but as several documents: its items are dealt by a hash
     of their id to as many documents as its size asks for. Items are in order of their id within a
-    document. ``keys`` may be a cheaper frame with at least one row per item, to count them by.
+    document. ``large`` may give what ``large_projects`` finds, where it is known already.
     """
-    sizes = (items if keys is None else keys).groupBy("project_id").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = large_projects(items, chunk) if large is None else large
     parts = F.ceil(2 * F.coalesce("_size", F.lit(1)) / F.lit(chunk))
-    pieces = join_lookup(items, sizes, ["project_id"]).withColumn("_doc", F.pmod(F.xxhash64("id"), parts))
+    pieces = items.join(sizes, "project_id", "left").withColumn("_doc", F.pmod(F.xxhash64("id"), parts))
     packed = pieces.groupBy("project_id", "_doc").agg(
         F.sort_array(F.collect_list(F.struct("id", F.struct(*ITEM_FIELDS).alias("item")))).alias("run")
     )
@@ -38,8 +38,21 @@ def to_gallery_documents(items: DataFrame, chunk: int = 1000, keys: DataFrame |
     )
 
 
+def large_projects(items: DataFrame, chunk: int) -> DataFrame:
+    """Sizes of the projects that need more than one document."""
+    sizes = items.groupBy("project_id").agg(F.count(F.lit(1)).alias("_size"))
+    return sizes.filter(2 * F.col("_size") > chunk)
+
+
 def save_gallery(items: DataFrame, path: str, chunk: int = 1000, keys: DataFrame | None = None) -> None:
-    to_gallery_documents(items, chunk, keys).write.mode("overwrite").text(path)
+    """Write the documents. The few large projects are found and written first, so their size is known
+    and the join to them has shuffles of its own, or none. ``keys`` may be a cheaper frame with at
+    least one row per item, to count them by."""
+    place = scratch_path(items.sparkSession, "gallery-sizes")
+    found = large_projects(items if keys is None else keys, chunk)
+    found.write.parquet(place)
+    large = items.sparkSession.read.schema(found.schema).parquet(place)
+    to_gallery_documents(items, chunk, large).write.mode("overwrite").text(path)
 
 
 def load_gallery(spark: SparkSession, path: str) -> DataFrame:

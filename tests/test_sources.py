@@ -38,7 +38,7 @@ def test_gallery_documents(spark, tmp_path, rows):
         F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 > 0, "hot").alias("project_id"),
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema[2:]],
     ).fillna({"project_id": "other"})
-    docs = documents.to_gallery_documents(large, chunk=100, keys=large.select("project_id"))
+    docs = documents.to_gallery_documents(large, chunk=100)
     sizes = [len(v) for r in docs.collect() for v in json.loads(r[0]).values()]
     assert sum(sizes) == 4000 and max(sizes) <= 100
 
