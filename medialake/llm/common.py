@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,14 @@ LOWER = UPPER.lower()
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package also where it is not installed and the
+    driver found it by its own path. Clusters install it or ship it with the job."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +37,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: what follows no longer depends on the
     executors that made it."""
     spark = df.sparkSession
+    reach_workers(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from medialake.llm.common import words_of
+from medialake.llm.common import reach_workers, words_of
 from medialake.llm.simhash import shingles
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -193,6 +193,7 @@ def without_items(
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of `docs` whose text holds none of the items, as they are; nothing is shuffled."""
+    reach_workers(docs.sparkSession)
     values = n_values(share, miss)
     for rows in _blocks(items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), block):
         docs = docs.mapInArrow(_filter(docs, rows, docs.columns.index(text_col), size, values, share), docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import byte_ranges
+from medialake.llm.common import byte_ranges, reach_workers
 
 _BLANK = "▁"
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
@@ -346,6 +346,7 @@ def sampled_pieces(
 
     Input columns named like an added one are replaced.
     """
+    reach_workers(docs.sparkSession)
     added = {"n_pieces": "long", "ids_crc32": "long", "decoded_sha256": "string", "lossless": "boolean"}
     if with_ids:
         added["ids"] = "array<int>"
