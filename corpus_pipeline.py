@@ -18,8 +18,9 @@ from medialake.llm import decontam, line_dedup, pieces, quality, simhash
 from medialake.llm.common import saved, table
 
 # Fingerprints of 256 bits over five-word shingles. Texts of similarity 0.8 share shingles at an angle
-# whose expected distance is 39 bits with a deviation of 6; unrelated texts are 128 bits apart.
-_WORDS, _RADIUS, _TILE = 4, 52, 32_768
+# whose expected distance is 39 bits with a deviation of 6; unrelated texts are 128 bits apart. They
+# only search: two texts are near copies if they share `_SHARE` of their distinct shingles exactly.
+_WORDS, _RADIUS, _TILE, _SHARE = 4, 60, 32_768, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near copies, the document with the smallest id stays; null ids come last."""
     key = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
     found = simhash.near_duplicates(
-        docs.select(key.alias("doc_id"), "text"), size=5, radius=_RADIUS, n_words=_WORDS, tile=_TILE
+        docs.select(key.alias("doc_id"), "text"), size=5, radius=_RADIUS, n_words=_WORDS, tile=_TILE, share=_SHARE
     )
     keepers = found.select(F.col("component_id").alias("keeper")).distinct()
     whole = docs.select(key.alias("key"), F.struct(*docs.columns).alias("whole"))

@@ -9,6 +9,12 @@ tiles with near enough counts meet; within a pair of tiles, both are ordered by
 A task reports a spanning forest of the links it finds, at most one link for each fingerprint, so a
 group of near copies never makes all its pairs. Components are then found over these links.
 
+With a `share`, fingerprints only search. They are over distinct shingles, and the components they
+make are candidates: within each, texts are compared in chunks of bounded size, and two link only if
+the exact similarity of their shingle sets is `share` or more. Spanning forests and the final
+components are of these links alone. Texts with the same set are one node; those of components
+with one node are not read again. Shingles are told apart by 64-bit hashes.
+
 Special cases: a null text is empty; texts without words have fingerprint zero and link like any
 other. Rows that share a doc_id stay separate rows; a null doc_id is never a component's smallest
 unless all are null. Other columns, whatever their names, are not read.
@@ -22,7 +28,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm.common import saved, words_of
@@ -30,6 +36,7 @@ from medialake.llm.components import connected_components
 
 _ROWS, _COLUMNS = 64, 2048  # fingerprints of two tiles compared at once, within a core's cache
 _SEED = 42
+_CHUNK_ROWS, _CHUNK_SHINGLES = 2048, 1 << 21  # of a candidate component, compared at once
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -44,11 +51,23 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 
 def fingerprint(text: str | None, size: int, n_words: int = 1) -> np.ndarray:
     """`n_words` 64-bit words; a bit is set if it is set in over half of the shingles' hashes."""
+    return _majority(_hashes(text, size), n_words)
+
+
+def _hashes(text: str | None, size: int) -> np.ndarray:
     runs = shingles(words_of(text), size)
+    return np.fromiter((xxhash.xxh64_intdigest(s, _SEED) for s in runs), np.uint64, len(runs))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    return np.unique(_hashes(text, size))
+
+
+def _majority(h: np.ndarray, n_words: int) -> np.ndarray:
     out = np.zeros(n_words, np.uint64)
-    if not runs:
+    if not len(h):
         return out
-    h = np.fromiter((xxhash.xxh64_intdigest(s, _SEED) for s in runs), np.uint64, len(runs))
     for k in range(n_words):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 15):
@@ -85,21 +104,48 @@ def _steps(radius: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int, n_words: int = 1, cells: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `fp` (the words as bytes, the highest first) and `cell` of every row."""
+def fingerprints(
+    docs: DataFrame,
+    size: int,
+    n_words: int = 1,
+    cells: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sets: bool = False,
+) -> DataFrame:
+    """`doc_id`, `fp` (the words as bytes, the highest first) and `cell` of every row.
+
+    With `sets`, fingerprints are over distinct shingles, and there are also `mark` (the text's hash),
+    `node` (the hash of the set of shingles) and `n_shingles` (how many are in it).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), size, n_words) for t in batch.column(1)]
+            if sets:
+                held = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+                fps = [_majority(h, n_words) for h in held]
+            else:
+                fps = [fingerprint(t.as_py(), size, n_words) for t in batch.column(1)]
             words = np.array(fps, np.uint64).reshape(-1, n_words)
             packed = words.astype(">u8").tobytes()
             step = 8 * n_words
             fp = pa.array([packed[i : i + step] for i in range(0, len(packed), step)], pa.binary())
             cell = _cells(words[:, 0]) if cells else np.zeros(len(fps), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array(cell, pa.int32())], ["doc_id", "fp", "cell"])
+            columns = {"doc_id": batch.column(0), "fp": fp, "cell": pa.array(cell, pa.int32())}
+            if sets:
+                columns["mark"] = batch.column(2)
+                columns["node"] = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in held], pa.binary())
+                columns["n_shingles"] = pa.array(list(map(len, held)), pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[_mark(text_col)] * sets)
+    schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp binary, cell int"
+    return narrow.mapInArrow(run, schema + ", mark string, node binary, n_shingles long" * sets)
+
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp binary, cell int")
+def _mark(text_col: str) -> Column:
+    """A text's hash."""
+    return F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("mark")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -120,7 +166,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles (rows of words), as a spanning forest over rows of `a` then `b`."""
-    n_a, dense = len(a), min(2, a.shape[1])
+    n_a, dense = len(a), min(3, a.shape[1])
     pop_a, pop_b = (np.bitwise_count(x).sum(1, dtype=np.int32) for x in (a, b))
     by_a, by_b = np.argsort(pop_a, kind="stable"), np.argsort(pop_b, kind="stable")
     columns_a, columns_b = np.ascontiguousarray(a[by_a].T), np.ascontiguousarray(b[by_b].T)
@@ -200,6 +246,76 @@ def links(distinct: DataFrame, radius: int, n_words: int, tile: int) -> DataFram
     return met.mapInArrow(run, "u binary, v binary")
 
 
+def similar_sets(
+    fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius: int, share: float
+) -> tuple[list[int], list[int]]:
+    """Links between rows whose fingerprints are within `radius` and whose sets have a similarity of
+    `share` or more, as a spanning forest. Rows on the left meet those that are not; if all rows are
+    on one side, they meet each other. Rows that are already linked are not compared."""
+    n, size = len(sets), np.array(list(map(len, sets)), np.int64)
+    start = np.cumsum(size) - size
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    held, label, out_i, out_j = np.zeros(len(names), bool), np.arange(n), [], []
+    one_side = bool(left.all() or not left.any())
+    right = np.flatnonzero(~left)
+    for i in range(n) if one_side else np.flatnonzero(left).tolist():
+        j = np.arange(i + 1, n) if one_side else right
+        j = j[label[j] != label[i]]
+        j = j[np.minimum(size[j], size[i]) / np.maximum(np.maximum(size[j], size[i]), 1) >= share]
+        j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(1, dtype=np.int64) <= radius]
+        if not len(j):
+            continue
+        own = at[start[i] : start[i] + size[i]]
+        held[own] = True
+        first = np.cumsum(size[j]) - size[j]
+        places = np.repeat(start[j] - first, size[j]) + np.arange(int(size[j].sum()))
+        both = np.add.reduceat(held[at[places]], first, dtype=np.int64)
+        held[own] = False
+        j = j[both / (size[i] + size[j] - both) >= share]
+        _, once = np.unique(label[j], return_index=True)  # one link for each group that joins
+        out_i += [i] * len(once)
+        out_j += j[once].tolist()
+        label[np.isin(label, label[j])] = label[i]
+    return out_i, out_j
+
+
+def exact_links(members: DataFrame, docs: DataFrame, size: int, radius: int, share: float, n_words: int, text_col: str) -> DataFrame:
+    """`u`, `v`: links between the nodes of `members` (root, parts, node, fp, mark) that span the
+    components of exactly similar texts within each root. A root's nodes are in `parts` chunks."""
+    texts = docs.select(_mark(text_col), F.col(text_col).alias("text"))
+    met = texts.join(members, "mark").dropDuplicates(["mark"]).select("root", "parts", "node", "fp", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], ["root", "parts", "node", "fp", "shingles"])
+
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    copies = (
+        met.mapInArrow(cut, "root binary, parts int, node binary, fp binary, shingles binary")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        .select("root", "node", "fp", "shingles", "chunk", other)
+    )
+    a, b = F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")
+    row = F.struct("node", "fp", "shingles", (F.col("chunk") < F.col("other")).alias("left"))
+    pairs = copies.groupBy("root", a, b).agg(F.collect_list(row).alias("rows")).select("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_u, out_v = [], []
+            for rows in batch.column(0):
+                nodes, fps, sets, left = (rows.values.field(k) for k in range(4))
+                nodes = nodes.to_pylist()
+                words = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64).reshape(-1, n_words)
+                held = [np.frombuffer(x, np.uint64) for x in sets.to_pylist()]
+                i, j = similar_sets(words, held, left.to_numpy(zero_copy_only=False), radius, share)
+                out_u += [nodes[x] for x in i]
+                out_v += [nodes[x] for x in j]
+            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary())], ["u", "v"])
+
+    return pairs.mapInArrow(run, "u binary, v binary")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 3,
@@ -208,13 +324,17 @@ def near_duplicates(
     tile: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
+    share: float | None = None,
 ) -> DataFrame:
     """`doc_id`, `fingerprint` (hex) and `component_id` of every row of `docs`.
 
     Fingerprints of `64 * n_words` bits over shingles of `size` words link at `radius` or fewer
     differing bits; `component_id` is the smallest doc_id reachable over links. `tile` bounds the
-    fingerprints of a tile; the bytes moved are in proportion to n * n / tile for large n.
+    fingerprints of a tile; the bytes moved are in proportion to n * n / tile for large n. With a
+    `share`, a link needs that exact similarity of the two texts' shingle sets as well.
     """
+    if share is not None:
+        return _exact_duplicates(docs, size, radius, n_words, tile, id_col, text_col, share)
     fps = saved(fingerprints(docs, size, n_words, radius <= 4, id_col, text_col), "fingerprints")
     distinct = fps.groupBy("fp", "cell").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(distinct, radius, n_words, tile))
@@ -224,3 +344,26 @@ def near_duplicates(
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def _exact_duplicates(
+    docs: DataFrame, size: int, radius: int, n_words: int, tile: int, id_col: str, text_col: str, share: float
+) -> DataFrame:
+    fps = saved(fingerprints(docs, size, n_words, radius <= 4, id_col, text_col, sets=True), "fingerprints")
+    nodes = saved(
+        fps.groupBy("node", "fp", "cell", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")),
+        "shingle-sets",
+    )
+    near = connected_components(links(nodes.select("fp", "cell").distinct(), radius, n_words, tile))
+    candidates = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "node", "fp", "mark", "n_shingles", F.coalesce("root", "fp").alias("root")
+    )
+    n, weight = F.count(F.lit(1)), F.sum("n_shingles")
+    parts = F.ceil(F.greatest(n / _CHUNK_ROWS, weight / _CHUNK_SHINGLES, F.lit(1))).cast("int").alias("parts")
+    groups = candidates.groupBy("root").agg(n.alias("n"), parts).where("n > 1").drop("n")
+    members = candidates.drop("n_shingles").join(groups, "root")
+    roots = connected_components(exact_links(members, docs, size, radius, share, n_words, text_col))
+    placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = placed.join(least, "root").select("node", "component_id")
+    return fps.join(named, "node").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -217,3 +217,52 @@ def test_stages_on_messy_rows_and_none(spark, messy, no_rows):
             assert k == 4 or out.columns == columns
             out2 = stage(spark, docs.where("false"), SMALL)
             assert out2.count() == 0
+
+
+def test_pages_of_one_template_stay(spark):
+    """Pages that share a half to three quarters of their shingles in line are no near copies."""
+    from tests.llm.conftest import prose
+
+    rows = []
+    for g, shared in enumerate((200, 225, 250, 257)):  # of 300 words; similarities 0.49 to 0.74
+        template = prose(shared, 7000 + g, 3000)
+        for k in range(150):
+            rows.append((1000 * g + k, template + " " + prose(300 - shared, 8000 + 1000 * g + k, 3000)))
+    sets = [set(plain.runs(plain.words(t), 5)) for _, t in rows]
+    near = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((0, 1), (150, 151), (300, 301), (450, 451))]
+    assert 0.45 < min(near) and 0.7 < max(near) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d, _ in rows]
+
+
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_exact_links_match_all_pairs(spark, monkeypatch, chunk):
+    """Texts link at a similarity of 0.8 and not below, whatever the chunks; equal fingerprints don't."""
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(simhash, "_CHUNK_ROWS", chunk)
+    w = prose(400, 77, 3000).split()
+    rows = [(k, " ".join(w[: 400 - 9 * k] + prose(9 * k, 600 + k, 3000).split())) for k in range(30)]
+    rows += [(100, "0 " * 300 + prose(9, 1)), (101, "0 " * 300 + prose(9, 2)), (102, ""), (103, " "), (104, None)]
+    sets = [set(plain.runs(plain.words(t), 5)) for _, t in rows]
+    n = len(rows)
+    near = [
+        (i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    group = plain.components(n, near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs, 5, 60, 4, 8, share=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: rows[g][0] for (d, _), g in zip(rows, group, strict=True)}
+
+
+def test_near_dedup_stage_drops_exactly_similar_texts(spark, texts):
+    """The stage over the small table, by the exact similarity of all pairs."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = sorted(texts.items())
+    sets = [set(plain.runs(plain.words(t), 5)) for _, t in rows]
+    n = len(rows)
+    near = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = plain.components(n, near)
+    kept = run_stage(spark, docs, 2)
+    assert near and Counter(rows_of(kept)) == Counter(rows[g] for g in set(group))
