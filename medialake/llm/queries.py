@@ -16,10 +16,11 @@ from medialake.llm.pieces import sampled_pieces
 from medialake.llm.pitman_yor import scored
 from medialake.llm.quality import judged
 from medialake.llm.secrets import scanned
-from medialake.llm.sharding import sharded
+from medialake.llm.sharding import read_shards, sharded, write_shards
 from medialake.llm.simhash import near_duplicates
 from medialake.llm.suffixes import without_repeats
 from medialake.llm.token_files import read_tokens, write_tokens
+from medialake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,13 +60,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards are written with their texts; the digests are of the rows read back from them."""
     docs = _documents(spark, sf_dir)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    out = sharded(docs, n_shards=16, key="doc_id", carry={"doc_id": F.col("doc_id"), "text_crc32": crc})
-    return out.select(
+    shards = sharded(docs, n_shards=16, key="doc_id", carry={"doc_id": F.col("doc_id"), "text": F.col("text")})
+    shards = shards.drop("size")
+    path = scratch_path(spark, "shards")
+    write_shards(shards, path)
+    text = F.coalesce("text", F.lit(""))
+    return read_shards(spark, path, shards.schema).select(
         "doc_id",
-        "size",
-        "text_crc32",
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

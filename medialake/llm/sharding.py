@@ -8,7 +8,8 @@ into the piece of the shard where they belong; the counts already say at which s
 
 The order is by key and, among equal keys, by place in the input, so that a key that holds any share
 of the rows is cut like every other. Only (key, place, size) and the columns asked for are moved;
-they are written to the shared folder first, so all rounds see the same places.
+they are written to the shared folder first, so all rounds see the same places. The rounds read
+(key, place, size) alone, whatever is asked for; texts that are carried move in the one exchange.
 
 Special cases: a null key is smaller than all others; a null text has no byte and size 1. Repeated
 rows are rows of their own. An empty table gives no row. Columns of the input that are not asked for
@@ -20,8 +21,9 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from medialake.llm.common import saved
 
@@ -118,13 +120,15 @@ def sharded(
     text_col: str = "text",
     tolerance: float = 0.001,
     rows_per_piece: int = 1_000_000,
+    bytes_per_piece: int = 256 << 20,
 ) -> DataFrame:
     """The columns of `carry`, `size`, `shard` (0 to n_shards - 1) and `slot` (from 0, gapless).
 
     Sizes are UTF-8 bytes of the text plus 1. Shards hold contiguous ranges of the integer column
-    `key`, and slots follow it. A shard is exchanged in pieces of about `rows_per_piece` rows.
+    `key`, and slots follow it. A shard is exchanged in pieces of about `rows_per_piece` rows or
+    `bytes_per_piece` bytes of text, whichever are smaller.
     """
-    low = docs.agg(F.min(key).cast(_TYPE), F.count(F.lit(1)).alias("n")).first()
+    low = docs.agg(F.min(key).cast(_TYPE)).first()
     lowest = F.lit(Decimal(int(low[0] or 0) - 1)).cast(_TYPE)
     above = F.coalesce(F.col(key).cast(_TYPE) - lowest, F.lit(0).cast(_TYPE))
     names = [f"c{i}" for i in range(len(carry))]
@@ -136,7 +140,8 @@ def sharded(
         ),
         "sharding",
     )
-    per_shard = max(1, -(-low[1] // (n_shards * rows_per_piece)))
+    n, n_bytes = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    per_shard = max(1, -(-n // (n_shards * rows_per_piece)), -(-(n_bytes or 0) // (n_shards * bytes_per_piece)))
     bounds, cuts, _ = splitters(rows, n_shards * per_shard, tolerance)
     total = cuts.sizes[-1]
     starts = [cuts.best(total * k / n_shards) for k in range(n_shards)]
@@ -163,3 +168,8 @@ def sharded(
 def write_shards(shards: DataFrame, path: str) -> None:
     """Write sharded rows as one folder a shard, in the order of their slots within each file."""
     shards.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of written shards; `schema` is that of the rows that were written."""
+    return spark.read.schema(schema).parquet(path)

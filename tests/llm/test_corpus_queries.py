@@ -266,3 +266,18 @@ def test_near_dedup_stage_drops_exactly_similar_texts(spark, texts):
     group = plain.components(n, near)
     kept = run_stage(spark, docs, 2)
     assert near and Counter(rows_of(kept)) == Counter(rows[g] for g in set(group))
+
+
+def test_op4_digests_are_of_written_shards(spark, texts):
+    """Every text is in a shard's folder, in slot order, and the query reads it from there."""
+    out = entry.queries()["op4_histogram_sort_sharding"](spark, SMALL)
+    files = [f.removeprefix("file://") for f in out.inputFiles()]
+    assert files and all("/shard=" in f for f in files)
+    want, held = {r.doc_id: (r.shard, r.slot) for r in out.collect()}, {}
+    for f in files:
+        rows = pq.ParquetFile(f).read().to_pylist()
+        assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
+        for r in rows:
+            held[r["doc_id"]] = r["text"]
+            assert want[r["doc_id"]] == (int(f.split("/shard=")[1].split("/")[0]), r["slot"])
+    assert held == texts
