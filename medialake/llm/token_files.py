@@ -51,13 +51,19 @@ class Encoder:
     alone between two other characters. So texts are cut there, and the library encodes each
     distinct piece once; texts with other blanks are encoded whole. New pieces go to the library in
     one text and are told apart by the tokens that begin with a blank, of which each has one.
+
+    With `plain`, the content of a special token is text like any other. Without, ids are those of the
+    library's default: added tokens are found in the text first, so texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        # Tokens may match normalized text, whose case can differ.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,7 +91,8 @@ class Encoder:
         if len(self.known) > _CACHED:
             self.known.clear()
         # A text's head, up to its first blank, has no blank before it. Loose texts are all head.
-        loose = [bool(_LOOSE.search(t)) for t in texts]
+        added = self.added.search if self.added else lambda t: None
+        loose = [bool(_LOOSE.search(t) or added(t)) for t in texts]
         heads = [t if whole else t.partition(" ")[0] for t, whole in zip(texts, loose, strict=True)]
         cut = pa.array(["" if whole else t for t, whole in zip(texts, loose, strict=True)], pa.large_string())
         lists = pc.split_pattern(cut, " ")
@@ -118,7 +125,7 @@ class Encoder:
 @cache
 def _encoder(path: str) -> Encoder:
     """One a worker process, so that what it remembers serves all the worker's tasks."""
-    return Encoder(path)
+    return Encoder(path, plain=False)
 
 
 def _turns(keys: np.ndarray, is_null: np.ndarray, before: tuple) -> tuple[np.ndarray, tuple]:

@@ -143,6 +143,21 @@ def test_encoder_cuts_texts_where_no_token_crosses():
             assert part.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 
+def test_quoted_special_tokens_are_as_the_library_encodes_them(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a b", "end <|endoftext|>\n c  d", "<|endoftext| >"]
+    docs = docs_of(spark, list(enumerate(texts)))
+    got = token_files.read_tokens(token_files.write_tokens(docs, TOKENIZER), docs, with_ids=True).collect()
+    start = 0
+    for r in sorted(got):
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.start, list(r.ids)) == (start, ids), texts[r.doc_id]
+        start += len(ids)
+    assert len(got) == len(texts) and 50256 in got[0].ids + got[1].ids
+
+
 def test_unknown_keys_are_told(messy):
     files = token_files.write_tokens(messy, TOKENIZER, rows_per_shard=100)
     reader = token_files.ShardReader(files.folder, 0)
