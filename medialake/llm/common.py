@@ -59,3 +59,22 @@ def byte_ranges(texts: pa.Array, start: int, stop: int, size: int) -> Iterator[t
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), stop - start]
     for a, b in zip(edges, edges[1:], strict=False):
         yield start + a, start + b
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, size: int, rows: int = 1 << 30) -> Iterator[pa.Table]:
+    """A task's rows in blocks of about `size` bytes of text and at most `rows` rows; one row is
+    never cut."""
+    held, n_held, n_rows = [], 0, 0
+    for batch in batches:
+        for a, b in byte_ranges(batch.column(column), 0, batch.num_rows, max(size // 8, 1)):
+            while a < b:
+                part = batch.slice(a, min(b - a, rows - n_rows))
+                held.append(part)
+                n_held += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+                n_rows += part.num_rows
+                a += part.num_rows
+                if n_held >= size or n_rows >= rows:
+                    yield pa.Table.from_batches(held)
+                    held, n_held, n_rows = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)

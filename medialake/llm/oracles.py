@@ -52,6 +52,51 @@ select d.id as doc_id, q.id as item_id, any_value(n) as n_shingles, count(*) as
 from shingles d join items q on d.s = q.s
 where not d.asked
 group by d.id, q.id having count(*) >= 0.8 * any_value(n)
+""",
+    "op13_filter_interactions": r"""
+with cut as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+firsts as (select text, min(doc_id) as least from cut group by text),
+known as (
+  select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic
+  from labels group by doc_id),
+failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * length(regexp_replace(cut.text, '[^A-Z]', '', 'g')) > 2 * length(cut.text),
+          regexp_matches(cut.text, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails
+  from cut join firsts using (text) left join known using (doc_id)),
+letters(k) as (values (1), (2), (3), (4), (5)),
+orders as (
+  select [a.k, b.k, c.k, d.k, e.k] as o
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+counted as (
+  select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from failed group by part, fails),
+placed as (
+  select part, n, good, toxic, list_aggregate(list_transform(o, lambda k: 'ABCDE'[k]), 'string_agg', '') as filter_order,
+         step, o[step] as k, fails[o[step]] as hit,
+         len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 as gone,
+         len(list_filter(fails, lambda f: f)) as n_fails
+  from counted, orders, (select unnest(range(1, 6)) as step)),
+summed as (
+  select part, filter_order, step, k,
+         sum(case when not hit and not gone then n else 0 end) as kept,
+         sum(case when hit and not gone then n else 0 end) as removed,
+         sum(case when hit and gone then n else 0 end) as redundant,
+         sum(case when hit and n_fails = 1 then n else 0 end) as unique_fails,
+         sum(case when hit and not gone then good else 0 end) as good_lost,
+         sum(case when hit and not gone then toxic else 0 end) as toxic_lost
+  from placed group by part, filter_order, step, k),
+shares as (select part, k, sum(removed) as shapley from summed group by part, k)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept,
+       cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(shapley as bigint) as shapley
+from summed join shares using (part, k)
 """,
     "op1_secret_ownership": r"""
 with texts as (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from medialake.llm import oracles
 from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
+from medialake.llm.filter_audit import filter_audit
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.pieces import sampled_pieces
 from medialake.llm.pitman_yor import scored
@@ -110,4 +111,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir))
 
 
+@query
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit(docs, table(spark, sf_dir, "labels"), part=F.col("source"))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
