@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.llm import oracles
+from medialake.llm.alignment import aligned
 from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.filter_audit import filter_audit
@@ -117,4 +118,10 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(docs, table(spark, sf_dir, "labels"), part=F.col("source"))
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
