@@ -14,15 +14,16 @@ Special cases: a null text is empty; a document without words has a row without
 alone. A null part is the empty string. Rows that share a doc_id are documents of their own, and none
 of them is smaller than another. A null doc_id is neither smaller nor larger than any other, so such a
 row never fails E nor makes another fail, and it has no labels. Of several label rows for one id any
-one counts. An empty table gives no rows. Texts are told apart by 128-bit hashes. Other columns are
+one counts. An empty table gives no rows. Texts and words are told apart by 128-bit hashes. Other columns are
 not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import accumulate, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from medialake.plans.skew import join_lookup
 
 FILTERS = "ABCDE"
 _MARKS = np.frombuffer(b"#$%&*|", np.uint8)
-_BLOCK = 32 << 20  # bytes of text in a block
+_BLOCK = 12 << 20  # bytes of text in a block
 _ROW = "struct<doc_id:{id},part:string,mark:binary,upper:boolean,marked:boolean>"
 
 
@@ -73,73 +74,88 @@ def _cut_block(block: pa.Table) -> pa.RecordBatch:
     columns = [ids, parts, pa.array(marks, pa.binary()), pa.array(upper), pa.array(marked)]
     rows = pa.StructArray.from_arrays(columns, ["doc_id", "part", "mark", "upper", "marked"])
     one = [
-        pa.array([uuid.uuid4().hex]),
+        pa.array([uuid.uuid4().int >> 65]),
         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-        pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())),
-        pa.array([indptr.astype(np.int32)], pa.list_(pa.int32())),
-        pa.array([(entry & 0xFFFFFFFF).astype(np.int32)], pa.list_(pa.int32())),
-        pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
+        pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+        pa.array([pack_csr(indptr, entry & 0xFFFFFFFF, counts)], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(one, ["shard", "rows", "words", "indptr", "columns", "counts"])
+    return pa.RecordBatch.from_arrays(one, ["shard", "rows", "words", "matrix"])
 
 
-def _dictionary(blocks: DataFrame) -> DataFrame:
-    """`word`, `number`: the distinct words of all blocks, numbered from 0 without gaps."""
-    words = blocks.select(F.explode("words").alias("word")).distinct()
+def pack_csr(indptr: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> bytes:
+    """The arrays of one CSR shard as compressed bytes; columns of a row are kept as steps."""
+    steps = np.diff(columns, prepend=0).astype("<i8")
+    raw = indptr.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + steps.tobytes()
+    return np.array([len(indptr), len(columns)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_csr(matrix: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`indptr`, `columns` and `counts` of a shard."""
+    n, m = np.frombuffer(matrix, "<i8", 2).tolist()
+    raw = pa.decompress(matrix[16:], 8 * n + 12 * m, codec="zstd", asbytes=True)
+    steps = np.frombuffer(raw, "<i8", m, 8 * n + 4 * m)
+    return np.frombuffer(raw, "<i8", n), np.cumsum(steps), np.frombuffer(raw, "<i4", m, 8 * n)
+
+
+def _word_key(word: str) -> list[Column]:
+    return [F.xxhash64(word).alias("h1"), F.xxhash64(F.lit(1), word).alias("h2")]
+
+
+def _dictionary(words: DataFrame) -> DataFrame:
+    """`h1`, `h2`, `number`: the distinct words, told apart by these hashes, numbered from 0 without gaps."""
     place = F.monotonically_increasing_id()
-    held = saved(words.select("word", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at")), "words")
+    numbered = words.select("h1", "h2").distinct().select(
+        "h1", "h2", F.shiftright(place, 33).cast("int").alias("task"), place.bitwiseAND((1 << 33) - 1).alias("at")
+    )
+    held = saved(numbered, "words")
     # One row for each task that wrote words; its words follow those of the tasks before it.
-    sizes = {r.part: r["count"] for r in held.groupBy("part").count().collect()}
-    before, total = [], 0
-    for part in range(max(sizes, default=-1) + 1):
-        before.append(total)
-        total += sizes.get(part, 0)
-    offset = F.get(F.lit(before or [0]), F.col("part").cast("int"))
-    return held.select("word", (F.col("at") + offset).alias("number"))
+    sizes = {r["task"]: r["count"] for r in held.groupBy("task").count().collect()}
+    before = list(accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=0))
+    return held.select("h1", "h2", (F.col("at") + F.get(F.lit(before), "task")).alias("number"))
 
 
 def document_terms(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sparse document-term matrix of `docs` in CSR shards, a shard a row.
 
-    `shard`, `rows` (its documents: `doc_id`, `part`, `mark` of the text, and whether it fails C and D),
-    `indptr`, `columns` (numbers of the global dictionary, ascending in a row) and `counts`.
+    `shard`, `rows` (its documents: `doc_id`, `part`, `mark` of the text, and whether it fails C and D)
+    and `matrix`, which `unpack_csr` reads; its columns are numbers of the global dictionary.
     """
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(part, F.lit("")).alias("part"), F.col(text_col).alias("text")
     )
     row = _ROW.format(id=narrow.schema["doc_id"].dataType.simpleString())
-    arrays = "indptr array<int>, columns array<int>, counts array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 2, _BLOCK):
             yield _cut_block(block)
 
-    schema = f"shard string, rows array<{row}>, words array<string>, {arrays}"
+    schema = f"shard long, rows array<{row}>, words array<string>, matrix binary"
     blocks = saved(narrow.mapInArrow(cut, schema), "term-blocks")
+    codes = blocks.select("shard", F.posexplode("words").alias("code", "word")).select("shard", "code", *_word_key("word"))
     # A frequent word is in every block: both sides are read from tables, so hot words are split.
-    codes = blocks.select("shard", F.posexplode("words").alias("code", "word"))
     numbers = (
-        codes.join(_dictionary(blocks), "word")
+        codes.join(_dictionary(codes), ["h1", "h2"])
         .groupBy("shard")
-        .agg(F.sort_array(F.collect_list(F.struct("code", "number"))).alias("coded"))
-        .select("shard", F.col("coded.number").alias("numbers"))
+        .agg(F.collect_list(F.struct("code", "number")).alias("coded"))
     )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                indptr, codes, counts, numbers = (
-                    one.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 6)
-                )
-                owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                found = numbers[codes] if len(codes) else np.zeros(0, np.int64)
-                order = np.lexsort((found, owner))
-                out = [one.column(2), pa.array([found[order]], pa.list_(pa.int64())), pa.array([counts[order]], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *out], ["shard", "rows", "indptr", "columns", "counts"])
+            out = []
+            for matrix, coded in zip(batch.column(2), batch.column(3), strict=True):
+                indptr, columns, counts = unpack_csr(matrix.as_py())
+                if len(columns):
+                    code, value = (x.to_numpy() for x in coded.values.flatten())
+                    numbers = np.empty(len(code), np.int64)
+                    numbers[code] = value
+                    order = np.lexsort((numbers[columns], np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+                    columns, counts = numbers[columns][order], counts[order]
+                out.append(pack_csr(indptr, columns, counts))
+            columns = [*batch.columns[:2], pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "matrix"])
 
     met = blocks.drop("words").join(numbers, "shard", "left")
-    return met.mapInArrow(number, f"shard string, rows array<{row}>, {arrays.replace('columns array<int>', 'columns array<long>')}")
+    return met.mapInArrow(number, f"shard long, rows array<{row}>, matrix binary")
 
 
 def term_totals(shards: DataFrame) -> DataFrame:
@@ -148,16 +164,15 @@ def term_totals(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows, indptr, counts = (batch.column(k).slice(i, 1).flatten() for k in (0, 1, 2))
-                edges = indptr.to_numpy(zero_copy_only=False)
-                sums = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False), dtype=np.int64)))
-                columns = [*rows.flatten(), pa.array(np.diff(sums[edges])), pa.array(np.diff(edges).astype(np.int64))]
+            for rows, matrix in zip(*batch.columns, strict=True):
+                indptr, _, counts = unpack_csr(matrix.as_py())
+                sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+                columns = [*rows.values.flatten(), pa.array(np.diff(sums[indptr])), pa.array(np.diff(indptr))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "part", "mark", "upper", "marked", "n_words", "n_distinct"]
     schema = f"doc_id {id_type}, part string, mark binary, upper boolean, marked boolean, n_words long, n_distinct long"
-    return shards.select("rows", "indptr", "counts").mapInArrow(run, schema)
+    return shards.select("rows", "matrix").mapInArrow(run, schema)
 
 
 def failed_filters(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,25 +214,14 @@ def filter_audit(
         )
     )
     # From here on rows are at most 32 a part: 120 orders of 5 steps each for every one of them.
-    orders = ["".join(o) for o in permutations(FILTERS)]
-    steps = counted.withColumn("filter_order", F.explode(F.lit(orders))).select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step")
-    )
-
-    def bit_at(step: Column) -> Column:
-        letter = F.substring("filter_order", step, F.lit(1))
-        return F.get(F.lit([1 << k for k in range(len(FILTERS))]), F.instr(F.lit(FILTERS), letter) - 1)
-
-    earlier = F.aggregate(
-        F.sequence(F.lit(1), F.lit(len(FILTERS))),
-        F.lit(0),
-        lambda have, k: have + F.when(k < F.col("step"), bit_at(k)).otherwise(0),
-    )
-    placed = steps.withColumn("bit", bit_at(F.col("step"))).withColumn("earlier", earlier)
+    grid = [("".join(o), k + 1, 1 << FILTERS.index(o[k]), sum(1 << FILTERS.index(x) for x in o[:k])) for o in permutations(FILTERS) for k in range(len(o))]
+    names = ["filter_order", "step", "bit", "earlier"]
+    steps = F.explode(F.arrays_zip(*[F.lit(list(c)).alias(n) for n, c in zip(names, zip(*grid, strict=True), strict=True)]))
+    placed = counted.withColumn("at", steps).select("*", *[F.col("at")[n].alias(n) for n in names])
     fails, hit = F.col("fails"), F.col("fails").bitwiseAND(F.col("bit")) != 0
     gone = fails.bitwiseAND(F.col("earlier")) != 0
     # A document that fails m filters is removed by each of them in one of m orders.
-    share = F.lit(len(orders)) / F.greatest(F.bit_count("fails"), F.lit(1))
+    share = F.lit(math.factorial(len(FILTERS))) / F.greatest(F.bit_count("fails"), F.lit(1))
 
     def total(value, when):
         return F.sum(F.when(when, value).otherwise(0)).cast("long")
