@@ -37,7 +37,7 @@ from medialake.plans.skew import join_lookup
 
 FILTERS = "ABCDE"
 _MARKS = np.frombuffer(b"#$%&*|", np.uint8)
-_BLOCK = 12 << 20  # bytes of text in a block
+_BLOCK = 4 << 20  # bytes of text in a block
 _ROW = "struct<doc_id:{id},part:string,mark:binary,upper:boolean,marked:boolean>"
 
 
