@@ -13,6 +13,7 @@ from medialake.llm.alignment import aligned
 from medialake.llm.common import table
 from medialake.llm.decontam import contained_items
 from medialake.llm.filter_audit import filter_audit
+from medialake.llm.jaccard_join import similar_documents
 from medialake.llm.line_dedup import drop_shared_lines
 from medialake.llm.pieces import sampled_pieces
 from medialake.llm.pitman_yor import scored
@@ -124,4 +125,9 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_documents(spark, sf_dir), size=3, percent=90)
+
+
 ORACLES: dict[str, str] = oracles.ORACLES
