@@ -3,7 +3,9 @@
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import accumulate, permutations
 
 import xxhash
 
@@ -112,3 +114,100 @@ def base_counts(text):
 
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+def _byte_alphabet():
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def alignment(texts, tokenizer, pieces):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, encoded whole."""
+    letters, found = _byte_alphabet(), []
+    for t in texts:
+        if not t:
+            found.append(None)
+            continue
+        e = tokenizer.encode(" " + t, add_special_tokens=False)
+        a = [(i, bytes(letters[c] for c in token)) for i, token in zip(e.ids, e.tokens, strict=True)]
+        b = []
+        for i in pieces.encode(t):
+            p = pieces.id_to_piece(i)
+            b.append((i, bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("\u2581", " ").encode()))
+        whole = (" " + t).encode()
+        if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            found.append(None)
+            continue
+        ends = [list(accumulate(len(x) for _, x in side)) for side in (a, b)]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for k, side in enumerate((a, b)):
+            for (i, _), end in zip(side, ends[k], strict=True):
+                groups[bisect_left(cuts, end)][k].append(i)
+        links = Counter((i, j) for x, y in groups for i in x for j in y)
+        said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        found.append((len(a), len(b), len(cuts), links, sha(said)))
+    counts = Counter(p for f in found if f for p in f[3])
+    best = Counter()
+    for (i, _), c in counts.items():
+        best[i] = max(best[i], c)
+    out = []
+    for f in found:
+        if f is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        links = f[3]
+        n_best = sum(m for p, m in links.items() if counts[p] == best[p[0]])
+        out.append((*f[:3], sum(links.values()), n_best, sum(m * counts[p] for p, m in links.items()), f[4]))
+    return out
+
+
+def similar_sets(rows, size=3, percent=90):
+    """(shingles, smallest id reachable) of each (id, text)."""
+    sets = [set(runs(words(t), size)) for _, t in rows]
+    links = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    ]
+    group, least = components(len(rows), links), {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        least[g] = d if least.get(g) is None else (least[g] if d is None else min(least[g], d))
+    return [(len(s), least[g]) for s, g in zip(sets, group, strict=True)]
+
+
+def filter_audit(rows, labels):
+    """Rows of (part, order, step, counts ...) from (id, part, text) and (id, quality, toxic)."""
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    parts = defaultdict(list)
+    for d, part, text in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        copy = d is not None and any(e is not None and e < d and (t or "") == text for e, _, t in rows)
+        fails = {
+            "A": len(w) < 200,
+            "B": 100 * len(set(w)) < 50 * len(w),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+            "D": bool(re.search("[#$%&*|]", text)),
+            "E": copy,
+        }
+        parts[part or ""].append((d, {k for k, v in fails.items() if v}))
+    out, removed = {}, Counter()
+    for part, docs in parts.items():
+        for order in permutations("ABCDE"):
+            for step, f in enumerate(order, 1):
+                before = set(order[: step - 1])
+                here = [(d, x) for d, x in docs if f in x and not x & before]
+                removed[part, f] += len(here)
+                out[part, "".join(order), step] = (
+                    sum(not x & {*before, f} for _, x in docs),
+                    len(here),
+                    sum(f in x and bool(x & before) for _, x in docs),
+                    sum(x == {f} for _, x in docs),
+                    sum(d in good for d, _ in here),
+                    sum(d in toxic for d, _ in here),
+                )
+    return {(*k, *v, removed[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
