@@ -10,6 +10,8 @@ from medialake.functions.text import full_name
 from medialake.operators import changes, tagging
 from medialake.operators import presets as P
 from medialake.plans.registry import query
+from medialake.session import scratch_path
+from medialake.sources.stored import StoredTable, hashed
 
 
 @query(
@@ -103,27 +105,33 @@ def patch_update(lake):
     return changes.patch(projects, patches, "project_id", ORDERS_AS_OF)
 
 
+def _stored(rows, key, parts):
+    return StoredTable.create(rows, scratch_path(rows.sparkSession, "stored"), key, hashed(key, parts))
+
+
 SETTINGS = """
     WITH cur AS (
         SELECT project_id, '{date}_{counter}' AS file_rule, CAST(project_id % 50 AS INTEGER) AS counter_start,
                TIMESTAMP '2001-01-01' AS updated_at
-        FROM projects WHERE project_id % 3 = 0),
+        FROM projects WHERE status <> 'active'),
     new AS (
-        SELECT project_id, CASE WHEN project_id % 4 = 0 THEN CAST(7 AS INTEGER) END AS counter_start
-        FROM projects WHERE project_id % 2 = 0)
+        SELECT project_id, CASE WHEN stored_count > 1 THEN CAST(7 AS INTEGER) END AS counter_start
+        FROM projects WHERE status <> 'archived')
     """
 
 
 def _settings(lake):
+    """Settings of archived and draft projects, and patches for draft and active ones: every project is
+    on one side, drafts are on both."""
     projects = lake.projects()
-    current = projects.filter("project_id % 3 = 0").select(
+    current = projects.filter("status <> 'active'").select(
         "project_id",
         F.lit("{date}_{counter}").alias("file_rule"),
         (F.col("project_id") % 50).cast("int").alias("counter_start"),
         F.lit("2001-01-01").cast("timestamp_ntz").alias("updated_at"),
     )
-    patches = projects.filter("project_id % 2 = 0").select(
-        "project_id", F.when(F.col("project_id") % 4 == 0, F.lit(7)).alias("counter_start")
+    patches = projects.filter("status <> 'archived'").select(
+        "project_id", F.when(F.col("stored_count") > 1, F.lit(7)).alias("counter_start")
     )
     return current, patches
 
@@ -150,8 +158,7 @@ def upsert_defaults(lake):
     SETTINGS
     + """
     SELECT * FROM cur UNION ALL
-    SELECT project_id, 'seeded', 1, TIMESTAMP '2001-12-01' FROM projects
-    WHERE project_id % 2 = 0 AND project_id % 3 <> 0
+    SELECT project_id, 'seeded', 1, TIMESTAMP '2001-12-01' FROM projects WHERE status = 'active'
     """,
     "projects",
 )
@@ -186,7 +193,7 @@ def append_projects(lake):
     "replace_settings",
     SETTINGS
     + """
-    SELECT * FROM cur WHERE project_id % 2 <> 0 UNION ALL
+    SELECT * FROM cur WHERE project_id NOT IN (SELECT project_id FROM new) UNION ALL
     SELECT project_id, 'fixed', 3, TIMESTAMP '2001-12-01' FROM new
     """,
     "projects",
@@ -221,6 +228,73 @@ def camera_status(lake):
     return changes.camera_status(cameras, updates, ORDERS_AS_OF)
 
 
+@query(
+    "stored_patch",
+    """
+    SELECT project_id, CASE WHEN status = 'draft' THEN upper(name) ELSE name END AS name,
+           CASE WHEN status = 'draft' THEN 'active' ELSE status END AS status,
+           CASE WHEN status = 'draft' THEN TIMESTAMP '2001-12-01' ELSE updated_at END AS updated_at
+    FROM projects
+    """,
+    "projects",
+)
+def stored_patch(lake):
+    """All projects in a stored table; drafts get a patch, which rewrites only their partitions."""
+    projects = lake.projects().select("project_id", "name", "status", "updated_at")
+    stored = _stored(projects, "project_id", 256)
+    patches = projects.filter("status = 'draft'").select(
+        "project_id", F.upper("name").alias("name"), F.lit("active").alias("status")
+    )
+    stored.change(patches, lambda rows, p: changes.patch(rows, p, "project_id", ORDERS_AS_OF))
+    return stored.read()
+
+
+@query(
+    "stored_upsert",
+    SETTINGS
+    + """
+    SELECT coalesce(cur.project_id, new.project_id) AS project_id,
+           CASE WHEN cur.project_id IS NULL THEN '{project}_{date}_{counter}' ELSE file_rule END AS file_rule,
+           coalesce(new.counter_start, cur.counter_start, 1) AS counter_start,
+           CASE WHEN new.project_id IS NOT NULL THEN TIMESTAMP '2001-12-01' ELSE updated_at END AS updated_at
+    FROM cur FULL JOIN new ON cur.project_id = new.project_id
+    """,
+    "projects",
+)
+def stored_upsert(lake):
+    """Stored settings: known projects are patched in place, unknown ones come in with the defaults."""
+    current, patches = _settings(lake)
+    stored = _stored(current, "project_id", 64)
+    stored.change(
+        patches, lambda rows, p: changes.upsert(rows, p, "project_id", C.AUTOMATION_DEFAULTS, ORDERS_AS_OF)
+    )
+    return stored.read()
+
+
+@query(
+    "stored_cameras",
+    """
+    SELECT s_suppkey AS camera_id, CASE WHEN s_acctbal > 9000 THEN 'connected' ELSE 'disconnected' END AS status,
+           CASE WHEN s_acctbal > 9000 THEN TIMESTAMP '2001-12-01' ELSE TIMESTAMP '2001-01-01' END AS last_sync
+    FROM supplier WHERE s_acctbal >= 0
+    """,
+)
+def stored_cameras(lake):
+    """Stored camera statuses: some cameras connect, then those in debt are removed with their rows."""
+    suppliers = lake.raw("supplier").withColumnRenamed("s_suppkey", "camera_id")
+    cameras = suppliers.select(
+        "camera_id",
+        F.lit("disconnected").alias("status"),
+        F.lit("2001-01-01").cast("timestamp_ntz").alias("last_sync"),
+    )
+    stored = _stored(cameras, "camera_id", 64)
+    joined = suppliers.filter("s_acctbal > 9000").select("camera_id", F.lit("connected").alias("status"))
+    stored.change(joined, lambda rows, u: changes.camera_status(rows, u, ORDERS_AS_OF))
+    gone = suppliers.filter("s_acctbal < 0").select("camera_id")
+    stored.change(gone, lambda rows, d: changes.cascade_delete(rows, d, "camera_id"))
+    return stored.read()
+
+
 @query(
     "cascade_delete",
     """
@@ -325,11 +399,12 @@ ALL_SETTINGS = [
     """
     SELECT project_id, updated_at,
     """
-    + ", ".join(f"CASE WHEN project_id % 3 = 0 THEN NULL ELSE {sql} END AS {name}" for name, _, sql in ALL_SETTINGS)
-    + """, CASE WHEN project_id % 3 = 0 THEN NULL ELSE '1:1,4:5,3:2,16:9' END AS aspects,
-           CASE WHEN project_id % 3 = 0 THEN NULL ELSE '' END AS storage_channels
-    FROM (SELECT project_id, CASE WHEN project_id % 2 = 0 THEN TIMESTAMP '2001-12-01' ELSE TIMESTAMP '2001-01-01' END AS updated_at
-          FROM projects WHERE project_id % 3 = 0 OR project_id % 2 = 0)
+    + ", ".join(f"CASE WHEN status <> 'active' THEN NULL ELSE {sql} END AS {name}" for name, _, sql in ALL_SETTINGS)
+    + """, CASE WHEN status <> 'active' THEN NULL ELSE '1:1,4:5,3:2,16:9' END AS aspects,
+           CASE WHEN status <> 'active' THEN NULL ELSE '' END AS storage_channels
+    FROM (SELECT project_id, status,
+                 CASE WHEN status <> 'archived' THEN TIMESTAMP '2001-12-01' ELSE TIMESTAMP '2001-01-01' END AS updated_at
+          FROM projects)
     """,
     "projects",
 )
@@ -337,12 +412,12 @@ def upsert_all_defaults(lake):
     """Settings with every column: rows that are there keep their nulls, new ones get all defaults."""
     projects = lake.projects()
     kinds = {name: kind for name, kind, _ in ALL_SETTINGS} | dict.fromkeys(("aspects", "storage_channels"), "array<string>")
-    current = projects.filter("project_id % 3 = 0").select(
+    current = projects.filter("status <> 'active'").select(
         "project_id",
         F.lit("2001-01-01").cast("timestamp_ntz").alias("updated_at"),
         *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()],
     )
-    patches = projects.filter("project_id % 2 = 0").select("project_id")
+    patches = projects.filter("status <> 'archived'").select("project_id")
     out = changes.upsert(current, patches, "project_id", C.AUTOMATION_DEFAULTS, ORDERS_AS_OF)
     lists = {c: F.array_join(c, ",") for c in ("aspects", "storage_channels")}
     return out.withColumns(lists)
