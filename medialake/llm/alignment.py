@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from medialake.llm.common import saved, text_blocks
 
-_BLOCK = 16 << 20  # bytes of text in a block
-_PART = 4 << 20  # bytes of text whose bitmaps are made at once
+_BLOCK = 8 << 20  # bytes of text in a block
+_PART = 2 << 20  # bytes of text whose bitmaps are made at once
 _DOCS = 1 << 16  # documents in a block at most
-_CACHED = 300_000  # chunks that a worker remembers
+_CACHED = 100_000  # chunks that a worker remembers
+_LEARNED = 8192  # chunks encoded at once
 _LISTED = 4096  # links of a group that are listed one by one
 _HASHED = 100_000  # chunks hashed at once
 
@@ -135,8 +136,18 @@ class Aligner:
         self.pairs, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        if not chunks:
-            return
+        counts, sizes, pairs, links = [self.counts], [], [self.pairs], [self.links]
+        for at in range(0, len(chunks), _LEARNED):
+            part = self._learned(chunks[at : at + _LEARNED])
+            for held, new in zip((counts, sizes, pairs, links), part, strict=True):
+                held.append(new)
+        if chunks:
+            self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
+            self.counts, self.pairs, self.links = map(np.concatenate, (counts, pairs, links))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.concatenate(sizes))))
+
+    def _learned(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some new chunks: counts, numbers of pairs, pairs and their links."""
         a, b = self.a, self.b
         ids_a, n_a = a.encode(chunks)
         ids_b, n_b = b.encode(chunks)
@@ -180,10 +191,7 @@ class Aligner:
             chunk.append(np.full(len(x) * len(y), owner[k]))
         pair, chunk, links = map(np.concatenate, (pair, chunk, links))
         pair, chunk, links = _summed(pair, chunk, links, by_second=True)
-        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
-        self.counts = np.concatenate((self.counts, counts))
-        self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.bincount(chunk, minlength=len(chunks)))))
-        self.pairs, self.links = np.concatenate((self.pairs, pair)), np.concatenate((self.links, links))
+        return counts, np.bincount(chunk, minlength=len(chunks)), pair, links
 
     def _spelled(self, chunks, ids_a, n_a, ids_b, n_b, size) -> np.ndarray:
         """Which chunks both tokenizers spell right."""
