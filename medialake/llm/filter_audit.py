@@ -2,8 +2,8 @@
 
 Words are counted in a sparse document-term matrix. Tasks cut blocks of documents into words, code
 them within the block and keep rows of (code, count). The distinct words of all blocks get numbers in
-one global dictionary, and each block's codes are replaced by these numbers: the blocks are then CSR
-shards of one matrix (`document_terms`). A document's row sum is its number of words, its nonzero
+one global dictionary, dealt over tasks by ranges of the words' hashes, and each block's codes are
+replaced by these numbers: the blocks are then CSR shards of one matrix (`document_terms`). A document's row sum is its number of words, its nonzero
 entries are its distinct words; these decide filters A and B. Filters C and D are read off the text's
 bytes while it is cut, E compares hashes of whole texts.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate, permutations
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ from medialake.plans.skew import join_lookup
 FILTERS = "ABCDE"
 _MARKS = np.frombuffer(b"#$%&*|", np.uint8)
 _BLOCK = 4 << 20  # bytes of text in a block
+_BUCKET = 1 << 20  # words of all blocks that are numbered together
 _ROW = "struct<doc_id:{id},part:string,mark:binary,upper:boolean,marked:boolean>"
 
 
@@ -62,8 +63,13 @@ def _cut_block(block: pa.Table) -> pa.RecordBatch:
     words, row = lists.values, np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     full = pc.greater(pc.binary_length(words), 0)  # outer white space makes empty ends
     coded = words.filter(full).dictionary_encode()
-    row = row[full.to_numpy(zero_copy_only=False)]
-    entry, counts = np.unique(row.astype(np.int64) << 32 | coded.indices.to_numpy(), return_counts=True)
+    # Codes in the order of the words' hashes, so that a range of hashes is a range of codes.
+    hashes = _word_hashes(coded.dictionary)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    row = row[full.to_numpy(zero_copy_only=False)].astype(np.int64)
+    entry, counts = np.unique(row << 32 | rank[coded.indices.to_numpy()], return_counts=True)
     indptr = np.searchsorted(entry, np.arange(len(texts) + 1, dtype=np.int64) << 32)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -76,10 +82,17 @@ def _cut_block(block: pa.Table) -> pa.RecordBatch:
     one = [
         pa.array([uuid.uuid4().int >> 65]),
         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-        pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+        pa.array([hashes[order].tobytes()], pa.binary()),
+        pa.array([len(order)]),
         pa.array([pack_csr(indptr, entry & 0xFFFFFFFF, counts)], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(one, ["shard", "rows", "words", "matrix"])
+    return pa.RecordBatch.from_arrays(one, ["shard", "rows", "words", "n_words", "matrix"])
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, words.to_pylist()))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
 def pack_csr(indptr: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> bytes:
@@ -97,21 +110,50 @@ def unpack_csr(matrix: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8", n), np.cumsum(steps), np.frombuffer(raw, "<i4", m, 8 * n)
 
 
-def _word_key(word: str) -> list[Column]:
-    return [F.xxhash64(word).alias("h1"), F.xxhash64(F.lit(1), word).alias("h2")]
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as compressed steps."""
+    steps = np.diff(numbers, prepend=0).astype("<i8").tobytes()
+    return np.array([len(numbers)], "<i8").tobytes() + pa.compress(steps, codec="zstd", asbytes=True)
 
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """`h1`, `h2`, `number`: the distinct words, told apart by these hashes, numbered from 0 without gaps."""
-    place = F.monotonically_increasing_id()
-    numbered = words.select("h1", "h2").distinct().select(
-        "h1", "h2", F.shiftright(place, 33).cast("int").alias("task"), place.bitwiseAND((1 << 33) - 1).alias("at")
-    )
-    held = saved(numbered, "words")
-    # One row for each task that wrote words; its words follow those of the tasks before it.
-    sizes = {r["task"]: r["count"] for r in held.groupBy("task").count().collect()}
-    before = list(accumulate((sizes.get(k, 0) for k in range(max(sizes, default=0))), initial=0))
-    return held.select("h1", "h2", (F.col("at") + F.get(F.lit(before), "task")).alias("number"))
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, "<i8", 1)[0])
+    return np.cumsum(np.frombuffer(pa.decompress(packed[8:], 8 * n, codec="zstd", asbytes=True), "<i8"))
+
+
+def dictionary_numbers(blocks: DataFrame) -> DataFrame:
+    """`shard`, `bucket`, `numbers`: the global number of every block's words, in the order of their hashes.
+
+    Hashes are cut in as many even ranges as make about a million words of all blocks each, and go
+    packed by (block, range). A word's number is its range and its place among the range's distinct words.
+    """
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(1, -(-total // _BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(*batch.columns, strict=True):
+                hashes = np.frombuffer(words.as_buffer(), np.uint64).reshape(-1, 2)
+                bucket = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = [x.tobytes() for x in np.split(hashes, edges[1:])] if len(edges) else []
+                columns = [pa.array(bucket[edges]), pa.array([shard.as_py()] * len(edges), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "words"])
+
+    def number(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
+        parts = group.column("words").to_pylist()
+        hashes = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        new = np.concatenate(([False], (np.diff(hashes[order], axis=0) != 0).any(1)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) + (key[0].as_py() << 32)
+        edges = np.cumsum([0, *map(len, parts)]) // 16
+        packed = [_packed(place[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        columns = [group.column("shard").combine_chunks(), group.column("bucket").combine_chunks(), pa.array(packed, pa.binary())]
+        return pa.Table.from_arrays(columns, ["shard", "bucket", "numbers"])
+
+    dealt = blocks.select("shard", "words").mapInArrow(deal, "bucket long, shard long, words binary")
+    return dealt.groupBy("bucket").applyInArrow(number, "shard long, bucket long, numbers binary")
 
 
 def document_terms(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,32 +171,25 @@ def document_terms(docs: DataFrame, part: Column, id_col: str = "doc_id", text_c
         for block in text_blocks(batches, 2, _BLOCK):
             yield _cut_block(block)
 
-    schema = f"shard long, rows array<{row}>, words array<string>, matrix binary"
+    schema = f"shard long, rows array<{row}>, words binary, n_words long, matrix binary"
     blocks = saved(narrow.mapInArrow(cut, schema), "term-blocks")
-    codes = blocks.select("shard", F.posexplode("words").alias("code", "word")).select("shard", "code", *_word_key("word"))
-    # A frequent word is in every block: both sides are read from tables, so hot words are split.
-    numbers = (
-        codes.join(_dictionary(codes), ["h1", "h2"])
-        .groupBy("shard")
-        .agg(F.collect_list(F.struct("code", "number")).alias("coded"))
+    coded = dictionary_numbers(blocks).groupBy("shard").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("coded")
     )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for matrix, coded in zip(batch.column(2), batch.column(3), strict=True):
+            for matrix, parts in zip(batch.column(2), batch.column(3), strict=True):
                 indptr, columns, counts = unpack_csr(matrix.as_py())
                 if len(columns):
-                    code, value = (x.to_numpy() for x in coded.values.flatten())
-                    numbers = np.empty(len(code), np.int64)
-                    numbers[code] = value
-                    order = np.lexsort((numbers[columns], np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-                    columns, counts = numbers[columns][order], counts[order]
+                    # Numbers ascend with the codes, so rows stay in order.
+                    columns = np.concatenate([_unpacked(p) for p in parts.values.field(1).to_pylist()])[columns]
                 out.append(pack_csr(indptr, columns, counts))
             columns = [*batch.columns[:2], pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "matrix"])
 
-    met = blocks.drop("words").join(numbers, "shard", "left")
+    met = blocks.select("shard", "rows", "matrix").join(coded.select("shard", "coded"), "shard", "left")
     return met.mapInArrow(number, f"shard long, rows array<{row}>, matrix binary")
 
 
