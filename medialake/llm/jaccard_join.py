@@ -1,14 +1,15 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, found by signature trees.
 
-A set's signature is a bitmap with a bit for each of its shingles, about four bits a shingle wide. The
+A set's signature is a bitmap with a bit for each of its shingles, one or two bits a shingle wide. The
 leaves of a tree are sets; an inner node holds the OR of the bitmaps below it, their range of sizes and
 the greatest number of shingles that share a bit with another of their set. Two sets share at most
 their common bits plus the lesser of these numbers, and so do any two sets below two nodes: pairs of
 trees are walked together, and a pair of nodes is left where that bound is too low for its sizes.
 
 Trees are made where links can be. Sets in reach share one of the first hashes of their sorted
-shingles (as many as the smaller overlap leaves room to differ, and one more), and their sizes are in
-the same or the next band of a logarithmic scale. So there is a tree for each such hash and band;
+shingles (as many as the smaller overlap leaves room to differ, and one more; k of them with k more),
+and their sizes are in the same or the next band of a logarithmic scale. A set that shares fewer than k
+of its first hashes with any others, for a k of its size, goes at once. For the others there is a tree for each such hash and band;
 large ones are cut in tiles that meet pairwise, trees of the same members are one. A first round has
 the least hashes only; the second has all, but only where sets meet that the first left apart.
 
@@ -46,14 +47,20 @@ _FIRST = 3  # hashes of a set in the first round
 _WORDS = 1 << 20  # words of bitmaps compared at once
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's n shingles, in any one order, hold one of every set in reach."""
-    return n - (percent * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int, shared: int = 1) -> int:
+    """How many of a set's n shingles, in any one order, hold `shared` ones of every set in reach."""
+    return n - (percent * n + 99) // 100 + shared
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many shingles a set must share with others in its longer prefix to be looked at: a third of
+    the prefix that holds one, and no more than any set in reach has."""
+    return max(1, min(prefix_length(n, percent) // 3, n - prefix_length(n, percent) + 1))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The bitmap of a set, a power of two wide: halves of a wider one OR-combine to a narrower."""
-    width = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    width = max(64, 1 << (len(shingles) - 1).bit_length())
     at = shingles & np.uint64(width - 1)
     bits = np.zeros(width // 64, np.uint64)
     np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -207,7 +214,8 @@ def shingle_rows(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id
                 full = len(held) > 0
                 n.append(len(held))
                 node.append(xxhash.xxh3_128_digest(held.tobytes()) if full else None)
-                prefix.append(held[: prefix_length(len(held), percent)].view(np.int64) if full else None)
+                long = prefix_length(len(held), percent, least_shared(len(held), percent))
+                prefix.append(held[:long].view(np.int64) if full else None)
                 bitmap.append(signature(held).tobytes() if full else None)
             made = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())]
             yield pa.RecordBatch.from_arrays(
@@ -337,9 +345,15 @@ def similar_documents(
         "shingle-sets",
     )
     # Most hashes are in one prefix only and go here.
-    placed = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    placed = nodes.select("id", F.posexplode("prefix").alias("pos", "token"))
     common = placed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    shared = saved(placed.join(common, "token"), "shared-hashes")
+    held = saved(placed.join(common, "token"), "shared-hashes")
+    # Where a set shares too few, none is in its reach.
+    one = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
+    least = F.greatest(F.lit(1), F.least(F.floor(one / 3), F.col("size") - one + 1))
+    counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("id", "size"), "id")
+    asked = saved(counts.where(F.col("n") >= least).select("id", "size", one.alias("one")), "asked-sets")
+    shared = held.join(asked, "id").where("pos < one").select("token", "id", "pos", "size")
     near = saved(_candidates(shared.where(F.col("pos") < _FIRST), nodes, None, percent), "near-sets")
     labels = saved(connected_components(near).withColumnRenamed("node", "id"), "labels")
     rest = _candidates(shared, nodes, labels, percent)

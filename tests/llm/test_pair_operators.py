@@ -179,7 +179,10 @@ def test_prefix_holds_a_shared_hash(percent):
     """The least hashes of two sets at the very edge of reach have one in common."""
     for n in range(1, 200):
         need = -(-percent * n // 100)  # a set within this one, as small as reach allows
-        assert n - jaccard_join.prefix_length(n, percent) < need
+        for shared in (1, jaccard_join.least_shared(n, percent)):
+            # If the other set lacks the least hashes, the prefix still holds `shared` of its own.
+            assert 1 <= shared <= need
+            assert min(jaccard_join.prefix_length(n, percent, shared), n) - (n - need) >= shared
 
 
 def test_jaccard_of_nothing(spark, no_rows):
