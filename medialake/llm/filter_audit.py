@@ -37,8 +37,8 @@ from medialake.plans.skew import join_lookup
 
 FILTERS = "ABCDE"
 _MARKS = np.frombuffer(b"#$%&*|", np.uint8)
-_BLOCK = 4 << 20  # bytes of text in a block
-_BUCKET = 1 << 20  # words of all blocks that are numbered together
+_BLOCK = 3 << 20  # bytes of text in a block
+_BUCKET = 1 << 18  # words of all blocks that are numbered together
 _ROW = "struct<doc_id:{id},part:string,mark:binary,upper:boolean,marked:boolean>"
 
 
@@ -124,7 +124,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 def dictionary_numbers(blocks: DataFrame) -> DataFrame:
     """`shard`, `bucket`, `numbers`: the global number of every block's words, in the order of their hashes.
 
-    Hashes are cut in as many even ranges as make about a million words of all blocks each, and go
+    Hashes are cut in as many even ranges as make about a quarter million words of all blocks each, and go
     packed by (block, range). A word's number is its range and its place among the range's distinct words.
     """
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
