@@ -300,8 +300,9 @@ def _exact_links(
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / _TILE), F.ceil(F.sum("size") / _TILE_SHINGLES)).cast("int")
     members = saved(placed.join(placed.groupBy("root").agg(parts.alias("parts")), "root"), "members")
     texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    # Rows alike in id and text all find the set they stand for; the first goes on.
-    found = texts.join(members.select("row_key", "id", "root", "parts"), "row_key")
+    # Rows alike in id and text all find the set they stand for; the first goes on. The members grow
+    # with the corpus, so the plan is that of a large join at every size.
+    found = texts.join(members.select("row_key", "id", "root", "parts").hint("merge"), "row_key")
     found = found.groupBy("id", "root", "parts").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
