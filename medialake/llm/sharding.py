@@ -21,7 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -139,6 +139,7 @@ def sharded(
             *[c.alias(n) for n, c in zip(names, carry.values(), strict=True)],
         ),
         "sharding",
+        "zstd",
     )
     n, n_bytes = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     per_shard = max(1, -(-n // (n_shards * rows_per_piece)), -(-(n_bytes or 0) // (n_shards * bytes_per_piece)))
@@ -151,8 +152,13 @@ def sharded(
         shard = bisect_right(starts, edge) - 1
         shard_of.append(shard)
         first_of.append(cuts.known[edge][1] - cuts.known[starts[shard]][1])
-    placed = rows.withColumn("piece", _piece_of(F.col("rank"), edges))
-    within = F.row_number().over(Window.partitionBy("piece").orderBy("rank"))
+    # One piece is one task's partition, so a row's place in it is its place in the sorted partition.
+    placed = (
+        rows.withColumn("piece", _piece_of(F.col("rank"), edges).cast("int"))
+        .repartitionById(len(edges) + 1, F.col("piece"))
+        .sortWithinPartitions("rank")
+    )
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
 
     def at_piece(values: list[int]) -> Column:
         return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>"), F.col("piece"))
@@ -161,13 +167,14 @@ def sharded(
         *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)],
         "size",
         at_piece(shard_of).cast("int").alias("shard"),
-        (at_piece(first_of) + within - 1).alias("slot"),
+        (at_piece(first_of) + within).alias("slot"),
     )
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
     """Write sharded rows as one folder a shard, in the order of their slots within each file."""
-    shards.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ordered = shards.sortWithinPartitions("shard", "slot")
+    ordered.write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
