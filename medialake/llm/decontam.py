@@ -1,7 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 The containment of a short test item in a long document can't be read off a MinHash of the whole
-document: the item's share of it is too small. So items are partitioned by their number of distinct
+document: the item's share of it is too small. So items are partitioned by their number of
 shingles, each class reaching up to twice its lower bound, and for each class the documents are cut
 into overlapping windows of one and a half times the class's upper bound. A passage of any item of
 the class lies within a window whole. For the class's bounds a containment `t` then means a Jaccard
@@ -10,12 +10,18 @@ values are compared: enough that a pair escapes all of them with a probability o
 Any pair that agrees in one value is a candidate; candidates are verified with the exact shingle
 sets of the item and of the whole document.
 
+Two kinds of items have too little to hash and are looked up instead, exactly. An item that repeats
+itself has few distinct shingles for its length: a document that holds enough of them holds one of any
+few (as many as may be missing, and one more). An item of fewer words than a shingle is searched for as
+that run of words.
+
 Items are the stated query set. They are taken in blocks of at most `block` items, one pass over the
 documents for each block, so what a task holds of them is bounded whatever their number. An item is found
 where its shingles lie together; shingles scattered over a long document are not searched for.
 
-Special cases: null texts and texts without words hold no shingle and match nothing; a text shorter
-than a shingle is one shingle, its whole word sequence. Repeated documents each report their items;
+Special cases: null texts and texts without words hold no shingle and match nothing; an item shorter
+than a shingle is one shingle, its whole word sequence, found wherever a document has these words in a
+row. Repeated documents each report their items;
 items that share an item_id are told apart by their texts, and a pair is reported once with the
 larger containment. Null ids are kept as they are. Other columns are not read.
 """
@@ -80,18 +86,34 @@ def _valued(h: np.ndarray, k: int) -> np.ndarray:
 class Items:
     """The index over one block of items: for each class and hash function, the items' minima."""
 
-    def __init__(self, rows: list[tuple], size: int, values: int):
+    def __init__(self, rows: list[tuple], size: int, values: int, share: float):
         self.size, self.values = size, values
         self.ids = [r[0] for r in rows]
-        runs = [shingles(words_of(r[1]), size) for r in rows]
+        words = [words_of(r[1]) for r in rows]
+        runs = [shingles(w, size) for w in words]
         self.sets = [frozenset(x) for x in runs]
         by_class: dict[int, list[int]] = defaultdict(list)
+        exact: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by words in a run: hashes and items
         for i, x in enumerate(runs):
-            if x:
-                by_class[max(_SMALLEST, 1 << (len(x) - 1).bit_length())].append(i)
+            if not x:
+                continue
+            top = max(_SMALLEST, 1 << (len(x) - 1).bit_length())
+            if len(words[i]) < size:
+                exact[len(words[i])].append((int(shingle_hashes(words[i], size, WordHashes())[0]), i))
+            elif 2 * len(self.sets[i]) < top:
+                # Of the distinct shingles, one more than may be missing.
+                keys = np.unique(shingle_hashes(words[i], size, WordHashes()))
+                exact[size] += [(int(k), i) for k in keys[: len(keys) - math.ceil(share * len(keys)) + 1]]
+            else:
+                by_class[top].append(i)
+        self.short = [x[0] if x and len(w) < size else b"" for x, w in zip(runs, words, strict=True)]
+        self.exact = {}
+        for n, found in exact.items():
+            found.sort()
+            self.exact[n] = (np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found]))
         self.classes = []
         for top, members in sorted(by_class.items()):
-            hashes = [shingle_hashes(words_of(rows[i][1]), size, WordHashes()) for i in members]
+            hashes = [shingle_hashes(words[i], size, WordHashes()) for i in members]
             tables = []
             for k in range(values):
                 least = np.array([_valued(h, k).min() for h in hashes], np.uint32)
@@ -101,6 +123,20 @@ class Items:
                 tables.append((least[order], np.array(members)[order], seen))
             self.classes.append((top, tables))
 
+    def looked_up(self, texts: list[list[bytes]], hashes: list[np.ndarray], known: WordHashes) -> set[tuple[int, int]]:
+        """(document, item) wherever a document has a run of words that an item is looked up by."""
+        found: set[tuple[int, int]] = set()
+        for n, (keys, items) in self.exact.items():
+            for doc, words in enumerate(texts):
+                if len(words) < n:
+                    continue
+                h = hashes[doc] if n == self.size else shingle_hashes(words, n, known)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                for k in np.unique(h[keys[at] == h]):
+                    lo, hi = (np.searchsorted(keys, k, side) for side in ("left", "right"))
+                    found.update((doc, i) for i in items[lo:hi].tolist())
+        return found
+
     def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) wherever a window agrees with an item in some MinHash value.
 
@@ -139,13 +175,17 @@ class Items:
         hashes = [shingle_hashes(w, self.size, known) for w in texts]
         starts = np.cumsum([0, *map(len, hashes)])[:-1]
         by_text = defaultdict(list)
-        for doc, i in self.candidates(np.concatenate(hashes), starts) if hashes else ():
-            by_text[doc].append(i)
+        if hashes:
+            near = self.candidates(np.concatenate(hashes), starts) | self.looked_up(texts, hashes, known)
+            for doc, i in near:
+                by_text[doc].append(i)
         for doc, found in sorted(by_text.items()):
-            whole = set(shingles(texts[doc], self.size))
+            whole, row = set(shingles(texts[doc], self.size)), b" " + b" ".join(texts[doc]) + b" "
             best: dict = {}
             for i in sorted(found):
                 n, shared = len(self.sets[i]), len(self.sets[i] & whole)
+                if self.short[i]:
+                    shared = int(b" " + self.short[i] + b" " in row)
                 if shared >= share * n:
                     best[self.ids[i]] = max(best.get(self.ids[i], (0, 0, 0)), (shared / n, n, shared))
             for item, (_, n, shared) in best.items():
@@ -204,7 +244,7 @@ def _filter(docs: DataFrame, rows: list[tuple], at: int, size: int, values: int,
     shipped = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = Items(shipped.value, size, values), WordHashes()
+        index, known = Items(shipped.value, size, values, share), WordHashes()
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             clean[[n for n, *_ in _found(index, batch.column(at), share, known)]] = False
@@ -243,7 +283,7 @@ def _search(
     shipped = narrow.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = Items(shipped.value, size, values), WordHashes()
+        index, known = Items(shipped.value, size, values, share), WordHashes()
         for batch in batches:
             ids = batch.column(0)
             out = [

@@ -44,14 +44,20 @@ with cut as (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x20\x09-\x0D]+')
   from benchmark),
+short as (select id, array_to_string(w, ' ') as s from cut where asked and len(w) between 1 and 4),
 placed as (
   select id, asked, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from cut where len(w) > 0),
 shingles as (select distinct id, asked, array_to_string(w[i:i + 4], ' ') as s from placed),
-items as (select id, s, count(*) over (partition by id) as n from shingles where asked)
-select d.id as doc_id, q.id as item_id, any_value(n) as n_shingles, count(*) as n_shared, count(*) / any_value(n) as containment
-from shingles d join items q on d.s = q.s
-where not d.asked
-group by d.id, q.id having count(*) >= 0.8 * any_value(n)
+items as (select id, s, count(*) over (partition by id) as n from shingles where asked and id not in (select id from short)),
+found as (
+  select d.id as doc_id, q.id as item_id, any_value(n) as n_shingles, count(*) as n_shared
+  from shingles d join items q on d.s = q.s
+  where not d.asked
+  group by d.id, q.id having count(*) >= 0.8 * any_value(n)
+  union all
+  select d.id, q.id, 1, 1 from cut d join short q on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || q.s || ' ')
+  where not d.asked)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from found
 """,
     "op13_filter_interactions": r"""
 with cut as (

@@ -115,7 +115,6 @@ def test_token_files(spark, messy, no_rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     files = token_files.write_tokens(messy, TOKENIZER, rows_per_shard=4)
     got = token_files.read_tokens(files, messy, with_ids=True)
     texts = sorted(((d is not None, d or 0, t or "") for d, t in ROWS))
@@ -399,10 +398,13 @@ def test_components(spark):
 def contained(rows, items, share=0.8):
     out = Counter()
     for d, t in rows:
-        whole = set(plain.runs(plain.words(t), 5))
+        w = plain.words(t)
+        whole, in_row = set(plain.runs(w, 5)), f" {' '.join(w)} "
         for i, q in items:
             asked = set(plain.runs(plain.words(q), 5))
             n = len(asked & whole)
+            if len(plain.words(q)) < 5:  # a run of so few words, anywhere
+                n = sum(f" {x} " in in_row for x in asked)
             if asked and n >= share * len(asked):
                 out[(d, i, len(asked), n)] += 1
     return out
@@ -442,3 +444,43 @@ def test_benchmark_items(spark, messy, no_rows, block):
     assert decontam.without_items(messy, asked).columns == messy.columns
     assert decontam.contained_items(no_rows, asked).count() == 0
     assert decontam.contained_items(docs, asked.limit(0)).count() == 0
+
+
+def test_repetitive_and_short_items(spark):
+    """Items with few distinct shingles for their length, and of one to four words, are all found."""
+    r = random.Random(11)
+    items = []
+    for n_words, n_distinct in ((100, 1), (150, 1), (200, 1), (100, 3), (200, 3), (120, 10), (200, 10), (200, 40)):
+        for k in range(4):
+            cycle = prose(n_distinct, 100 * n_words + 10 * n_distinct + k, 100_000).split()
+            items.append((len(items), " ".join((cycle * n_words)[:n_words])))
+    items += [(100 + n, f"only{n} " + " ".join(f"w{n}{j}" for j in range(n - 1))) for n in (1, 2, 3, 4)]
+    assert {len(set(plain.runs(plain.words(q), 5))) for _, q in items} >= {1, 3, 10, 40}
+    docs = []
+    for i, q in items:
+        w = prose(r.randint(100, 3000), 5000 + i).split()
+        at = r.randint(0, len(w))
+        docs.append((i, " ".join([*w[:at], _upper(q), *w[at:]])))
+        docs.append((1000 + i, " ".join(w)))
+    docs += [(3000, "xonly1 only1x"), (3001, "only1"), (3002, "only2 x w20"), (3003, "x\nonly2\tw20")]
+    want = contained(docs, items)
+    assert len({i for _, i, *_ in want}) == len(items) and (3003, 102, 1, 1) in want
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contained_items(docs_of(spark, docs), asked)
+    assert bag(got, "doc_id", "item_id", "n_shingles", "n_shared") == want
+
+
+def test_containment_recall_at_the_edge():
+    """Of passages that keep just over four fifths of an item's shingles, none is missed."""
+    r, rows, texts = random.Random(4), [], []
+    for k in range(300):
+        w = prose(r.randint(30, 300), 9000 + k, 50_000).split()
+        rows.append((k, " ".join(w)))
+        out = int((len(w) - 4) * 0.19) // 5  # each word replaced takes five shingles
+        v = list(w)
+        for j in range(out):
+            v[5 + j * (len(w) - 6) // max(out, 1)] = f"z{k}x{j}"
+        texts.append((prose(800, k) + " " + " ".join(v) + " " + prose(400, k + 1)).encode().split())
+    index = decontam.Items(rows, 5, decontam.n_values(0.8, 1e-6), 0.8)
+    found = {(d, i) for d, i, *_ in index.contained(texts, 0.8, decontam.WordHashes())}
+    assert found >= {(k, k) for k in range(300)}
