@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from medialake import catalogs as C
 from medialake.functions import tags as T
 from medialake.functions.text import contains_ci
+from medialake.plans.ordering import sequenced
+from medialake.plans.skew import join_lookup
+
+_RANKS = 64  # ranked tags in a block
 
 
 def tag_usage(photos: DataFrame) -> DataFrame:
@@ -56,26 +60,48 @@ def toggle_tag(photos: DataFrame, tag: Column | str) -> DataFrame:
     return photos.withColumn("tags", T.toggle(F.col("tags"), tag))
 
 
+def ranked_tags(usage: DataFrame, query: str) -> DataFrame:
+    """`block`, `names`: the tags that hold the typed text, most used first, in blocks of `_RANKS`.
+
+    Tags are numbered within one usage and beginning, so that no task sees them all.
+    """
+    found = usage.filter(contains_ci("tag", query)).select("tag", (-F.col("usage")).alias("_less"))
+    step = F.struct("_less", F.substring("tag", 1, 2).alias("_begins"))
+    numbered = sequenced(found, [], ["_less", "tag"], step)
+    place = F.struct("seq", "tag")
+    return numbered.groupBy(F.floor((F.col("seq") - 1) / _RANKS).alias("block")).agg(
+        F.transform(F.sort_array(F.collect_list(place)), lambda x: x["tag"]).alias("names")
+    )
+
+
 def tag_candidates(photos: DataFrame, usage: DataFrame, query: str, k: int = 5) -> DataFrame:
     """Known tags containing the typed text and not yet on the photo, at most ``k`` per photo.
 
-    The matching tags are ranked once, on the usage table, into one list. A photo can rule out no
-    more of them than it carries, so it looks only at that many and ``k`` of the first.
+    The matching tags are ranked once, on the usage table. A photo can rule out no more of them than
+    it carries, so it looks only at the blocks with that many and ``k`` of the first ranks: nearly
+    always the first block, and then nothing is grouped by photo.
     """
     if not query.strip():
         return photos.select("photo_id", F.array().cast("array<string>").alias("candidates"))
-    # One entry for each distinct tag that holds the typed text.
-    listed = usage.filter(contains_ci("tag", query)).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct((-F.col("usage")).alias("u"), "tag"))),
-            lambda s: s["tag"],
+    empty = F.array().cast("array<string>")
+    last = F.floor((F.size("tags") + k - 1) / _RANKS)
+    rows = photos.select("photo_id", F.coalesce("tags", empty).alias("tags")).withColumn("_last", last)
+    asked = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block"))
+    met = join_lookup(asked, ranked_tags(usage, query), ["block"])
+    left = met.withColumn("found", F.array_except(F.coalesce("names", empty), "tags"))
+    one = left.filter("_last = 0").select("photo_id", F.slice("found", 1, k).alias("candidates"))
+    # Photos with very many tags: their blocks in order, repeated photos as often as they are there.
+    many = (
+        left.filter("_last > 0")
+        .groupBy("photo_id", "tags")
+        .agg(F.sort_array(F.collect_set(F.struct("block", "found"))).alias("parts"), F.count_if(F.col("block") == 0).alias("n"))
+        .select(
+            "photo_id",
+            F.slice(F.flatten(F.col("parts.found")), 1, k).alias("candidates"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_turn"),
         )
-    ).scalar()
-    tags = F.coalesce("tags", F.array().cast("array<string>"))
-    return photos.select(
-        "photo_id",
-        F.slice(F.array_except(F.slice(listed, F.lit(1), F.size(tags) + k), tags), 1, k).alias("candidates"),
     )
+    return one.unionByName(many.drop("_turn"))
 
 
 def merged_tags(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

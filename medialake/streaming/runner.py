@@ -26,14 +26,15 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Process everything available, then read the written rows.
 
-    Rows go from the tasks to files and never through the driver; offsets and state lie beside them,
-    so an interrupted run continues where it stopped.
+    Rows go from the tasks to files and never through the driver; offsets and state lie beside them.
+    With a `root` folder of one's own, a later run continues where the one before stopped; without,
+    every run has a fresh folder.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
@@ -52,17 +53,19 @@ def run_parts(
     part: Callable[[DataFrame], DataFrame],
     merge: Callable[[DataFrame], DataFrame] | None = None,
     every: int = 0,
+    root: str | None = None,
 ) -> DataFrame:
     """Reduce every batch of a stored stream to a part, then read all parts.
 
     A part is a folder named by its batch, written whole, so a batch that is run again leaves the
     same part. With ``merge``, each ``every`` parts of one level become one of the next; the smaller
-    ones go once the larger one is complete. Which parts count follows from the batch number alone.
+    ones go once the larger one is complete. Which parts count follows from the number of committed
+    batches alone, which is read from the checkpoint: with a `root` folder of one's own, a later run
+    continues, also if nothing new came in. Without, every run has a fresh folder.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     shape = part(spark.createDataFrame([], stream.schema)).schema
-    last = [-1]
 
     def path(level: int, number: int) -> str:
         return os.path.join(root, "parts", f"level{level}-{number}")
@@ -81,7 +84,6 @@ def run_parts(
                 for p in old:
                     fs, place = file_system(spark, p)
                     fs.delete(place, True)
-        last[0] = batch
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -90,7 +92,7 @@ def run_parts(
         .start()
     )
     query.awaitTermination()
-    left, level, paths = last[0] + 1, 0, []
+    left, level, paths = _committed(spark, os.path.join(root, "checkpoint")), 0, []
     while left:  # the digits of the batch count say which parts of each level are not merged
         digit = left % every if merge else left
         paths += [path(level, left - 1 - k) for k in range(digit)]
@@ -101,3 +103,10 @@ def run_parts(
 def _written(spark: SparkSession, path: str) -> bool:
     fs, place = file_system(spark, os.path.join(path, "_SUCCESS"))
     return fs.exists(place)
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches of a stream are complete."""
+    fs, place = file_system(spark, os.path.join(checkpoint, "commits"))
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return 1 + max((int(n) for n in names if n.isdigit()), default=-1)

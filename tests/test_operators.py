@@ -455,3 +455,18 @@ def test_settings_problems(spark):
     dev = spark.createDataFrame([("d", "ftp_user", ""), ("d", "ftp_root", "/r")], "source string, key string, value string")
     got = quality.device_problems(dev, spark.createDataFrame([("d",), ("e",)], "source string"))
     assert {r["source"]: r["warnings"] for r in got.collect()} == {"d": 3, "e": 4}
+
+
+def test_tag_candidates_over_many_blocks(spark, monkeypatch):
+    """Photos with more tags than a block has ranks, repeated photos, no tags and no match."""
+    monkeypatch.setattr(tagging, "_RANKS", 4)
+    names = [f"tag{k:02d}" for k in range(30)] + ["other"]
+    usage = spark.createDataFrame([(n, 1 + i % 3) for i, n in enumerate(names)], "tag string, usage long")
+    ranked = sorted((n for n in names if "tag" in n), key=lambda n: (-(1 + names.index(n) % 3), n))
+    held = [("a", []), ("b", None), ("c", ranked[:3]), ("d", ranked[:17] + ["x"]), ("d", ranked[:17] + ["x"]), ("e", ranked), ("f", ranked[5:9])]
+    photos = spark.createDataFrame(held, "photo_id string, tags array<string>")
+    got = tagging.tag_candidates(photos, usage, "TAG", 5).collect()
+    want = [(p, [n for n in ranked if n not in (t or [])][:5]) for p, t in held]
+    assert sorted(map(tuple, got)) == sorted(want)
+    none = tagging.tag_candidates(photos, usage, "zzz", 5).collect()
+    assert sorted(map(tuple, none)) == sorted((p, []) for p, _ in held)

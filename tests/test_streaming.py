@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from medialake.operators import health
 from medialake.sources import logs
 from medialake.streaming import monitors
-from medialake.streaming.runner import event_stream, run_available
+from medialake.streaming.runner import event_stream, run_available, run_parts
 from tests.conftest import SMALL
 
 
@@ -188,3 +188,26 @@ def test_batch_sessions_of_a_hot_key(spark, monkeypatch, gap, stretch):
     a = sorted(tuple(r) for r in got.select("k", "opened", "closed", "events").collect())
     b = sorted(tuple(r) for r in want.select("k", "w.start", "w.end", "events").collect())
     assert a == b
+
+
+def test_a_later_run_continues(spark, tmp_path):
+    """With a folder of its own a stream goes on where it stopped, also if nothing new came in."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "root")
+
+    def put(a, b):
+        spark.range(a, b).coalesce(1).write.mode("append").parquet(folder)
+
+    def total(run_root):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
+        sums = lambda df: df.groupBy((F.col("id") % 3).alias("k")).agg(F.sum("id").alias("s"), F.count("id").alias("n"))
+        merge = lambda df: df.groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        out = run_parts(stream, "t-again", sums, merge, 2, root=run_root)
+        return out.agg(F.sum("s"), F.sum("n")).first()
+
+    put(0, 10)
+    put(10, 30)
+    put(30, 31)
+    assert tuple(total(root)) == (sum(range(31)), 31)
+    assert tuple(total(root)) == (sum(range(31)), 31)
+    put(31, 50)
+    assert tuple(total(root)) == (sum(range(50)), 50) == tuple(total(None))
