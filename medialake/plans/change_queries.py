@@ -10,8 +10,6 @@ from medialake.functions.text import full_name
 from medialake.operators import changes, tagging
 from medialake.operators import presets as P
 from medialake.plans.registry import query
-from medialake.session import scratch_path
-from medialake.sources.stored import StoredTable, hashed
 
 
 @query(
@@ -105,10 +103,6 @@ def patch_update(lake):
     return changes.patch(projects, patches, "project_id", ORDERS_AS_OF)
 
 
-def _stored(rows, key, parts):
-    return StoredTable.create(rows, scratch_path(rows.sparkSession, "stored"), key, hashed(key, parts))
-
-
 SETTINGS = """
     WITH cur AS (
         SELECT project_id, '{date}_{counter}' AS file_rule, CAST(project_id % 50 AS INTEGER) AS counter_start,
@@ -120,7 +114,7 @@ SETTINGS = """
     """
 
 
-def _settings(lake):
+def settings(lake):
     """Settings of archived and draft projects, and patches for draft and active ones: every project is
     on one side, drafts are on both."""
     projects = lake.projects()
@@ -149,7 +143,7 @@ def _settings(lake):
     "projects",
 )
 def upsert_defaults(lake):
-    current, patches = _settings(lake)
+    current, patches = settings(lake)
     return changes.upsert(current, patches, "project_id", C.AUTOMATION_DEFAULTS, ORDERS_AS_OF)
 
 
@@ -163,7 +157,7 @@ def upsert_defaults(lake):
     "projects",
 )
 def insert_absent(lake):
-    current, patches = _settings(lake)
+    current, patches = settings(lake)
     seeds = patches.select(
         "project_id",
         F.lit("seeded").alias("file_rule"),
@@ -198,8 +192,8 @@ def append_projects(lake):
     """,
     "projects",
 )
-def replace_settings(lake):
-    current, patches = _settings(lake)
+def replacesettings(lake):
+    current, patches = settings(lake)
     rows = patches.select(
         "project_id", F.lit("fixed").alias("file_rule"), F.lit(3).alias("counter_start")
     )
@@ -228,73 +222,6 @@ def camera_status(lake):
     return changes.camera_status(cameras, updates, ORDERS_AS_OF)
 
 
-@query(
-    "stored_patch",
-    """
-    SELECT project_id, CASE WHEN status = 'draft' THEN upper(name) ELSE name END AS name,
-           CASE WHEN status = 'draft' THEN 'active' ELSE status END AS status,
-           CASE WHEN status = 'draft' THEN TIMESTAMP '2001-12-01' ELSE updated_at END AS updated_at
-    FROM projects
-    """,
-    "projects",
-)
-def stored_patch(lake):
-    """All projects in a stored table; drafts get a patch, which rewrites only their partitions."""
-    projects = lake.projects().select("project_id", "name", "status", "updated_at")
-    stored = _stored(projects, "project_id", 256)
-    patches = projects.filter("status = 'draft'").select(
-        "project_id", F.upper("name").alias("name"), F.lit("active").alias("status")
-    )
-    stored.change(patches, lambda rows, p: changes.patch(rows, p, "project_id", ORDERS_AS_OF))
-    return stored.read()
-
-
-@query(
-    "stored_upsert",
-    SETTINGS
-    + """
-    SELECT coalesce(cur.project_id, new.project_id) AS project_id,
-           CASE WHEN cur.project_id IS NULL THEN '{project}_{date}_{counter}' ELSE file_rule END AS file_rule,
-           coalesce(new.counter_start, cur.counter_start, 1) AS counter_start,
-           CASE WHEN new.project_id IS NOT NULL THEN TIMESTAMP '2001-12-01' ELSE updated_at END AS updated_at
-    FROM cur FULL JOIN new ON cur.project_id = new.project_id
-    """,
-    "projects",
-)
-def stored_upsert(lake):
-    """Stored settings: known projects are patched in place, unknown ones come in with the defaults."""
-    current, patches = _settings(lake)
-    stored = _stored(current, "project_id", 64)
-    stored.change(
-        patches, lambda rows, p: changes.upsert(rows, p, "project_id", C.AUTOMATION_DEFAULTS, ORDERS_AS_OF)
-    )
-    return stored.read()
-
-
-@query(
-    "stored_cameras",
-    """
-    SELECT s_suppkey AS camera_id, CASE WHEN s_acctbal > 9000 THEN 'connected' ELSE 'disconnected' END AS status,
-           CASE WHEN s_acctbal > 9000 THEN TIMESTAMP '2001-12-01' ELSE TIMESTAMP '2001-01-01' END AS last_sync
-    FROM supplier WHERE s_acctbal >= 0
-    """,
-)
-def stored_cameras(lake):
-    """Stored camera statuses: some cameras connect, then those in debt are removed with their rows."""
-    suppliers = lake.raw("supplier").withColumnRenamed("s_suppkey", "camera_id")
-    cameras = suppliers.select(
-        "camera_id",
-        F.lit("disconnected").alias("status"),
-        F.lit("2001-01-01").cast("timestamp_ntz").alias("last_sync"),
-    )
-    stored = _stored(cameras, "camera_id", 64)
-    joined = suppliers.filter("s_acctbal > 9000").select("camera_id", F.lit("connected").alias("status"))
-    stored.change(joined, lambda rows, u: changes.camera_status(rows, u, ORDERS_AS_OF))
-    gone = suppliers.filter("s_acctbal < 0").select("camera_id")
-    stored.change(gone, lambda rows, d: changes.cascade_delete(rows, d, "camera_id"))
-    return stored.read()
-
-
 @query(
     "cascade_delete",
     """
