@@ -14,7 +14,7 @@ from medialake.functions import text
 from medialake.operators import changes, filters, health, quality
 from medialake.plans.registry import query
 from medialake.session import scratch_path
-from medialake.sources import configs, logs, schemas, sinks, tables
+from medialake.sources import configs, details, logs, schemas, sinks, tables
 
 
 def _files(lake, texts: DataFrame, name: str) -> DataFrame:
@@ -257,3 +257,47 @@ def health_log_append(lake):
     return sinks.read_health(lake.spark, path).groupBy("check_type").agg(
         F.count(F.lit(1)).alias("checks"), F.max("check_time").cast("timestamp_ntz").alias("latest")
     )
+
+
+@query(
+    "health_details",
+    """
+    WITH d AS (
+        SELECT event_id, check_time,
+               CASE check_type
+                   WHEN 'view' THEN '{"db": {"ms": ' || CAST(response_time_ms AS VARCHAR) || ', "ok": true}, "nodes": ["a", "b"]}'
+                   WHEN 'click' THEN '{"k": "' || check_type || '", "db": {"ms": "slow"}, "nodes": []}'
+                   WHEN 'error' THEN left(details, 4) WHEN 'signup' THEN NULL ELSE details END AS details
+        FROM health),
+    p AS (SELECT *, CASE WHEN json_valid(details) THEN CAST(details AS JSON) END AS j FROM d)
+    SELECT event_id, check_time, TRY_CAST(json_extract_string(j, '$.k') AS INTEGER) AS k,
+           TRY_CAST(json_extract_string(j, '$.db.ms') AS DOUBLE) AS db_ms,
+           TRY_CAST(json_extract_string(j, '$.db.ok') AS BOOLEAN) AS db_ok,
+           json_extract_string(j, '$.nodes[1]') AS second_node, details IS NOT NULL AND j IS NULL AS malformed
+    FROM p
+    """,
+    "health",
+)
+def health_details(lake):
+    """Checks with details of several shapes, some cut short, stored as parsed values and read typed."""
+    kind, time = F.col("check_type"), F.col("response_time_ms").cast("string")
+    nested = F.concat(F.lit('{"db": {"ms": '), time, F.lit(', "ok": true}, "nodes": ["a", "b"]}'))
+    odd = F.concat(F.lit('{"k": "'), kind, F.lit('", "db": {"ms": "slow"}, "nodes": []}'))
+    text = (
+        F.when(kind == "view", nested)
+        .when(kind == "click", odd)
+        .when(kind == "error", F.left("details", F.lit(4)))
+        .when(kind == "signup", F.lit(None).cast("string"))
+        .otherwise(F.col("details"))
+    )
+    checks = lake.health().withColumn("details", text).withColumn("check_time", F.col("check_time").cast("timestamp"))
+    path = scratch_path(lake.spark, "health-details")
+    details.append_checks(checks, path)
+    wanted = {
+        "k": ("$.k", "int"),
+        "db_ms": ("$.db.ms", "double"),
+        "db_ok": ("$.db.ok", "boolean"),
+        "second_node": ("$.nodes[1]", "string"),
+    }
+    found = details.typed(details.read_checks(lake.spark, path, "event_id long"), wanted)
+    return found.select("event_id", F.col("check_time").cast("timestamp_ntz").alias("check_time"), *wanted, "malformed")

@@ -117,8 +117,13 @@ def gallery_filter(lake):
     photos = lake.tagged_photos().withColumn(
         "title", F.when(F.col("preset_id") % 10 != 0, F.col("title")).otherwise("")
     )
-    numbered = sequenced(
-        photos, ["project_id"], ["created_at", "photo_id"], F.date_trunc("hour", "created_at")
+    # Only photos without a title show their number, so only these meet the numbers, which are counted
+    # on the three columns of the order alone.
+    order = lake.photos().select("project_id", "created_at", "photo_id")
+    numbers = sequenced(order, ["project_id"], ["created_at", "photo_id"], F.date_trunc("hour", "created_at"))
+    untitled = F.coalesce(F.col("title") == "", F.lit(True))
+    numbered = photos.filter(~untitled).withColumn("seq", F.lit(None).cast("long")).unionByName(
+        photos.filter(untitled).join(numbers.select("project_id", "photo_id", "seq"), ["project_id", "photo_id"])
     )
     found = filters.gallery_filter(filters.gallery_items(numbered), "processed", "O 1")
     return found.select(
