@@ -14,6 +14,7 @@ from medialake.plans.registry import query
 from medialake.session import scratch_path
 from medialake.sources import documents, logs, sinks, tables
 from medialake.streaming import monitors
+from medialake.streaming.retention import KeptHistory
 from medialake.streaming.runner import event_stream
 
 
@@ -335,3 +336,24 @@ def audit_alerts_batch(lake):
 )
 def syncs_24h(lake):
     return monitors.run_syncs_per_day(_queue(lake), "item_id").withColumns(_naive("until"))
+
+
+@query(
+    "history_kept_streaming",
+    """
+    SELECT event_id, check_time, check_type, status FROM health
+    WHERE CAST(check_time AS DATE) >= (SELECT max(CAST(check_time AS DATE)) FROM health) - INTERVAL 10 DAYS
+    """,
+    "health",
+)
+def history_kept_streaming(lake):
+    """Checks as a stream of several files in no order of time, into a history that keeps ten days; then
+    every batch once more, as after a lost checkpoint."""
+    checks = lake.health().select("event_id", "check_time", "check_type", "status")
+    root = scratch_path(lake.spark, "kept-history")
+    checks.repartition(3, "event_id").write.parquet(f"{root}/arriving")
+    schema = "event_id bigint, check_time timestamp_ntz, check_type string, status string"
+    stream = lake.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
+    history = KeptHistory(lake.spark, root, schema, "check_time", 10)
+    history.run(stream, "first")
+    return history.run(stream, "again")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from medialake.operators import health
 from medialake.sources import logs
 from medialake.streaming import monitors
+from medialake.streaming.retention import KeptHistory
 from medialake.streaming.runner import event_stream, run_available, run_parts
 from tests.conftest import SMALL
 
@@ -211,3 +212,30 @@ def test_a_later_run_continues(spark, tmp_path):
     assert tuple(total(root)) == (sum(range(31)), 31)
     put(31, 50)
     assert tuple(total(root)) == (sum(range(50)), 50) == tuple(total(None))
+
+
+def test_kept_history_forgets_and_stays_forgotten(spark, tmp_path):
+    schema = "id long, t timestamp_ntz"
+    history = KeptHistory(spark, str(tmp_path / "h"), schema, "t", 2)
+    assert history.read().count() == 0 and history.first_day() == "0001-01-01"
+
+    def batch(*days):
+        rows = [(d, f"2024-01-{d:02d} 12:00:00" if d else None) for d in days]
+        return spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp_ntz").alias("t"))
+
+    def held():
+        return sorted(r.id for r in history.read().collect())
+
+    first = batch(1, 2, 2, 3, 0)
+    history.add(first, 0)
+    assert held() == [1, 2, 2, 3]
+    history.add(batch(1, 5, 3), 1)  # the first day is given up, also as brought by this batch
+    assert held() == [3, 3, 5] and history.first_day() == "2024-01-03"
+    for _ in range(2):  # a batch that runs again neither doubles rows nor brings a day back
+        history.add(first, 0)
+        assert held() == [3, 3, 5]
+    history.add(batch(), 2)
+    history.add(batch(4, 4), 3)
+    assert held() == [3, 3, 4, 4, 5] and history.first_day() == "2024-01-03"
+    days = {p.name for p in (tmp_path / "h" / "rows").glob("batch=*/check_date=*")}
+    assert days == {f"check_date=2024-01-0{d}" for d in (3, 4, 5)}
