@@ -148,6 +148,11 @@ def _mark(text_col: str) -> Column:
     return F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("mark")
 
 
+def _one(doc_id: Column, mark: Column) -> Column:
+    """A row's id and its text's hash; a null id is after all others."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), mark.alias("mark")).alias("one")
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 linked by (i, j): the least node that each reaches."""
     label = np.arange(n)
@@ -279,11 +284,14 @@ def similar_sets(
     return out_i, out_j
 
 
-def exact_links(members: DataFrame, docs: DataFrame, size: int, radius: int, share: float, n_words: int, text_col: str) -> DataFrame:
-    """`u`, `v`: links between the nodes of `members` (root, parts, node, fp, mark) that span the
-    components of exactly similar texts within each root. A root's nodes are in `parts` chunks."""
-    texts = docs.select(_mark(text_col), F.col(text_col).alias("text"))
-    met = texts.join(members, "mark").dropDuplicates(["mark"]).select("root", "parts", "node", "fp", "text")
+def exact_links(
+    members: DataFrame, docs: DataFrame, size: int, radius: int, share: float, n_words: int, id_col: str, text_col: str
+) -> DataFrame:
+    """`u`, `v`: links between the nodes of `members` (root, parts, node, fp, one) that span the
+    components of exactly similar texts within each root. A root's nodes are in `parts` chunks; `one`
+    is the id and the text's hash of a row of each node, so that only one of many copies is fetched."""
+    texts = docs.select(_one(F.col(id_col), _mark(text_col)), F.col(text_col).alias("text"))
+    met = texts.join(members, "one").dropDuplicates(["one"]).select("root", "parts", "node", "fp", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,18 +359,20 @@ def _exact_duplicates(
 ) -> DataFrame:
     fps = saved(fingerprints(docs, size, n_words, radius <= 4, id_col, text_col, sets=True), "fingerprints")
     nodes = saved(
-        fps.groupBy("node", "fp", "cell", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")),
+        fps.groupBy("node", "fp", "cell", "n_shingles").agg(
+            F.min("doc_id").alias("first"), F.min(_one(F.col("doc_id"), F.col("mark"))).alias("one")
+        ),
         "shingle-sets",
     )
     near = connected_components(links(nodes.select("fp", "cell").distinct(), radius, n_words, tile))
     candidates = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "node", "fp", "mark", "n_shingles", F.coalesce("root", "fp").alias("root")
+        "node", "fp", "one", "n_shingles", F.coalesce("root", "fp").alias("root")
     )
     n, weight = F.count(F.lit(1)), F.sum("n_shingles")
     parts = F.ceil(F.greatest(n / _CHUNK_ROWS, weight / _CHUNK_SHINGLES, F.lit(1))).cast("int").alias("parts")
     groups = candidates.groupBy("root").agg(n.alias("n"), parts).where("n > 1").drop("n")
     members = candidates.drop("n_shingles").join(groups, "root")
-    roots = connected_components(exact_links(members, docs, size, radius, share, n_words, text_col))
+    roots = connected_components(exact_links(members, docs, size, radius, share, n_words, id_col, text_col))
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("node", "component_id")
