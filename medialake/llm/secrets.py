@@ -124,8 +124,10 @@ def scanned(
         "secrets",
     )
     placed = found.select("row", F.inline("spans"))
+    # Written apart, so that the rows of a value that very many texts hold can be split in the join.
+    owners = saved(ownership(found), "ownership")
     judged = (
-        placed.join(ownership(found), ["h1", "h2"])
+        placed.join(owners, ["h1", "h2"])
         .groupBy("row")
         .agg(
             F.count_if(F.col("n_owners") >= shared_owners).alias("n_copied"),

@@ -70,9 +70,15 @@ def test_secrets(spark):
     assert any(r.n_copied for r in got.collect()) and any(r.n_live for r in got.collect())
 
 
-def test_secrets_on_messy_rows(messy, no_rows):
+def test_secrets_on_messy_rows(spark, messy, no_rows):
     owner = F.lit("o")
-    assert secrets.scanned(messy, owner, owner).count() == len(ROWS)
+    want = Counter((d, ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in plain.secrets(t))) for d, t in ROWS)
+    assert bag(secrets.scanned(messy, owner, owner), "doc_id", "spans") == want
+    # A third of the rows is one row, another third holds one value.
+    rows = [(7, "token=sharedvalue1")] * 40 + [(k, f"see token=sharedvalue1 {k}") for k in range(40)] + [(None, None)] * 40
+    got = secrets.scanned(docs_of(spark, rows), F.col("doc_id").cast("string"), owner)
+    spans = Counter((d, ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in plain.secrets(t)), 40 if t else 0) for d, t in rows)
+    assert bag(got, "doc_id", "spans", "max_owners") == spans
     assert secrets.scanned(no_rows, owner, owner).count() == 0
 
 

@@ -218,6 +218,18 @@ def test_stages_on_messy_rows_and_none(spark, messy, no_rows):
             assert out2.count() == 0
 
 
+def test_line_stage_on_messy_rows(spark, messy):
+    """Value by value; a line that five messy rows share goes from all but the largest id."""
+    from tests.llm.conftest import messy_rows
+
+    line = "a line of more than forty characters that is shared"
+    rows = [*messy_rows(), *[(d, f"{line}\nown {d}") for d in (20, 21, 22, 23, None)], *[(24, line)] * 8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.line_dedup_stage(spark, docs, SMALL)
+    want = Counter((d, x[0]) for (d, _), x in zip(rows, plain.dedup_lines(rows), strict=True))
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
+
+
 def test_pages_of_one_template_stay(spark):
     """Pages that share a half to three quarters of their shingles in line are no near copies."""
     from tests.llm.conftest import prose
