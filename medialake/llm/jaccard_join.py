@@ -268,6 +268,9 @@ def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, p
         placed = placed.withColumn("root", F.col("id"))
     else:
         placed = placed.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # Most hashes are shared within one root only; the others are looked up by band.
+        roots = placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        placed = saved(placed.join(roots.where("least < most").select("token"), "token"), "apart")
     both = placed.select("token", "id", "root", "band", F.explode(F.lit([0, 1])).alias("up")).select(
         "token", "id", "root", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("home")
     )
